@@ -20,6 +20,7 @@ from ..functions.banding import (BP_INDETERMINABLE, band, bp_combined_rules, bp_
                                  bp_value_rules)
 from ..operators.pairing import pair_same_day
 from ..operators.selection import KEY, latest_consistent
+from ..operators.staging import materialise
 from ..operators.tagging import tag_codes
 from ..operators.union import union_sources
 
@@ -60,14 +61,17 @@ def text_readings(tagged: DataFrame, distinct_partners: bool = False) -> DataFra
             .withColumn(CAT, band(bp_combined_rules(), BP_INDETERMINABLE)))
 
 
-def blood_pressure(journal: DataFrame, codes: DataFrame, key: str = KEY) -> DataFrame:
+def blood_pressure(journal: DataFrame, codes: DataFrame, key: str = KEY, stage: bool = True) -> DataFrame:
     """Distinct rows on each patient's latest date with a known status, for
-    patients whose rows on that date agree, with the age by calendar year."""
-    tagged = tag_codes(journal, codes)
+    patients whose rows on that date agree, with the age by calendar year.
+    ``stage`` checkpoints the tagged rows (read by five branches) and the
+    status rows (read twice)."""
+    tagged = materialise(tag_codes(journal, codes), stage)
     num = numeric_readings(tagged, distinct_partners=True)
     txt = text_readings(tagged, distinct_partners=True)
     cols = list(num.columns[:-1]) + ["SBP_CATS", "DBP_CATS", CAT]
-    status = union_sources([num.filter(F.col(CAT) != BP_INDETERMINABLE),
-                            txt.filter(F.col(CAT) != BP_INDETERMINABLE)], distinct=False, columns=cols)
+    status = materialise(union_sources([num.filter(F.col(CAT) != BP_INDETERMINABLE),
+                                        txt.filter(F.col(CAT) != BP_INDETERMINABLE)],
+                                       distinct=False, columns=cols), stage)
     latest = latest_consistent(status, key, "DATE", CAT).distinct()
     return latest.withColumn("AGE_AT_TIME_OF_JOURNAL", age_by_year("DATE", "YEAR_OF_BIRTH"))

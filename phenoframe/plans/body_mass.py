@@ -24,6 +24,7 @@ from ..functions.measures import bmi_from_hw, height_to_cm, lms_interpolate, lms
 from ..operators.lms import lms_lookup
 from ..operators.pairing import pair_same_day
 from ..operators.selection import KEY, latest_consistent
+from ..operators.staging import materialise
 from ..operators.tagging import tag_codes
 from ..operators.union import union_sources
 
@@ -111,13 +112,32 @@ def child_height_weight_centiles(height: DataFrame, weight: DataFrame, lms: Data
     return centile_score(hw, lms, "BMI")
 
 
+def tag_bmi_lists(journal: DataFrame, bmi_codes: DataFrame, height_codes: DataFrame,
+                  weight_codes: DataFrame) -> DataFrame:
+    """One pass over the journal for all three lists: rows get ``LIST``
+    ('bmi', 'height' or 'weight') and ``BMI_CAT`` (BMI list only)."""
+    lists = union_sources([
+        bmi_codes.select("code", "BMI_CAT", F.lit("bmi").alias("LIST")),
+        height_codes.select("code", F.lit(None).cast("string").alias("BMI_CAT"), F.lit("height").alias("LIST")),
+        weight_codes.select("code", F.lit(None).cast("string").alias("BMI_CAT"), F.lit("weight").alias("LIST")),
+    ], distinct=False)
+    return tag_codes(journal, lists, tags=["BMI_CAT", "LIST"])
+
+
 def bmi(journal: DataFrame, bmi_codes: DataFrame, height_codes: DataFrame, weight_codes: DataFrame,
-        lms: DataFrame, key: str = KEY) -> DataFrame:
+        lms: DataFrame, stage: bool = True) -> DataFrame:
     """Distinct 14-column rows on each patient's latest date, for patients
-    whose rows on that date agree on ``BMI_CATEGORY``."""
-    bmi_j = tag_codes(journal, bmi_codes, tags=["BMI_CAT"])
-    height = tag_codes(journal, height_codes, tags=[])
-    weight = tag_codes(journal, weight_codes, tags=[])
+    whose rows on that date agree on ``BMI_CATEGORY``.
+
+    The journal is scanned once for all three code lists; ``stage``
+    checkpoints those rows (read by seven branches) and the combined rows
+    (read twice).
+    """
+    tagged = materialise(tag_bmi_lists(journal, bmi_codes, height_codes, weight_codes), stage)
+    lst = F.col("LIST")
+    bmi_j = tagged.filter(lst == "bmi").drop("LIST")
+    height = tagged.filter(lst == "height").drop("LIST", "BMI_CAT")
+    weight = tagged.filter(lst == "weight").drop("LIST", "BMI_CAT")
     known = F.col("CENTILE_CLINICAL_BMI_CAT").isin(KNOWN_CHILD_CATEGORIES)
 
     def shape(df, bmi_col, cat_col, origin):
@@ -135,7 +155,5 @@ def bmi(journal: DataFrame, bmi_codes: DataFrame, height_codes: DataFrame, weigh
         shape(child_centile_codes(bmi_j).filter(F.col(CAT).isin(KNOWN_CHILD_CATEGORIES)),
               "VALUE1_CONDITION", CAT, "BMI - CENTILE"),
     ]
-    combined = union_sources(parts, distinct=False)
-    if key != KEY:
-        combined = combined.withColumnRenamed(KEY, key)
-    return latest_consistent(combined, key, "DATE", "BMI_CATEGORY").distinct()
+    combined = materialise(union_sources(parts, distinct=False), stage)
+    return latest_consistent(combined, KEY, "DATE", "BMI_CATEGORY").distinct()

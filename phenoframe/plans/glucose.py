@@ -9,6 +9,7 @@ from ..functions.banding import (GLUCOSE_INDETERMINABLE, band, glucose_fasting_r
                                  glucose_single_rules)
 from ..operators.pairing import pair_same_day
 from ..operators.selection import KEY, latest_consistent
+from ..operators.staging import materialise
 from ..operators.tagging import tag_codes
 from ..operators.union import union_sources
 
@@ -37,13 +38,14 @@ def fasting_status(tagged: DataFrame, distinct_partners: bool = False) -> DataFr
     return matched.withColumn(CAT, band(glucose_fasting_rules(), GLUCOSE_INDETERMINABLE))
 
 
-def blood_glucose(journal: DataFrame, codes: DataFrame, key: str = KEY) -> DataFrame:
+def blood_glucose(journal: DataFrame, codes: DataFrame, key: str = KEY, stage: bool = True) -> DataFrame:
     """Distinct rows on each patient's latest date with a known status, for
-    patients whose rows on that date agree."""
-    tagged = tag_codes(journal, codes)
+    patients whose rows on that date agree.  ``stage`` checkpoints the
+    tagged rows (read by three branches) and the status rows (read twice)."""
+    tagged = materialise(tag_codes(journal, codes), stage)
     known = [s.filter(F.col(CAT) != GLUCOSE_INDETERMINABLE)
              for s in (non_fasting_status(tagged), fasting_status(tagged, distinct_partners=True))]
-    status = union_sources(known, distinct=False)
+    status = materialise(union_sources(known, distinct=False), stage)
     # UNION's de-duplication commutes with the latest/conflict filters, so it
     # runs on the few surviving rows; they are already clustered by
     # (patient, date), so it adds no shuffle.

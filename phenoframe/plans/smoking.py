@@ -9,6 +9,7 @@ from ..functions.ages import age_years
 from ..functions.banding import (SMOKING_INDETERMINABLE, band, smoking_dictionary_rules,
                                  smoking_rules)
 from ..operators.selection import KEY, latest_consistent
+from ..operators.staging import materialise
 from ..operators.tagging import tag_codes
 
 
@@ -21,14 +22,16 @@ def categorise_smoking(journal: DataFrame, codes: DataFrame, dedupe_codes: bool
             .withColumn("DATA_DICTIONARY_CATS", band(smoking_dictionary_rules(), "Ex-Smoker")))
 
 
-def smoking(journal: DataFrame, codes: DataFrame, key: str = KEY, dedupe_codes: bool = False) -> DataFrame:
+def smoking(journal: DataFrame, codes: DataFrame, key: str = KEY, dedupe_codes: bool = False,
+            stage: bool = True) -> DataFrame:
     """Rows on each patient's latest date with a known status, for patients
     whose rows on that date agree; plus the whole-year age at that date.
 
     There is no de-duplication: a code listed several times in ``codes``
-    repeats its rows (``dedupe_codes`` avoids that).
+    repeats its rows (``dedupe_codes`` avoids that).  ``stage`` checkpoints
+    the known-status rows, which are read twice (see ``materialise``).
     """
     cats = categorise_smoking(journal, codes, dedupe_codes)
-    known = cats.filter(F.col("DATA_DICTIONARY_CATS") != SMOKING_INDETERMINABLE)
+    known = materialise(cats.filter(F.col("DATA_DICTIONARY_CATS") != SMOKING_INDETERMINABLE), stage)
     latest = latest_consistent(known, key, "DATE", "DATA_DICTIONARY_CATS")
     return latest.withColumn("AGE_AT_TIME_OF_JOURNAL", age_years("DATE", "DATE_OF_BIRTH", whole=True))

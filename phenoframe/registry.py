@@ -279,8 +279,11 @@ def q_latest_per_patient(spark, sf):
 
 
 def q_drop_conflicts(spark, sf):
-    out = drop_conflicts(_glucose_status(spark, sf), KEY, "CATEGORISED_BLOOD_GLUCOSE")
-    return out.select(KEY, "DATE", "LINKS", "CATEGORISED_BLOOD_GLUCOSE")
+    """Latest rows, then conflict removal, as two separate operators."""
+    c = categorise_smoking(_journal(spark, sf), _codes(spark, "smoking"))
+    known = drop_indeterminable(c, "DATA_DICTIONARY_CATS", ["Indeterminable"])
+    out = drop_conflicts(latest_per_patient(known, KEY, "DATE"), KEY, "DATA_DICTIONARY_CATS")
+    return out.select(KEY, "DATE", "LINKS", "CODE", "DATA_DICTIONARY_CATS")
 
 
 def q_dedupe_observations(spark, sf):

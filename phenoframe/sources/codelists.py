@@ -398,8 +398,18 @@ def codelist_rows(name: str) -> tuple[list[tuple], list[str]]:
     return [(i,) + tuple(r) for i, r in enumerate(rows_fn())], tags
 
 
+_MEMO: dict = {}
+
+
 def codelist_df(spark: SparkSession, name: str, with_ix: bool = False) -> DataFrame:
-    """A fixed list as a DataFrame: ``code`` + tag columns (+ ``ix``)."""
+    """A fixed list as a DataFrame: ``code`` + tag columns (+ ``ix``).
+
+    The same DataFrame object is returned for the same session and list,
+    so the size check made before broadcasting it runs once."""
+    memo_key = (id(spark), name, with_ix)
+    hit = _MEMO.get(memo_key)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
     rows, tags = codelist_rows(name)
     key = "ETHNIC_CATEGORY_ID" if name == "ethnic_labels" else "code"
     schema = T.StructType(
@@ -407,7 +417,9 @@ def codelist_df(spark: SparkSession, name: str, with_ix: bool = False) -> DataFr
         + [T.StructField(t, T.StringType(), True) for t in tags]
     )
     df = spark.createDataFrame(rows, schema)
-    return df if with_ix else df.drop("ix")
+    df = df if with_ix else df.drop("ix")
+    _MEMO[memo_key] = (spark, df)
+    return df
 
 
 def read_codelist(spark: SparkSession, path: str, key: str, rename: dict[str, str] | None = None) -> DataFrame:
@@ -425,4 +437,4 @@ def read_codelist(spark: SparkSession, path: str, key: str, rename: dict[str, st
     df = df.withColumnRenamed(key, "code")
     for old, new in (rename or {}).items():
         df = df.withColumnRenamed(old, new)
-    return df.select([F.trim(F.col(c)).alias(c) if c == "code" else F.col(c) for c in df.columns])
+    return df
