@@ -168,6 +168,10 @@ def zscore_rules(z="BMI_Z_SCORE") -> list[Rule]:
     ]
 
 
+# Complete label sets of each pipeline's final category (after removing the
+# indeterminable ones); used to aggregate on label positions.
+BMI_CATEGORIES = ["UNDERWEIGHT", "IDEAL", "UNDER 20 NULLS", "OVERWEIGHT", "OBESE"]
+
 # Categories a child row must have to enter the combined BMI table.
 KNOWN_CHILD_CATEGORIES = ["UNDERWEIGHT", "IDEAL", BORDER_NULL_LABEL, "OVERWEIGHT", "OBESE"]
 # Categories removed from the adult branches.
@@ -195,6 +199,9 @@ def bp_label(level: str, part: str = "") -> str:
     return f"{level} {part + ' ' if part else ''}Blood Pressure"
 
 
+BP_CATEGORIES = [bp_label(lvl) for lvl in BP_LEVELS]
+
+
 def bp_value_rules(sys="VALUE1_CONDITION", dia="VALUE2_CONDITION") -> list[Rule]:
     """Systolic/diastolic reading to a level; implausible values first."""
     s, d = _c(sys), _c(dia)
@@ -246,6 +253,7 @@ def bp_combined_rules(breakdown="INITIAL_BREAKDOWN", kind="TYPE_OF_JOURNAL",
 # ---------------------------------------------------------------------------
 
 GLUCOSE_INDETERMINABLE = "INDETERMINABLE"
+GLUCOSE_CATEGORIES = ["LOW", "NORMAL", "PRE-DIABETES", "DIABETES", "MORE-TESTING-NEEDED"]
 SPECIMEN_TYPES = ["BLOOD", "PLASMA", "SERUM"]
 
 
@@ -293,6 +301,7 @@ def glucose_fasting_rules(fasting_value="VALUE1_CONDITION", ogtt_value="VALUE2_C
 # ---------------------------------------------------------------------------
 
 SMOKING_INDETERMINABLE = "Indeterminable"
+SMOKING_CATEGORIES = ["Current-Smoker", "Never-Smoker", "Non-Smoker History Unknown", "Ex-Smoker"]
 
 # FIXED VALUES: value-bearing smoker codes and the inclusive value range in
 # which the reading means "Smoker".

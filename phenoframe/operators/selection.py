@@ -44,36 +44,69 @@ def best_priority(df: DataFrame, key: str = KEY, priority: str = "PRIORITY") ->
     return clean.join(best, [key, priority], "left_semi")
 
 
-def drop_conflicts(df: DataFrame, key: str = KEY, cat: str = "CATEGORY") -> DataFrame:
+def category_index(cat: str, categories: list[str]) -> Column:
+    """1-based position of ``cat`` in ``categories``; NULL stays NULL and a
+    value outside the list fails the job (it would otherwise be lost)."""
+    c = F.col(cat)
+    pos = F.array_position(F.array(*[F.lit(v) for v in categories]), c)
+    return F.when(c.isNull(), F.lit(None).cast("long")).when(
+        pos > 0, pos).otherwise(F.raise_error(F.concat(F.lit(f"category outside {categories}: "), c)).cast("long"))
+
+
+def drop_conflicts(df: DataFrame, key: str = KEY, cat: str = "CATEGORY",
+                   categories: list[str] | None = None) -> DataFrame:
     """Keep patients whose rows show exactly one distinct (non-NULL)
     category; their rows are returned unchanged.
 
     ``min(cat) = max(cat)`` is the same test as ``count(distinct cat) = 1``
     (both fail when every category is NULL) but is a plain partial
-    aggregate.
+    aggregate.  With ``categories`` (the complete label set) the test runs
+    on label positions, so the aggregate keeps numeric buffers and Spark
+    hashes instead of sorting.
     """
-    stats = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.min(cat).alias("_lo"), F.max(cat).alias("_hi"))
+    v = category_index(cat, categories) if categories else F.col(cat)
+    stats = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     single = stats.filter(F.col("_lo") == F.col("_hi")).select(key)
     return df.join(single, key, "left_semi")
 
 
-def latest_consistent(df: DataFrame, key: str = KEY, date: str = "DATE", cat: str = "CATEGORY") -> DataFrame:
+def latest_consistent(df: DataFrame, key: str = KEY, date: str = "DATE", cat: str = "CATEGORY",
+                      categories: list[str] | None = None) -> DataFrame:
     """``drop_conflicts(latest_per_patient(df))`` in one aggregation.
 
-    Per patient, ``max(struct(date, cat))`` gives the latest date and the
-    greatest category on it and ``min(struct(-date, cat is null, cat))`` the
-    least non-NULL category on that same date; they agree exactly when the
-    latest date shows one category.  One semi join on (patient, date) then
-    returns that day's rows.
+    Per patient the aggregation finds the latest date and the greatest and
+    least non-NULL category on that date; they agree exactly when the latest
+    date shows one category.  A semi join on (patient, date) then returns
+    that day's rows.
+
+    With ``categories`` (the complete label set, as the banding pipelines
+    have) date and label position are packed into one long --
+    ``day * W + position`` for the greatest and ``-day * W + position`` for
+    the least, ``W`` = labels + 1 -- so ``max``/``min`` over longs order by
+    date first and label second, and the aggregation is a hash aggregation.
+    Otherwise ``max``/``min`` over structs give the same answer for any
+    category type.
     """
     clean = df.filter(_not_null(key, date))
-    d, c = F.col(date), F.col(cat)
-    stats = clean.groupBy(key).agg(
-        F.max(F.struct(d.alias("d"), c.alias("c"))).alias("_hi"),
-        F.min(F.struct((-F.unix_date(d)).alias("nd"), c.isNull().alias("n"), c.alias("c"))).alias("_lo"),
-    )
-    good = stats.filter(F.col("_hi.c") == F.col("_lo.c")).select(key, F.col("_hi.d").alias(date))
+    day = F.unix_date(F.col(date)).cast("long")
+    if categories:
+        w = len(categories) + 1
+        pos = category_index(cat, categories)
+        stats = clean.groupBy(key).agg(
+            F.max(day).alias("_day"),
+            F.max(day * w + F.coalesce(pos, F.lit(0))).alias("_hi"),
+            F.min(-day * w + F.coalesce(pos, F.lit(w))).alias("_lo"))
+        hi = F.col("_hi") - F.col("_day") * w
+        lo = F.col("_lo") + F.col("_day") * w
+        good = stats.filter((hi == lo) & (hi >= 1) & (hi < w)).select(
+            key, F.date_from_unix_date("_day").alias(date))
+    else:
+        d, c = F.col(date), F.col(cat)
+        stats = clean.groupBy(key).agg(
+            F.max(F.struct(d.alias("d"), c.alias("c"))).alias("_hi"),
+            F.min(F.struct((-day).alias("nd"), c.isNull().alias("n"), c.alias("c"))).alias("_lo"),
+        )
+        good = stats.filter(F.col("_hi.c") == F.col("_lo.c")).select(key, F.col("_hi.d").alias(date))
     return clean.join(good, [key, date], "left_semi")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ages import age_by_year
-from ..functions.banding import (BP_INDETERMINABLE, band, bp_combined_rules, bp_text_rules,
+from ..functions.banding import (BP_CATEGORIES, BP_INDETERMINABLE, band, bp_combined_rules, bp_text_rules,
                                  bp_value_rules)
 from ..operators.pairing import pair_same_day
 from ..operators.selection import KEY, latest_consistent
@@ -73,5 +73,5 @@ def blood_pressure(journal: DataFrame, codes: DataFrame, key: str = KEY, stage:
     status = materialise(union_sources([num.filter(F.col(CAT) != BP_INDETERMINABLE),
                                         txt.filter(F.col(CAT) != BP_INDETERMINABLE)],
                                        distinct=False, columns=cols), stage)
-    latest = latest_consistent(status, key, "DATE", CAT).distinct()
+    latest = latest_consistent(status, key, "DATE", CAT, BP_CATEGORIES).distinct()
     return latest.withColumn("AGE_AT_TIME_OF_JOURNAL", age_by_year("DATE", "YEAR_OF_BIRTH"))

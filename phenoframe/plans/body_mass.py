@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ages import age_months, age_months_bracket, age_years
-from ..functions.banding import (INDETERMINABLE_BMI, KNOWN_CHILD_CATEGORIES, UNUSABLE_ADULT_CATEGORIES,
+from ..functions.banding import (BMI_CATEGORIES, INDETERMINABLE_BMI, KNOWN_CHILD_CATEGORIES, UNUSABLE_ADULT_CATEGORIES,
                                  Z_ERROR_LABEL, adult_bmi_rules, band, child_bmi_rules, child_code_rules,
                                  computed_bmi_rules, zscore_rules)
 from ..functions.measures import bmi_from_hw, height_to_cm, lms_interpolate, lms_zscore
@@ -156,4 +156,4 @@ def bmi(journal: DataFrame, bmi_codes: DataFrame, height_codes: DataFrame, weigh
               "VALUE1_CONDITION", CAT, "BMI - CENTILE"),
     ]
     combined = materialise(union_sources(parts, distinct=False), stage)
-    return latest_consistent(combined, KEY, "DATE", "BMI_CATEGORY").distinct()
+    return latest_consistent(combined, KEY, "DATE", "BMI_CATEGORY", BMI_CATEGORIES).distinct()

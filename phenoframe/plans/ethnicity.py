@@ -26,9 +26,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.hospital import join_halves, latest_shards
-from ..operators.selection import KEY, drop_unknown_codes, keep_living, modal_category
+from ..operators.hospital import join_halves, shard_years
+from ..operators.joins import maybe_broadcast
+from ..operators.selection import KEY, drop_unknown_codes
 from ..operators.tagging import tag_codes
+from ..sources.codelists import UNKNOWN_ETHNIC_VALUES
 
 # Source labels and priorities (lower wins).  Labels are parameters of the
 # pipelines; these are the defaults.
@@ -57,8 +59,10 @@ def patient_ethnicity(journal: DataFrame) -> DataFrame:
 def hospital_ethnicity(ident: DataFrame, clinical: DataFrame, shards: int = 6) -> DataFrame:
     """(PATIENT_ID, EVENT_DATE, ETHNIC_CODE) of the newest ``shards`` years of
     one hospital dataset, excluded practices and unknown categories
-    removed."""
-    joined = join_halves(latest_shards(ident, n=shards), latest_shards(clinical, n=shards))
+    removed.  The years are taken from the identifying half and applied to
+    both halves (a broadcast semi join, so partitioned tables are pruned)."""
+    years = F.broadcast(shard_years(ident, n=shards))
+    joined = join_halves(ident.join(years, "YEAR", "left_semi"), clinical.join(years, "YEAR", "left_semi"))
     return drop_unknown_codes(joined, "ETHNIC_CODE")
 
 
@@ -99,18 +103,89 @@ def recent_category(records: DataFrame) -> DataFrame:
         F.col("_hi.s").alias("DATA_SOURCE"))
 
 
+# ---------------------------------------------------------------------------
+# One-pass forms used by the pipelines
+# ---------------------------------------------------------------------------
+
+SOURCE_BIT = {JOURNAL: 1, PATIENT: 2, ADMITTED: 4, EMERGENCY: 8, OUTPATIENT: 16}
+
+
+def _known(c):
+    return c.isNotNull() & ~c.isin(UNKNOWN_ETHNIC_VALUES)
+
+
+def _rec(cond, date, cat, source: str, labels: dict):
+    return F.when(cond, F.struct(date.alias("DATE"), cat.alias("ETHNICITY"), F.lit(labels[source]).alias("SOURCE"),
+                                 F.lit(PRIORITY[source]).alias("PRIORITY"),
+                                 F.lit(SOURCE_BIT[source]).alias("BIT")))
+
+
+def primary_care_rows(journal: DataFrame, codes: DataFrame, labels: dict) -> DataFrame:
+    """One pass over the journal: per row the patient, whether the row has no
+    death date (``_alive``) and an array of its 0-2 ethnicity records (from
+    an ethnicity code and from the ethnic field)."""
+    lookup = maybe_broadcast(codes.select(F.col("code").alias("CODE"), "PrimaryCode"))
+    j = journal.join(lookup, "CODE", "left")
+    pc, eth_field = F.col("PrimaryCode"), F.col("ETHNIC")
+    recs = F.array(_rec(_known(pc), F.col("RECORD_DATE"), pc, JOURNAL, labels),
+                   _rec(_known(eth_field), F.col("REPORTING_PERIOD_END_DATE"), eth_field, PATIENT, labels))
+    return j.filter(F.col(KEY).isNotNull()).select(
+        KEY, F.col("DATE_OF_DEATH").isNull().alias("_alive"), F.filter(recs, lambda r: r.isNotNull()).alias("_recs"))
+
+
+def hospital_rows(hospital: dict | None, labels: dict, shards: int) -> list[DataFrame]:
+    out = []
+    for source in (ADMITTED, EMERGENCY, OUTPATIENT):
+        if hospital and source in hospital:
+            ident, clinical = hospital[source]
+            h = hospital_ethnicity(ident, clinical, shards)
+            out.append(h.select(KEY, F.lit(None).cast("boolean").alias("_alive"), F.array(
+                _rec(F.lit(True), F.col("EVENT_DATE"), F.col("ETHNIC_CODE"), source, labels)).alias("_recs")))
+    return out
+
+
+def _all_rows(journal, codes, hospital, labels, shards) -> DataFrame:
+    parts = [primary_care_rows(journal, codes, labels)] + hospital_rows(hospital, labels, shards)
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.select(KEY, "_alive", F.explode_outer("_recs").alias("r"))
+
+
+def recent_living(rows: DataFrame) -> DataFrame:
+    """Latest date, best priority, single category and at least one
+    journal row without a death date, per patient.
+
+    Two aggregations: a hash aggregation reduces the records to distinct
+    (patient, date, priority, category, source) -- map-side, so repeated
+    records of a busy patient collapse before any shuffle -- and a second
+    one per patient takes ``max``/``min`` of (date, priority, category)
+    structs over those few distinct records.
+    """
+    r = F.col("r")
+    flat = rows.select(KEY, "_alive", r["DATE"].alias("d"), r["PRIORITY"].alias("p"),
+                       r["ETHNICITY"].alias("c"), r["SOURCE"].alias("s"))
+    distinct_recs = flat.groupBy(KEY, "d", "p", "c", "s").agg(F.max("_alive").alias("_alive"))
+    d, p, c, s_ = F.col("d"), F.col("p"), F.col("c"), F.col("s")
+    dated = d.isNotNull() & c.isNotNull()
+    per = distinct_recs.groupBy(KEY).agg(
+        F.max(F.when(dated, F.struct(d.alias("d"), (-p).alias("p"), c.alias("c"), s_.alias("s")))).alias("_hi"),
+        F.min(F.when(dated, F.struct((-F.unix_date(d)).alias("d"), p.alias("p"), c.alias("c")))).alias("_lo"),
+        F.max("_alive").alias("_alive"))
+    return per.filter((F.col("_hi.c") == F.col("_lo.c")) & F.col("_alive")).select(
+        KEY, F.col("_hi.c").alias("ETHNIC_CATEGORY_CODE"), F.col("_hi.d").alias("DATE_OF_ATTRIBUTION"),
+        F.col("_hi.s").alias("DATA_SOURCE"))
+
+
 def ethnicity_recent_primary(journal: DataFrame, codes: DataFrame, labels: dict | None = None) -> DataFrame:
     """Most recent category from the primary-care journal codes and ethnic
-    field, living patients only."""
-    return keep_living(recent_category(source_records(journal, codes, labels=labels)), journal)
+    field, living patients only.  One journal scan, one aggregation."""
+    return recent_living(_all_rows(journal, codes, None, labels or RECENT_LABELS, 6))
 
 
 def ethnicity_recent_all(journal: DataFrame, codes: DataFrame, hospital: dict, labels: dict | None = None,
                          shards: int = 6) -> DataFrame:
     """Most recent category over primary care and hospital sources, living
     patients only (so hospital-only patients are dropped)."""
-    recs = source_records(journal, codes, hospital, labels, shards)
-    return keep_living(recent_category(recs), journal)
+    return recent_living(_all_rows(journal, codes, hospital, labels or RECENT_LABELS, shards))
 
 
 def ethnicity_votes(journal: DataFrame, codes: DataFrame, hospital: dict, labels: dict | None = None,
@@ -124,7 +199,24 @@ def ethnicity_votes(journal: DataFrame, codes: DataFrame, hospital: dict, labels
 def ethnicity_modal(journal: DataFrame, codes: DataFrame, hospital: dict, labels: dict | None = None,
                     shards: int = 6, living_only: bool = False) -> DataFrame:
     """Modal category per patient (PATIENT_ID, ETHNIC_CATEGORY_CODE).
-    Deceased patients are kept unless ``living_only``."""
-    votes = ethnicity_votes(journal, codes, hospital, labels, shards)
-    out = modal_category(votes, KEY, "ETHNICITY").withColumnRenamed("ETHNICITY", "ETHNIC_CATEGORY_CODE")
-    return keep_living(out, journal) if living_only else out
+    Deceased patients are kept unless ``living_only``.
+
+    Each source votes once per category: the sources holding a category for
+    a patient are OR-ed into a 5-bit mask (one partial aggregation), the
+    votes are its bit count, and a second partial aggregation per patient
+    keeps the unique top category."""
+    rows = _all_rows(journal, codes, hospital, labels or MODAL_LABELS, shards)
+    r = F.col("r")
+    if not living_only:
+        rows = rows.filter(r.isNotNull())   # rows without a record only carry the alive flag
+    per_cat = (rows.groupBy(KEY, r["ETHNICITY"].alias("ETHNICITY"))
+               .agg(F.bit_or(r["BIT"]).alias("_mask"), F.max("_alive").alias("_alive")))
+    has = F.col("ETHNICITY").isNotNull()
+    n = F.bit_count("_mask")
+    per = per_cat.groupBy(KEY).agg(
+        F.max(F.when(has, F.struct(n.alias("n"), F.col("ETHNICITY").alias("c")))).alias("_hi"),
+        F.min(F.when(has, F.struct((-n).alias("n"), F.col("ETHNICITY").alias("c")))).alias("_lo"),
+        F.max("_alive").alias("_alive"))
+    keep = F.col("_hi.c") == F.col("_lo.c")
+    out = per.filter(keep & F.col("_alive") if living_only else keep)
+    return out.select(KEY, F.col("_hi.c").alias("ETHNIC_CATEGORY_CODE"))

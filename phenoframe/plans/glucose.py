@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.banding import (GLUCOSE_INDETERMINABLE, band, glucose_fasting_rules,
+from ..functions.banding import (GLUCOSE_CATEGORIES, GLUCOSE_INDETERMINABLE, band, glucose_fasting_rules,
                                  glucose_single_rules)
 from ..operators.pairing import pair_same_day
 from ..operators.selection import KEY, latest_consistent
@@ -49,4 +49,4 @@ def blood_glucose(journal: DataFrame, codes: DataFrame, key: str = KEY, stage: b
     # UNION's de-duplication commutes with the latest/conflict filters, so it
     # runs on the few surviving rows; they are already clustered by
     # (patient, date), so it adds no shuffle.
-    return latest_consistent(status, key, "DATE", CAT).distinct()
+    return latest_consistent(status, key, "DATE", CAT, GLUCOSE_CATEGORIES).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ages import age_years
-from ..functions.banding import (SMOKING_INDETERMINABLE, band, smoking_dictionary_rules,
+from ..functions.banding import (SMOKING_CATEGORIES, SMOKING_INDETERMINABLE, band, smoking_dictionary_rules,
                                  smoking_rules)
 from ..operators.selection import KEY, latest_consistent
 from ..operators.staging import materialise
@@ -33,5 +33,5 @@ def smoking(journal: DataFrame, codes: DataFrame, key: str = KEY, dedupe_codes:
     """
     cats = categorise_smoking(journal, codes, dedupe_codes)
     known = materialise(cats.filter(F.col("DATA_DICTIONARY_CATS") != SMOKING_INDETERMINABLE), stage)
-    latest = latest_consistent(known, key, "DATE", "DATA_DICTIONARY_CATS")
+    latest = latest_consistent(known, key, "DATE", "DATA_DICTIONARY_CATS", SMOKING_CATEGORIES)
     return latest.withColumn("AGE_AT_TIME_OF_JOURNAL", age_years("DATE", "DATE_OF_BIRTH", whole=True))
