@@ -123,3 +123,30 @@ def test_fallback_source(spark):
     primary = spark.createDataFrame([("a", "A")], "PATIENT_ID string, C string")
     secondary = spark.createDataFrame([("a", "B"), ("b", "B")], "PATIENT_ID string, C string")
     assert _set(fallback_source(primary, secondary)) == [("a", "A"), ("b", "B")]
+
+
+def test_hot_patient_latest_consistent_matches_brute_force(spark):
+    """A third of the rows belong to one patient, on one day and spread
+    over many days; the result must equal a plain Python computation."""
+    import random
+    rnd = random.Random(3)
+    rows = []
+    for i in range(3000):
+        if i % 3 == 0:
+            p, d = "hot", dt.date(2024, 1, 1 + (i % 7 if i % 2 else 20))
+        else:
+            p, d = f"p{i % 97}", dt.date(2024, 1, 1 + rnd.randrange(28))
+        rows.append((p, d, rnd.choice(["A", "B"]) if p != "hot" or d.day != 21 else "A", i))
+    df = spark.createDataFrame(rows, ROWS).repartition(7)
+    latest = {}
+    for p, d, c, _ in rows:
+        latest[p] = max(latest.get(p, d), d)
+    cats = {}
+    for p, d, c, _ in rows:
+        if d == latest[p]:
+            cats.setdefault(p, set()).add(c)
+    want = sorted(n for p, d, c, n in rows if d == latest[p] and len(cats[p]) == 1)
+    got = sorted(r[3] for r in latest_consistent(df).collect())
+    got_encoded = sorted(r[3] for r in latest_consistent(df, categories=["A", "B"]).collect())
+    assert got == want == got_encoded
+    assert any(r[0] == "hot" for r in rows if r[3] in set(want))
