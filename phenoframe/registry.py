@@ -41,7 +41,9 @@ KEY = "PATIENT_ID"
 
 def portable(df: DataFrame) -> DataFrame:
     """Dates -> 'YYYY-MM-DD', timestamps -> 'YYYY-MM-DD HH:MM:SS.ffffff',
-    decimals -> double; other columns unchanged."""
+    decimals and integers -> double (exact for these values; pandas would
+    otherwise turn a nullable integer column into float64 on one engine and
+    a nullable Int32 on the other); other columns unchanged."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -49,7 +51,7 @@ def portable(df: DataFrame) -> DataFrame:
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        elif isinstance(f.dataType, T.DecimalType):
+        elif isinstance(f.dataType, (T.DecimalType, T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
             c = c.cast("double")
         cols.append(c.alias(f.name))
     return df.select(*cols)
