@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.ages import age_by_year
 from ..functions.banding import (BP_CATEGORIES, BP_INDETERMINABLE, band, bp_combined_rules, bp_text_rules,
                                  bp_value_rules)
-from ..operators.pairing import pair_same_day
+from ..operators.pairing import PAIR_KEYS, pair_same_day
 from ..operators.selection import KEY, latest_consistent
 from ..operators.staging import materialise
 from ..operators.tagging import tag_codes
@@ -61,15 +61,43 @@ def text_readings(tagged: DataFrame, distinct_partners: bool = False) -> DataFra
             .withColumn(CAT, band(bp_combined_rules(), BP_INDETERMINABLE)))
 
 
+def readings(tagged: DataFrame, distinct_partners: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(numeric, text) readings with one systolic x diastolic join.
+
+    Value pairs (both values present) and text pairs (both absent) come from
+    the same two sides with complementary filters, so they are produced by
+    one same-day join whose keys include "has a value"; the pipeline then
+    shuffles the systolic and diastolic rows once instead of twice.
+    """
+    V1, V2, PART = _cols()
+    no_value = V1.isNull().alias("_no_value")
+    sbp = (tagged.filter(PART == "SBP").withColumn("_no_value", no_value)
+           .withColumn("SBP_CATS", band(bp_text_rules("Systolic"), BP_INDETERMINABLE)))
+    dbp = (tagged.filter(PART == "DBP").withColumn("_no_value", no_value)
+           .withColumn("DBP_CATS", band(bp_text_rules("Diastolic"), BP_INDETERMINABLE)))
+    keys = PAIR_KEYS + ["_no_value"]
+    pairs = pair_same_day(sbp, dbp, {"VALUE1_CONDITION": "VALUE2_CONDITION",
+                                     "VALUE1_PRESCRIPTION": "VALUE2_PRESCRIPTION", "DBP_CATS": "DBP_CATS"},
+                          keys=keys, distinct_partners=distinct_partners)
+    none = F.lit(None).cast("string")
+    value_pairs = pairs.filter(~F.col("_no_value")).withColumn("SBP_CATS", none).withColumn("DBP_CATS", none)
+    two_value = tagged.filter((PART == "ALL") & V1.isNotNull() & V2.isNotNull())
+    numeric = (union_sources([value_pairs.drop("_no_value"), two_value], distinct=False)
+               .withColumn(CAT, band(bp_value_rules(), BP_INDETERMINABLE)))
+    whole = tagged.filter((PART == "ALL") & V1.isNull() & V2.isNull())
+    text = (union_sources([whole, pairs.filter(F.col("_no_value")).drop("_no_value")], distinct=False)
+            .withColumn(CAT, band(bp_combined_rules(), BP_INDETERMINABLE)))
+    return numeric, text
+
+
 def blood_pressure(journal: DataFrame, codes: DataFrame, key: str = KEY, stage: bool = True) -> DataFrame:
     """Distinct rows on each patient's latest date with a known status, for
     patients whose rows on that date agree, with the age by calendar year.
-    ``stage`` checkpoints the tagged rows (read by five branches) and the
+    ``stage`` checkpoints the tagged rows (read by four branches) and the
     status rows (read twice)."""
     tagged = materialise(tag_codes(journal, codes), stage)
-    num = numeric_readings(tagged, distinct_partners=True)
-    txt = text_readings(tagged, distinct_partners=True)
-    cols = list(num.columns[:-1]) + ["SBP_CATS", "DBP_CATS", CAT]
+    num, txt = readings(tagged, distinct_partners=True)
+    cols = list(tagged.columns) + ["SBP_CATS", "DBP_CATS", CAT]
     status = materialise(union_sources([num.filter(F.col(CAT) != BP_INDETERMINABLE),
                                         txt.filter(F.col(CAT) != BP_INDETERMINABLE)],
                                        distinct=False, columns=cols), stage)

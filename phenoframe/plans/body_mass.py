@@ -53,22 +53,35 @@ def adult_coded(bmi_journal: DataFrame) -> DataFrame:
             .filter(~F.col(CAT).isin(UNUSABLE_ADULT_CATEGORIES) & (F.col(AGE) >= ADULT_YEARS)))
 
 
-def height_weight(height: DataFrame, weight: DataFrame, child: bool, distinct_partners: bool = False) -> DataFrame:
-    """Same-day height and weight pairs with ``H_VALUE`` (cm) and ``BMI``."""
-    v = F.col("VALUE1_CONDITION")
-    h = height.filter(v.isNotNull() & ((v > 0) & (v <= 200) if child else F.lit(True)))
+def height_weight_pairs(height: DataFrame, weight: DataFrame, distinct_partners: bool = False) -> DataFrame:
+    """All same-day pairs of a height and a weight with values, with
+    ``AGE_AT_TIME_OF_JOURNAL``, ``H_VALUE`` (cm) and ``BMI``; the adult and
+    child branches split one join by age."""
+    h = height.filter(F.col("VALUE1_CONDITION").isNotNull())
     w = weight.filter(F.col("VALUE1_CONDITION").isNotNull())
-    take = dict(_WEIGHT_TAKE)
-    if child:
-        take.pop("LINKS")
-    pairs = pair_same_day(h, w, take, distinct_partners=distinct_partners)
+    pairs = pair_same_day(h, w, dict(_WEIGHT_TAKE), distinct_partners=distinct_partners)
     pairs = pairs.withColumn(AGE, _age()).withColumn("H_VALUE", height_to_cm("VALUE1_CONDITION"))
-    pairs = pairs.filter(F.col(AGE) < ADULT_YEARS) if child else pairs.filter(F.col(AGE) >= ADULT_YEARS)
     return pairs.withColumn("BMI", bmi_from_hw("W_VALUE", "H_VALUE"))
 
 
-def adult_height_weight(height: DataFrame, weight: DataFrame, distinct_partners: bool = False) -> DataFrame:
-    hw = height_weight(height, weight, child=False, distinct_partners=distinct_partners)
+def split_height_weight(pairs: DataFrame, child: bool) -> DataFrame:
+    """Adult pairs (18 and over), or child pairs (under 18, raw height in
+    (0, 200])."""
+    if not child:
+        return pairs.filter(F.col(AGE) >= ADULT_YEARS)
+    v = F.col("VALUE1_CONDITION")
+    return pairs.filter((F.col(AGE) < ADULT_YEARS) & (v > 0) & (v <= 200))
+
+
+def height_weight(height: DataFrame, weight: DataFrame, child: bool, distinct_partners: bool = False) -> DataFrame:
+    """Same-day height and weight pairs of adults or children."""
+    return split_height_weight(height_weight_pairs(height, weight, distinct_partners), child)
+
+
+def adult_height_weight(height: DataFrame, weight: DataFrame, distinct_partners: bool = False,
+                        pairs: DataFrame | None = None) -> DataFrame:
+    hw = split_height_weight(pairs, False) if pairs is not None else height_weight(
+        height, weight, child=False, distinct_partners=distinct_partners)
     return (hw.withColumn(CAT, band(computed_bmi_rules(), INDETERMINABLE_BMI))
             .filter(~F.col(CAT).isin(UNUSABLE_ADULT_CATEGORIES)))
 
@@ -104,8 +117,9 @@ def child_bmi_centiles(bmi_journal: DataFrame, lms: DataFrame) -> DataFrame:
 
 
 def child_height_weight_centiles(height: DataFrame, weight: DataFrame, lms: DataFrame,
-                                 distinct_partners: bool = False) -> DataFrame:
-    hw = height_weight(height, weight, child=True, distinct_partners=distinct_partners)
+                                 distinct_partners: bool = False, pairs: DataFrame | None = None) -> DataFrame:
+    hw = split_height_weight(pairs, True) if pairs is not None else height_weight(
+        height, weight, child=True, distinct_partners=distinct_partners)
     hw = hw.select("DATE_OF_BIRTH", "SEX", KEY, "ETHNIC", "PRACTICE", "GP_SYSTEM_SUPPLIER",
                    "REPORTING_PERIOD_END_DATE", "JOURNAL_REPORTING_PERIOD_END_DATE", "DATE",
                    "RECORD_DATE", AGE, "H_VALUE", "W_VALUE", "BMI")
@@ -139,6 +153,7 @@ def bmi(journal: DataFrame, bmi_codes: DataFrame, height_codes: DataFrame, weigh
     height = tagged.filter(lst == "height").drop("LIST", "BMI_CAT")
     weight = tagged.filter(lst == "weight").drop("LIST", "BMI_CAT")
     known = F.col("CENTILE_CLINICAL_BMI_CAT").isin(KNOWN_CHILD_CATEGORIES)
+    pairs = height_weight_pairs(height, weight, distinct_partners=True)
 
     def shape(df, bmi_col, cat_col, origin):
         return df.select(*[c for c in RESULT_COLUMNS[:11]], F.col(bmi_col).alias("BMI"),
@@ -146,9 +161,9 @@ def bmi(journal: DataFrame, bmi_codes: DataFrame, height_codes: DataFrame, weigh
 
     parts = [
         shape(adult_coded(bmi_j), "VALUE1_CONDITION", CAT, "BMI (ADULT)"),
-        shape(adult_height_weight(height, weight, distinct_partners=True)
+        shape(adult_height_weight(height, weight, pairs=pairs)
               .withColumn("_b", F.coalesce("BMI", "VALUE1_CONDITION")), "_b", CAT, "HW (ADULT)"),
-        shape(child_height_weight_centiles(height, weight, lms, distinct_partners=True).filter(known),
+        shape(child_height_weight_centiles(height, weight, lms, pairs=pairs).filter(known),
               "BMI", "CENTILE_CLINICAL_BMI_CAT", "HW (CHILD) CENTILE"),
         shape(child_bmi_centiles(bmi_j, lms).filter(known), "BMI", "CENTILE_CLINICAL_BMI_CAT",
               "CHILD BMI CENTILE"),
