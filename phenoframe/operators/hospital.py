@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .joins import maybe_broadcast
-
 # FIXED VALUES: practice codes that mark an episode as out of scope.
 EXCLUDED_PRACTICES = ["Y", "Q99"]
 # How many of the newest yearly shards are read.
@@ -23,8 +21,7 @@ def latest_shards(df: DataFrame, year: str = "YEAR", n: int = DEFAULT_SHARDS) ->
     tiny table; it is broadcast into a semi join, which lets Spark prune
     partitions when ``year`` is a partition column.
     """
-    years = df.select(year).where(F.col(year).isNotNull()).distinct().orderBy(F.col(year).desc()).limit(n)
-    return df.join(F.broadcast(years), year, "left_semi")
+    return df.join(F.broadcast(shard_years(df, year, n)), year, "left_semi")
 
 
 def shard_years(df: DataFrame, year: str = "YEAR", n: int = DEFAULT_SHARDS) -> DataFrame:
@@ -78,8 +75,3 @@ def join_halves(ident: DataFrame, clinical: DataFrame, key: str = "EPISODE_KEY",
         cols.append(F.col(year).alias("YEAR"))
     return ident.join(right, on, "inner").select(*cols)
 
-
-__all__ = [
-    "EXCLUDED_PRACTICES", "latest_shards", "shard_years", "catalog_shard_years",
-    "read_catalog_shards", "join_halves", "maybe_broadcast",
-]

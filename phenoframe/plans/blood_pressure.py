@@ -90,7 +90,7 @@ def readings(tagged: DataFrame, distinct_partners: bool = False) -> tuple[DataFr
     return numeric, text
 
 
-def blood_pressure(journal: DataFrame, codes: DataFrame, key: str = KEY, stage: bool = True) -> DataFrame:
+def blood_pressure(journal: DataFrame, codes: DataFrame, stage: bool = True) -> DataFrame:
     """Distinct rows on each patient's latest date with a known status, for
     patients whose rows on that date agree, with the age by calendar year.
     ``stage`` checkpoints the tagged rows (read by four branches) and the
@@ -101,5 +101,5 @@ def blood_pressure(journal: DataFrame, codes: DataFrame, key: str = KEY, stage:
     status = materialise(union_sources([num.filter(F.col(CAT) != BP_INDETERMINABLE),
                                         txt.filter(F.col(CAT) != BP_INDETERMINABLE)],
                                        distinct=False, columns=cols), stage)
-    latest = latest_consistent(status, key, "DATE", CAT, BP_CATEGORIES).distinct()
+    latest = latest_consistent(status, KEY, "DATE", CAT, BP_CATEGORIES).distinct()
     return latest.withColumn("AGE_AT_TIME_OF_JOURNAL", age_by_year("DATE", "YEAR_OF_BIRTH"))

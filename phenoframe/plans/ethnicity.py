@@ -177,7 +177,8 @@ def recent_living(rows: DataFrame) -> DataFrame:
 
 def ethnicity_recent_primary(journal: DataFrame, codes: DataFrame, labels: dict | None = None) -> DataFrame:
     """Most recent category from the primary-care journal codes and ethnic
-    field, living patients only.  One journal scan, one aggregation."""
+    field, living patients only.  One journal scan; two aggregations, both
+    combined map-side."""
     return recent_living(_all_rows(journal, codes, None, labels or RECENT_LABELS, 6))
 
 

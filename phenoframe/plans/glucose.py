@@ -38,7 +38,7 @@ def fasting_status(tagged: DataFrame, distinct_partners: bool = False) -> DataFr
     return matched.withColumn(CAT, band(glucose_fasting_rules(), GLUCOSE_INDETERMINABLE))
 
 
-def blood_glucose(journal: DataFrame, codes: DataFrame, key: str = KEY, stage: bool = True) -> DataFrame:
+def blood_glucose(journal: DataFrame, codes: DataFrame, stage: bool = True) -> DataFrame:
     """Distinct rows on each patient's latest date with a known status, for
     patients whose rows on that date agree.  ``stage`` checkpoints the
     tagged rows (read by three branches) and the status rows (read twice)."""
@@ -49,4 +49,4 @@ def blood_glucose(journal: DataFrame, codes: DataFrame, key: str = KEY, stage: b
     # UNION's de-duplication commutes with the latest/conflict filters, so it
     # runs on the few surviving rows; they are already clustered by
     # (patient, date), so it adds no shuffle.
-    return latest_consistent(status, key, "DATE", CAT, GLUCOSE_CATEGORIES).distinct()
+    return latest_consistent(status, KEY, "DATE", CAT, GLUCOSE_CATEGORIES).distinct()

@@ -22,7 +22,7 @@ def categorise_smoking(journal: DataFrame, codes: DataFrame, dedupe_codes: bool
             .withColumn("DATA_DICTIONARY_CATS", band(smoking_dictionary_rules(), "Ex-Smoker")))
 
 
-def smoking(journal: DataFrame, codes: DataFrame, key: str = KEY, dedupe_codes: bool = False,
+def smoking(journal: DataFrame, codes: DataFrame, dedupe_codes: bool = False,
             stage: bool = True) -> DataFrame:
     """Rows on each patient's latest date with a known status, for patients
     whose rows on that date agree; plus the whole-year age at that date.
@@ -33,5 +33,5 @@ def smoking(journal: DataFrame, codes: DataFrame, key: str = KEY, dedupe_codes:
     """
     cats = categorise_smoking(journal, codes, dedupe_codes)
     known = materialise(cats.filter(F.col("DATA_DICTIONARY_CATS") != SMOKING_INDETERMINABLE), stage)
-    latest = latest_consistent(known, key, "DATE", "DATA_DICTIONARY_CATS", SMOKING_CATEGORIES)
+    latest = latest_consistent(known, KEY, "DATE", "DATA_DICTIONARY_CATS", SMOKING_CATEGORIES)
     return latest.withColumn("AGE_AT_TIME_OF_JOURNAL", age_years("DATE", "DATE_OF_BIRTH", whole=True))

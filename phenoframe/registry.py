@@ -19,7 +19,7 @@ from .functions.ages import age_by_year, age_months, age_months_bracket, age_yea
 from .functions.banding import (BP_INDETERMINABLE, GLUCOSE_INDETERMINABLE, INDETERMINABLE_BMI, band,
                                 bp_text_rules, child_bmi_rules, child_code_rules, computed_bmi_rules,
                                 adult_bmi_rules)
-from .functions.measures import height_to_cm, lms_interpolate, lms_zscore
+from .functions.measures import height_to_cm, lms_interpolate
 from .operators.hospital import join_halves, latest_shards
 from .operators.lms import lms_lookup
 from .operators.pairing import pair_same_day
@@ -116,6 +116,11 @@ def q_ethnicity_modal(spark, sf):
     return eth.ethnicity_modal(_journal(spark, sf), _codes(spark, "ethnicity"), _hospital(spark, sf))
 
 
+def q_ethnicity_modal_living(spark, sf):
+    return eth.ethnicity_modal(_journal(spark, sf), _codes(spark, "ethnicity"), _hospital(spark, sf),
+                               living_only=True)
+
+
 # ---------------------------------------------------------------------------
 # Operators
 # ---------------------------------------------------------------------------
@@ -362,6 +367,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ethnicity_recent_primary": q_ethnicity_recent_primary,
     "ethnicity_recent_all": q_ethnicity_recent_all,
     "ethnicity_modal": q_ethnicity_modal,
+    "ethnicity_modal_living": q_ethnicity_modal_living,
     # operators
     "tag_codes": q_tag_codes,
     "age_years": q_age_years,

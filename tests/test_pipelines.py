@@ -2,7 +2,6 @@
 differential check against the DuckDB oracle."""
 
 import datetime as dt
-import os
 import random
 from collections import Counter
 
@@ -102,3 +101,26 @@ def test_smoking_fan_out_with_duplicated_list(spark):
     single = smoking(j, codes).count()
     assert smoking(j, doubled).count() == 2 * single
     assert smoking(j, doubled, dedupe_codes=True).count() == single
+
+
+@pytest.mark.parametrize("name", PIPELINES)
+def test_result_patients_come_from_the_input(spark, name):
+    out = {r[0] for r in se.queries()[name](spark, SF_SMALL).select("PATIENT_ID").distinct().collect()}
+    journal = fixtures.journal(spark, SF_SMALL).select("PATIENT_ID")
+    hosp = [fixtures.hospital_halves(spark, SF_SMALL, k)[0].select("PATIENT_ID")
+            for k in ("admitted", "emergency", "outpatient")]
+    src = journal
+    for h in hosp:
+        src = src.unionByName(h)
+    assert out <= {r[0] for r in src.distinct().collect()}
+
+
+def test_union_order_does_not_matter(spark):
+    from phenoframe.operators.union import union_sources
+    from phenoframe.plans.blood_pressure import readings
+    from phenoframe.operators.tagging import tag_codes
+    t = tag_codes(fixtures.journal(spark, SF_SMALL, ["bp"]), codelist_df(spark, "bp"))
+    num, txt = readings(t)
+    a = union_sources([num, txt.select(*num.columns)])
+    b = union_sources([txt.select(*num.columns), num])
+    assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)

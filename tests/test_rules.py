@@ -4,7 +4,6 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from phenoframe.functions import banding as b
 from phenoframe.functions.ages import age_months, age_months_bracket, age_years
