@@ -114,23 +114,30 @@ def _known(c):
     return c.isNotNull() & ~c.isin(UNKNOWN_ETHNIC_VALUES)
 
 
-def _rec(cond, date, cat, source: str, labels: dict):
-    return F.when(cond, F.struct(date.alias("DATE"), cat.alias("ETHNICITY"), F.lit(labels[source]).alias("SOURCE"),
-                                 F.lit(PRIORITY[source]).alias("PRIORITY"),
-                                 F.lit(SOURCE_BIT[source]).alias("BIT")))
+def _rec(date, cat, source: str, labels: dict):
+    return F.struct(date.alias("DATE"), cat.alias("ETHNICITY"), F.lit(labels[source]).alias("SOURCE"),
+                    F.lit(PRIORITY[source]).alias("PRIORITY"), F.lit(SOURCE_BIT[source]).alias("BIT"))
 
 
 def primary_care_rows(journal: DataFrame, codes: DataFrame, labels: dict) -> DataFrame:
     """One pass over the journal: per row the patient, whether the row has no
     death date (``_alive``) and an array of its 0-2 ethnicity records (from
-    an ethnicity code and from the ethnic field)."""
+    an ethnicity code and from the ethnic field; NULL when it has none).
+
+    The array is chosen by a plain CASE rather than built and filtered with
+    a higher-order function: CASE is code-generated, lambdas are
+    interpreted per element."""
     lookup = maybe_broadcast(codes.select(F.col("code").alias("CODE"), "PrimaryCode"))
     j = journal.join(lookup, "CODE", "left")
     pc, eth_field = F.col("PrimaryCode"), F.col("ETHNIC")
-    recs = F.array(_rec(_known(pc), F.col("RECORD_DATE"), pc, JOURNAL, labels),
-                   _rec(_known(eth_field), F.col("REPORTING_PERIOD_END_DATE"), eth_field, PATIENT, labels))
+    from_code, from_field = _known(pc), _known(eth_field)
+    rec_code = _rec(F.col("RECORD_DATE"), pc, JOURNAL, labels)
+    rec_field = _rec(F.col("REPORTING_PERIOD_END_DATE"), eth_field, PATIENT, labels)
+    recs = (F.when(from_code & from_field, F.array(rec_code, rec_field))
+            .when(from_code, F.array(rec_code))
+            .when(from_field, F.array(rec_field)))
     return j.filter(F.col(KEY).isNotNull()).select(
-        KEY, F.col("DATE_OF_DEATH").isNull().alias("_alive"), F.filter(recs, lambda r: r.isNotNull()).alias("_recs"))
+        KEY, F.col("DATE_OF_DEATH").isNull().alias("_alive"), recs.alias("_recs"))
 
 
 def hospital_rows(hospital: dict | None, labels: dict, shards: int) -> list[DataFrame]:
@@ -140,7 +147,7 @@ def hospital_rows(hospital: dict | None, labels: dict, shards: int) -> list[Data
             ident, clinical = hospital[source]
             h = hospital_ethnicity(ident, clinical, shards)
             out.append(h.select(KEY, F.lit(None).cast("boolean").alias("_alive"), F.array(
-                _rec(F.lit(True), F.col("EVENT_DATE"), F.col("ETHNIC_CODE"), source, labels)).alias("_recs")))
+                _rec(F.col("EVENT_DATE"), F.col("ETHNIC_CODE"), source, labels)).alias("_recs")))
     return out
 
 

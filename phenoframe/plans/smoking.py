@@ -32,6 +32,10 @@ def smoking(journal: DataFrame, codes: DataFrame, dedupe_codes: bool = False,
     the known-status rows, which are read twice (see ``materialise``).
     """
     cats = categorise_smoking(journal, codes, dedupe_codes)
-    known = materialise(cats.filter(F.col("DATA_DICTIONARY_CATS") != SMOKING_INDETERMINABLE), stage)
+    # The dictionary status is Indeterminable exactly when the smoking status
+    # is, so filter on the latter: the optimizer pushes this filter through
+    # the projection with the rule chain inlined, and the dictionary rules
+    # would inline the smoking chain five times (once per reference).
+    known = materialise(cats.filter(F.col("SMOKING_CATS") != SMOKING_INDETERMINABLE), stage)
     latest = latest_consistent(known, KEY, "DATE", "DATA_DICTIONARY_CATS", SMOKING_CATEGORIES)
     return latest.withColumn("AGE_AT_TIME_OF_JOURNAL", age_years("DATE", "DATE_OF_BIRTH", whole=True))
