@@ -26,19 +26,22 @@ from ..operators.tagging import tag_codes
 from ..plans.glucose import non_fasting_status
 from ..plans.smoking import categorise_smoking
 
-# kind: (row-level stage, category column, indeterminable label, label set)
+# kind: (row-level stage, category column, column tested for the
+# indeterminable label, that label, label set).  Smoking tests its first-level
+# status, which is indeterminable exactly when the dictionary status is and
+# keeps the pushed-down filter small (see plans.smoking).
 KINDS = {
-    "smoking": (lambda j, c: categorise_smoking(j, c), "DATA_DICTIONARY_CATS", SMOKING_INDETERMINABLE,
-                SMOKING_CATEGORIES),
+    "smoking": (lambda j, c: categorise_smoking(j, c), "DATA_DICTIONARY_CATS", "SMOKING_CATS",
+                SMOKING_INDETERMINABLE, SMOKING_CATEGORIES),
     "glucose_single": (lambda j, c: non_fasting_status(tag_codes(j, c)), "CATEGORISED_BLOOD_GLUCOSE",
-                       GLUCOSE_INDETERMINABLE, GLUCOSE_CATEGORIES),
+                       "CATEGORISED_BLOOD_GLUCOSE", GLUCOSE_INDETERMINABLE, GLUCOSE_CATEGORIES),
 }
 
 
 def status_rows(journal: DataFrame, codes: DataFrame, kind: str) -> DataFrame:
     """Known-status rows of one journal (streaming or batch)."""
-    stage, cat, indeterminable, _ = KINDS[kind]
-    return stage(journal, codes).filter(F.col(cat) != indeterminable)
+    stage, _, tested, indeterminable, _ = KINDS[kind]
+    return stage(journal, codes).filter(F.col(tested) != indeterminable)
 
 
 def start_status_stream(journal_stream: DataFrame, codes: DataFrame, kind: str, path: str,
@@ -63,5 +66,5 @@ def start_status_stream(journal_stream: DataFrame, codes: DataFrame, kind: str,
 def latest_from_status(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Rows on each patient's latest date, conflicts removed, from the
     accumulated status table."""
-    _, cat, _, categories = KINDS[kind]
+    _, cat, _, _, categories = KINDS[kind]
     return latest_consistent(spark.read.parquet(path), KEY, "DATE", cat, categories)
