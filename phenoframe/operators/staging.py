@@ -34,12 +34,17 @@ def checkpoint_folder(df: DataFrame) -> str | None:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialise(df: DataFrame, enabled: bool = True, name: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, enabled: bool = True, name: str = "stage",
+                partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to a fresh parquet folder under the checkpoint folder and
-    return a DataFrame reading it; ``df`` unchanged when no folder is set."""
+    return a DataFrame reading it; ``df`` unchanged when no folder is set.
+    ``partition_by`` lays the files out by those columns, so readers that
+    filter on them read only their part."""
     folder = checkpoint_folder(df) if enabled else None
     if not folder:
         return df
     path = f"{folder.rstrip('/')}/phenoframe-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    return out.select(*df.columns) if partition_by else out

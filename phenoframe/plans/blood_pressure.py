@@ -90,12 +90,14 @@ def readings(tagged: DataFrame, distinct_partners: bool = False) -> tuple[DataFr
     return numeric, text
 
 
-def blood_pressure(journal: DataFrame, codes: DataFrame, stage: bool = True) -> DataFrame:
+def blood_pressure(journal: DataFrame | None, codes: DataFrame | None, stage: bool = True,
+                   tagged: DataFrame | None = None) -> DataFrame:
     """Distinct rows on each patient's latest date with a known status, for
     patients whose rows on that date agree, with the age by calendar year.
     ``stage`` checkpoints the tagged rows (read by four branches) and the
     status rows (read twice)."""
-    tagged = materialise(tag_codes(journal, codes), stage)
+    # ``tagged``: rows already tagged with this list (see plans.combined).
+    tagged = materialise(tag_codes(journal, codes), stage) if tagged is None else tagged
     num, txt = readings(tagged, distinct_partners=True)
     cols = list(tagged.columns) + ["SBP_CATS", "DBP_CATS", CAT]
     status = materialise(union_sources([num.filter(F.col(CAT) != BP_INDETERMINABLE),

@@ -138,16 +138,19 @@ def tag_bmi_lists(journal: DataFrame, bmi_codes: DataFrame, height_codes: DataFr
     return tag_codes(journal, lists, tags=["BMI_CAT", "LIST"])
 
 
-def bmi(journal: DataFrame, bmi_codes: DataFrame, height_codes: DataFrame, weight_codes: DataFrame,
-        lms: DataFrame, stage: bool = True) -> DataFrame:
+def bmi(journal: DataFrame | None, bmi_codes: DataFrame | None, height_codes: DataFrame | None,
+        weight_codes: DataFrame | None, lms: DataFrame, stage: bool = True,
+        tagged: DataFrame | None = None) -> DataFrame:
     """Distinct 14-column rows on each patient's latest date, for patients
     whose rows on that date agree on ``BMI_CATEGORY``.
 
     The journal is scanned once for all three code lists; ``stage``
     checkpoints those rows (read by seven branches) and the combined rows
-    (read twice).
+    (read twice).  ``tagged``: rows already tagged with ``BMI_CAT`` and
+    ``LIST`` (see ``plans.combined``).
     """
-    tagged = materialise(tag_bmi_lists(journal, bmi_codes, height_codes, weight_codes), stage)
+    if tagged is None:
+        tagged = materialise(tag_bmi_lists(journal, bmi_codes, height_codes, weight_codes), stage)
     lst = F.col("LIST")
     bmi_j = tagged.filter(lst == "bmi").drop("LIST")
     height = tagged.filter(lst == "height").drop("LIST", "BMI_CAT")

@@ -38,11 +38,13 @@ def fasting_status(tagged: DataFrame, distinct_partners: bool = False) -> DataFr
     return matched.withColumn(CAT, band(glucose_fasting_rules(), GLUCOSE_INDETERMINABLE))
 
 
-def blood_glucose(journal: DataFrame, codes: DataFrame, stage: bool = True) -> DataFrame:
+def blood_glucose(journal: DataFrame | None, codes: DataFrame | None, stage: bool = True,
+                  tagged: DataFrame | None = None) -> DataFrame:
     """Distinct rows on each patient's latest date with a known status, for
     patients whose rows on that date agree.  ``stage`` checkpoints the
     tagged rows (read by three branches) and the status rows (read twice)."""
-    tagged = materialise(tag_codes(journal, codes), stage)
+    # ``tagged``: rows already tagged with this list (see plans.combined).
+    tagged = materialise(tag_codes(journal, codes), stage) if tagged is None else tagged
     known = [s.filter(F.col(CAT) != GLUCOSE_INDETERMINABLE)
              for s in (non_fasting_status(tagged), fasting_status(tagged, distinct_partners=True))]
     status = materialise(union_sources(known, distinct=False), stage)

@@ -124,3 +124,19 @@ def test_union_order_does_not_matter(spark):
     a = union_sources([num, txt.select(*num.columns)])
     b = union_sources([txt.select(*num.columns), num])
     assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+
+
+def test_combined_run_equals_separate_runs(spark):
+    from phenoframe.plans import blood_glucose, bmi
+    from phenoframe.plans.combined import banded_phenotypes
+    j = fixtures.journal(spark, SF_SMALL)
+    c = lambda n: codelist_df(spark, n)
+    lms = fixtures.lms_table(spark)
+    combined = banded_phenotypes(j, c("smoking"), c("glucose"), c("bp"), c("bmi"), c("height"), c("weight"), lms)
+    separate = {"smoking": smoking(j, c("smoking")), "blood_glucose": blood_glucose(j, c("glucose")),
+                "blood_pressure": blood_pressure(j, c("bp")),
+                "bmi": bmi(j, c("bmi"), c("height"), c("weight"), lms)}
+    for name, df in separate.items():
+        got = combined[name]
+        assert got.columns == df.columns, name
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr), name

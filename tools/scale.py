@@ -12,6 +12,7 @@ import os
 import statistics
 import sys
 import tempfile
+import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -52,6 +53,12 @@ def main():
         for label, todo in (("phenoframe", ours), ("published_shape", ref)):
             bench.run_once(todo[name])
             res[label][name] = round(statistics.median(bench.run_once(todo[name]) for _ in range(runs)), 2)
+    run = bench.combined_banded(spark, paths)
+    run()
+    samples = []
+    for _ in range(runs):
+        t = time.perf_counter(); run(); samples.append(time.perf_counter() - t)
+    res["banded_one_scan"] = round(statistics.median(samples), 2)
     res["phenoframe_total"] = round(sum(res["phenoframe"].values()), 2)
     res["published_shape_total"] = round(sum(res["published_shape"].values()), 2)
     print(json.dumps(res))
