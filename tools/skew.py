@@ -35,11 +35,14 @@ def hot_journal(j):
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = get_session("local[8]", shuffle_partitions=16, conf={
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.autoBroadcastJoinThreshold": "-1"})
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        # Many small read tasks, as a large input would have: skew splits
+        # work on map-output blocks, so one or two map tasks leave nothing to split.
+        "spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostInBytes": "16k"})
     scratch = tempfile.mkdtemp(prefix="phenoframe-skew-", dir="/tmp")
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir(scratch + "/ck")
