@@ -1,7 +1,7 @@
 """Skew experiment: one patient holds a third of the journal, all on one date.
 
 Writes the derived sf journal, reassigns a third of its rows to patient '0'
-on 2024-01-20, runs pipelines with broadcast joins disabled and AQE skew
+on the last day, runs pipelines with broadcast joins disabled and AQE skew
 thresholds scaled to the small data, and reports whether the final adaptive
 plan split the skewed (patient, date) join partition.
 
@@ -28,7 +28,7 @@ from phenoframe.sources.codelists import codelist_df  # noqa: E402
 
 def hot_journal(j):
     h = F.xxhash64("LINKS") % 3 == 0
-    return (j.withColumn("DATE", F.when(h, F.lit("2024-01-20").cast("date")).otherwise(F.col("DATE")))
+    return (j.withColumn("DATE", F.when(h, F.lit("2024-01-30").cast("date")).otherwise(F.col("DATE")))
              .withColumn("PATIENT_ID", F.when(h, F.lit("0")).otherwise(F.col("PATIENT_ID"))))
 
 
