@@ -40,9 +40,13 @@ def main():
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
-        # Many small read tasks, as a large input would have: skew splits
-        # work on map-output blocks, so one or two map tasks leave nothing to split.
-        "spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostInBytes": "16k"})
+        # Many small read tasks, as a large input would have: AQE splits a
+        # skewed partition along map-output blocks, so a partition that one
+        # map task produced (here: a domain's staged rows in one small file
+        # with one row group) has nothing to split.  Small row groups and
+        # read splits give the staged files many map tasks.
+        "spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostInBytes": "16k",
+        "spark.hadoop.parquet.block.size": str(256 * 1024)})
     scratch = tempfile.mkdtemp(prefix="phenoframe-skew-", dir="/tmp")
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir(scratch + "/ck")
