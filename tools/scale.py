@@ -23,7 +23,7 @@ from phenoframe.session import get_session  # noqa: E402
 
 
 def replicate(spark, sf: str, n: int, out: str) -> None:
-    copy = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_copy")
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_copy")
     ev = spark.read.parquet(f"{sf}/events.parquet").select("*", copy)
     ev.select((F.col("event_id") + F.col("_copy") * 10_000_000).alias("event_id"), "ts",
               (F.col("user_id") + F.col("_copy") * 1_000_000).alias("user_id"), "event_type", "value", "props") \
