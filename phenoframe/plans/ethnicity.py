@@ -119,25 +119,38 @@ def _rec(date, cat, source: str, labels: dict):
                     F.lit(PRIORITY[source]).alias("PRIORITY"), F.lit(SOURCE_BIT[source]).alias("BIT"))
 
 
-def primary_care_rows(journal: DataFrame, codes: DataFrame, labels: dict) -> DataFrame:
+def primary_care_rows(journal: DataFrame, codes: DataFrame, labels: dict, dated: bool = True) -> DataFrame:
     """One pass over the journal: per row the patient, whether the row has no
     death date (``_alive``) and an array of its 0-2 ethnicity records (from
     an ethnicity code and from the ethnic field; NULL when it has none).
 
     The array is chosen by a plain CASE rather than built and filtered with
     a higher-order function: CASE is code-generated, lambdas are
-    interpreted per element."""
+    interpreted per element.  With ``dated=False`` (the modal method, which
+    ignores dates) rows are first reduced by a hash aggregation to distinct
+    (patient, code category, field category) -- combined map-side -- so the
+    records are built for a handful of rows per patient, not for every
+    journal row."""
     lookup = maybe_broadcast(codes.select(F.col("code").alias("CODE"), "PrimaryCode"))
-    j = journal.join(lookup, "CODE", "left")
-    pc, eth_field = F.col("PrimaryCode"), F.col("ETHNIC")
-    from_code, from_field = _known(pc), _known(eth_field)
-    rec_code = _rec(F.col("RECORD_DATE"), pc, JOURNAL, labels)
-    rec_field = _rec(F.col("REPORTING_PERIOD_END_DATE"), eth_field, PATIENT, labels)
-    recs = (F.when(from_code & from_field, F.array(rec_code, rec_field))
-            .when(from_code, F.array(rec_code))
-            .when(from_field, F.array(rec_field)))
-    return j.filter(F.col(KEY).isNotNull()).select(
-        KEY, F.col("DATE_OF_DEATH").isNull().alias("_alive"), recs.alias("_recs"))
+    j = journal.join(lookup, "CODE", "left").filter(F.col(KEY).isNotNull())
+    pc_raw, ef_raw = F.col("PrimaryCode"), F.col("ETHNIC")
+    alive = F.col("DATE_OF_DEATH").isNull()
+    if dated:
+        rows = j.select(KEY, alive.alias("_alive"), F.when(_known(pc_raw), pc_raw).alias("_pc"),
+                        F.when(_known(ef_raw), ef_raw).alias("_ef"), F.col("RECORD_DATE").alias("_dc"),
+                        F.col("REPORTING_PERIOD_END_DATE").alias("_df"))
+    else:
+        none = F.lit(None).cast("date")
+        rows = (j.groupBy(KEY, F.when(_known(pc_raw), pc_raw).alias("_pc"), F.when(_known(ef_raw), ef_raw).alias("_ef"))
+                .agg(F.max(alive).alias("_alive"))
+                .withColumn("_dc", none).withColumn("_df", none))
+    pc, ef = F.col("_pc"), F.col("_ef")
+    rec_code = _rec(F.col("_dc"), pc, JOURNAL, labels)
+    rec_field = _rec(F.col("_df"), ef, PATIENT, labels)
+    recs = (F.when(pc.isNotNull() & ef.isNotNull(), F.array(rec_code, rec_field))
+            .when(pc.isNotNull(), F.array(rec_code))
+            .when(ef.isNotNull(), F.array(rec_field)))
+    return rows.select(KEY, "_alive", recs.alias("_recs"))
 
 
 def hospital_rows(hospital: dict | None, labels: dict, shards: int) -> list[DataFrame]:
@@ -151,8 +164,8 @@ def hospital_rows(hospital: dict | None, labels: dict, shards: int) -> list[Data
     return out
 
 
-def _all_rows(journal, codes, hospital, labels, shards) -> DataFrame:
-    parts = [primary_care_rows(journal, codes, labels)] + hospital_rows(hospital, labels, shards)
+def _all_rows(journal, codes, hospital, labels, shards, dated: bool = True) -> DataFrame:
+    parts = [primary_care_rows(journal, codes, labels, dated)] + hospital_rows(hospital, labels, shards)
     rows = reduce(DataFrame.unionByName, parts)
     return rows.select(KEY, "_alive", F.explode_outer("_recs").alias("r"))
 
@@ -213,7 +226,7 @@ def ethnicity_modal(journal: DataFrame, codes: DataFrame, hospital: dict, labels
     a patient are OR-ed into a 5-bit mask (one partial aggregation), the
     votes are its bit count, and a second partial aggregation per patient
     keeps the unique top category."""
-    rows = _all_rows(journal, codes, hospital, labels or MODAL_LABELS, shards)
+    rows = _all_rows(journal, codes, hospital, labels or MODAL_LABELS, shards, dated=False)
     r = F.col("r")
     if not living_only:
         rows = rows.filter(r.isNotNull())   # rows without a record only carry the alive flag
