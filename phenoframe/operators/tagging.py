@@ -18,7 +18,9 @@ def tag_codes(journal: DataFrame, codes: DataFrame, tags: list[str] | None = Non
     so the journal is not shuffled.
     """
     tags = [c for c in codes.columns if c not in (key, "ix")] if tags is None else tags
-    right = codes.select(F.col(key).alias(code_col), *tags)
+    # Codes are strings (up to 16 digits); a list read with numeric types is
+    # cast so the join compares text, never numbers.
+    right = codes.select(F.col(key).cast("string").alias(code_col), *tags)
     if dedupe_codes:
         right = right.dropDuplicates()
     joined = lookup_join(journal, right, code_col, "inner")

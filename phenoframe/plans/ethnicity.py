@@ -131,7 +131,7 @@ def primary_care_rows(journal: DataFrame, codes: DataFrame, labels: dict, dated:
     (patient, code category, field category) -- combined map-side -- so the
     records are built for a handful of rows per patient, not for every
     journal row."""
-    lookup = maybe_broadcast(codes.select(F.col("code").alias("CODE"), "PrimaryCode"))
+    lookup = maybe_broadcast(codes.select(F.col("code").cast("string").alias("CODE"), "PrimaryCode"))
     j = journal.join(lookup, "CODE", "left").filter(F.col(KEY).isNotNull())
     pc_raw, ef_raw = F.col("PrimaryCode"), F.col("ETHNIC")
     alive = F.col("DATE_OF_DEATH").isNull()

@@ -61,6 +61,9 @@ def normalise_journal(df: DataFrame, id_col: str = KEY) -> DataFrame:
         df = df.withColumn("YEAR_OF_BIRTH", F.year("DATE_OF_BIRTH"))
     if "YEAR_OF_DEATH" not in cols and "DATE_OF_DEATH" in cols:
         df = df.withColumn("YEAR_OF_DEATH", F.year("DATE_OF_DEATH"))
+    if isinstance(df.schema["CODE"].dataType, (T.FloatType, T.DoubleType)):
+        # A double prints as 1.23E14; go through an integral decimal for digits.
+        df = df.withColumn("CODE", F.col("CODE").cast("decimal(38,0)"))
     out = []
     for f in JOURNAL_SCHEMA.fields:
         if f.name in df.columns:

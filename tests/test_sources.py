@@ -66,3 +66,17 @@ def test_catalog_shards(spark):
     assert years == ["2019", "2018"]
     df = read_catalog_shards(spark, db, "adm", years, prefix="src_")
     assert sorted(r.YEAR for r in df.collect()) == [2018, 2019]
+
+
+def test_numeric_codes_become_digit_strings(spark):
+    df = spark.createDataFrame(
+        [("p1", "P1", dt.date(2024, 1, 31), dt.date(2024, 1, 31), dt.date(2024, 1, 2), dt.date(2024, 1, 2),
+          1234567890123456.0, 1.5, None)],
+        "PATIENT_ID string, PRACTICE string, REPORTING_PERIOD_END_DATE date, "
+        "JOURNAL_REPORTING_PERIOD_END_DATE date, DATE date, RECORD_DATE date, CODE double, "
+        "VALUE1_CONDITION double, VALUE2_CONDITION double")
+    j = normalise_journal(df)
+    assert j.first().CODE == "1234567890123456"
+    from phenoframe.operators.tagging import tag_codes
+    codes = spark.createDataFrame([(1234567890123456, "A")], "code long, TAG string")
+    assert tag_codes(j, codes).select("TAG").first().TAG == "A"
