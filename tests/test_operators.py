@@ -150,3 +150,13 @@ def test_hot_patient_latest_consistent_matches_brute_force(spark):
     got_encoded = sorted(r[3] for r in latest_consistent(df, categories=["A", "B"]).collect())
     assert got == want == got_encoded
     assert any(r[0] == "hot" for r in rows if r[3] in set(want))
+
+
+def test_join_halves_with_source_column_names(spark):
+    ident = spark.createDataFrame([(1, "p", 2020), (2, "q", 2020)], "EKEY int, PID string, SHARD int")
+    clin = spark.createDataFrame([(1, D1, "A", "P1", 2020), (2, D2, "B", "Q99", 2020)],
+                                 "EKEY int, ADMIDATE date, ETH string, PRAC string, SHARD int")
+    out = join_halves(ident, clin, key="EKEY", patient="PID", date="ADMIDATE", ethnic="ETH",
+                      practice="PRAC", year="SHARD")
+    assert out.columns == ["PATIENT_ID", "EVENT_DATE", "ETHNIC_CODE", "YEAR"]
+    assert _set(out) == [("p", D1, "A", 2020)]
