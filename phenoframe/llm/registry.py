@@ -4,22 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from phenoframe.llm import oracle, quality, sharding
+from phenoframe.llm import fingerprints, oracle, quality, sharding, token_counts, viterbi
 from phenoframe.llm.text import documents
 
 
+MODEL = "piece_bpe_32k.model"
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path(MODEL))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(documents(spark, sf_dir))
 
 
+def op7_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(MODEL)).drop("text")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_sharding, op7_piece_viterbi, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
