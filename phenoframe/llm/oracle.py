@@ -2,6 +2,117 @@
 
 from __future__ import annotations
 
+from phenoframe.llm import mixing, quality, sharding
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def draw(key: str, salt: str) -> str:
+    """Uniform number in (0, 1) from a text key and a salt."""
+    return f"((('0x' || substr(md5({key} || '{salt}'), 1, {sharding.DRAW_DIGITS}))::BIGINT + 0.5::DOUBLE) / {sharding.DRAW_RANGE:.0f}::DOUBLE)"
+
+
+KEY = "coalesce(doc_id::VARCHAR, '')"
+
+
+def op8() -> str:
+    m = mixing
+    shares = ", ".join(f"pow(sum(tokens) OVER (PARTITION BY {c})::DOUBLE, {m.FLATTEN}) AS {c}_raw" for c in m.MARGINALS)
+    steps, last = [], "start"
+    for i in range(m.SWEEPS):
+        for c in m.MARGINALS:
+            steps.append(f"s{i}_{c} AS (SELECT * REPLACE (weight * {c}_share * total / sum(weight) OVER (PARTITION BY {c}) AS weight) FROM {last})")
+            last = f"s{i}_{c}"
+    totals = ", ".join(f"{c}_raw / (SELECT sum(x) FROM (SELECT DISTINCT {c}, {c}_raw AS x FROM raw)) AS {c}_share" for c in m.MARGINALS)
+    factors = ["k0 AS (SELECT 0.0::DOUBLE AS k)"]
+    for i in range(m.FACTOR_ROUNDS):
+        factors.append(f"k{i + 1} AS (SELECT CASE WHEN coalesce(sum(weight) FILTER (WHERE weight * k < tokens), 0) = 0 THEN max(k) ELSE "
+                       f"greatest(0.0, {m.KEEP} * sum(tokens) - coalesce(sum(tokens) FILTER (WHERE weight * k >= tokens), 0))"
+                       f" / sum(weight) FILTER (WHERE weight * k < tokens) END AS k FROM fitted, k{i})")
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(source, '{m.NONE}') AS source, coalesce(lang, '{m.NONE}') AS lang, coalesce(text, '') AS t FROM documents),
+measured AS (
+    SELECT doc_id, source, lang, length(t) AS n, length(t) - length(translate(t, '{m.DIGITS}', '')) AS digits,
+        length(t) - length(replace(t, chr(10), '')) + 1 AS lines, len(regexp_extract_all(t, '{WORD}')) + 1 AS tokens FROM texts),
+rows AS MATERIALIZED (
+    SELECT doc_id, source, lang, tokens::BIGINT AS tokens,
+        CASE WHEN n = 0 THEN 'empty' WHEN digits * 50 >= n THEN 'figures' WHEN lines * 80 >= n THEN 'list' WHEN n >= 4000 THEN 'long' ELSE 'short' END AS topic
+    FROM measured),
+cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL),
+raw AS MATERIALIZED (SELECT *, sum(tokens) OVER () AS total, {shares} FROM cells),
+start AS (SELECT source, lang, topic, tokens, tokens AS weight, total, {totals} FROM raw),
+{', '.join(steps)},
+fitted AS MATERIALIZED (SELECT source, lang, topic, tokens, weight FROM {last}),
+{', '.join(factors)}
+SELECT doc_id, source, lang, topic, rows.tokens AS tokens, round(least(1.0, weight * k / fitted.tokens), 6) AS probability,
+    {draw(KEY, m.DRAW_SALT)} < least(1.0, weight * k / fitted.tokens) AS kept
+FROM rows JOIN fitted USING (source, lang, topic), k{m.FACTOR_ROUNDS}"""
+
+
+def crc_table() -> list[int]:
+    """Checksums of single bytes under the reflected polynomial of CRC-32."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+def op5() -> str:
+    def shard(n: int) -> str:
+        # Equal weights: the smallest -ln(u) is the largest u.
+        return f"list_position(us[:{n}], list_max(us[:{n}])) - 1"
+
+    n = sharding.N_SHARDS
+    us = ", ".join(draw(KEY, f":{i}") for i in range(n + 1))
+    return f"""
+WITH bytes AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crc AS (
+    SELECT doc_id, n + 1 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, {crc_table()}[xor(c & 255, b) + 1])), 4294967295::BIGINT) AS text_crc32 FROM bytes),
+dealt AS (SELECT *, [{us}] AS us FROM crc),
+placed AS (SELECT doc_id, size, text_crc32, ({shard(n)})::INTEGER AS shard, ({shard(n + 1)})::INTEGER AS grown_shard FROM dealt)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
+    row_number() OVER (PARTITION BY shard ORDER BY md5({KEY}), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM placed"""
+
+
+def op1() -> str:
+    q = quality
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    symbols = quoted(q.SYMBOLS)
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+split AS MATERIALIZED (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS w, string_split(t, chr(10)) AS lines FROM texts),
+windows AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]])) AS x,
+    unnest(range(1, len(w) - 1)) AS i FROM split WHERE len(w) >= 3),
+repeated AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM repeated, range(3) AS s(j) GROUP BY doc_id),
+worded AS (SELECT *, list_filter(lines, lambda x: trim(x, {blanks}) <> '') AS lw FROM split),
+judged AS (
+    SELECT *, list_transform(lines, lambda x: trim(x, {blanks}) <> '' AND (
+        NOT regexp_matches(right(rtrim(x, {blanks}), 6), {quoted(q.CLOSING)})
+        OR (length(x) - length(translate(x, {quoted(q.NOISE)}, ''))) * 10 >= length(x)
+        OR (length(x) - length(translate(x, {quoted(q.SEPARATORS)}, '')) >= 2
+            AND (length(x) - length(translate(x, {quoted(q.SEPARATORS)}, ''))) * 30 >= length(x))
+        OR (length(x) <= {q.STOCK_LINE_CHARS} AND regexp_matches(lower(x), {quoted(q.STOCK)})))) AS bad
+    FROM worded),
+counted AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        (length(t) - length(translate(t, {symbols}, '')))::BIGINT AS n_symbols, (len(lw) - len(list_distinct(lw)))::BIGINT AS n_dup_lines,
+        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(list_filter(bad, lambda x: x))::BIGINT AS n_lines_removed,
+        length(translate(array_to_string(list_filter(lines, lambda x, i: bad[i]), ''), {blanks}, ''))::BIGINT AS chars_removed,
+        array_to_string(list_filter(lines, lambda x, i: NOT bad[i]), chr(10)) AS cleaned
+    FROM judged LEFT JOIN covered USING (doc_id)),
+based AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND 100 * chars_removed <= {q.MAX_LOSS_PERCENT} * word_chars AS kept, n_lines_removed, chars_removed, sha256(cleaned) AS cleaned_sha256
+FROM based"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": op1(), "op5_sharding": op5(), "op8_source_mixing": op8()}
