@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from phenoframe.llm import fingerprints, mixing, oracle, quality, sharding, token_counts, viterbi
+from phenoframe.llm import fingerprints, mixing, oracle, prefix_free, quality, sharding, token_counts, viterbi
 from phenoframe.llm.text import documents
 
 
@@ -26,6 +26,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(documents(spark, sf_dir))
 
 
+def op6_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.repeats_report(documents(spark, sf_dir))
+
+
 def op7_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(MODEL)).drop("text")
 
@@ -39,7 +43,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_sharding, op7_piece_viterbi, op8_source_mixing, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_sharding, op6_repeated_spans, op7_piece_viterbi, op8_source_mixing, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
