@@ -33,10 +33,10 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def in_blocks(docs: DataFrame, total: int) -> DataFrame:
-    """``doc_id`` and ``text`` (NULL as empty) with the block of each row; ``total`` is the sum of the texts' bytes."""
+    """``doc_id`` and ``text`` (NULL as empty) with the ``row``'s hash and its ``block``; ``total`` is the sum of the texts' bytes."""
     n = max(LEAST_BLOCKS, total // BLOCK_BYTES)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"),
-                       F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    return rows.withColumn("block", F.pmod("row", F.lit(n)).cast("int"))
 
 
 def n_buckets(facts: int) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from phenoframe.llm import bloom_lm, fingerprints, mixing, oracle, prefix_free, quality, sharding, token_counts, viterbi
+from phenoframe.llm import bloom_lm, fingerprints, jaccard_groups, mixing, oracle, prefix_free, quality, sharding, token_counts, viterbi
 from phenoframe.llm.text import documents
 
 
@@ -46,8 +46,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(documents(spark, sf_dir))
 
 
+def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.document_components(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_bloom_scores, op4_token_counts, op5_sharding, op6_repeated_spans, op7_piece_viterbi, op8_source_mixing, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_bloom_scores, op4_token_counts, op5_sharding, op6_repeated_spans, op7_piece_viterbi, op8_source_mixing, op9_fingerprints, op10_jaccard_components)}
 
 
 def oracle_sql() -> dict[str, str]:
