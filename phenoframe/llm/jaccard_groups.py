@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from phenoframe.llm import blocks
 from phenoframe.llm.components import connected
 from phenoframe.llm.stages import cut
+from phenoframe.llm.text import BLANKS
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -246,12 +247,11 @@ def matrix_links(sets: DataFrame, heads: DataFrame) -> DataFrame:
     return members.groupBy("head", "chunk").cogroup(queries.groupBy("of", "part")).applyInArrow(open_chunks, "a long, b long")
 
 
-def document_components(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``."""
+def labelled(docs: DataFrame) -> DataFrame:
+    """One row per document: ``doc_id``, text hashes ``t1`` and ``t2``, ``n_shingles``, ``component_id`` and ``label`` of its component."""
     total = blocks.text_bytes(docs)
     buckets = blocks.n_buckets(total // 6)  # a shingle for about six bytes
     placed = blocks.in_blocks(docs, total)
-    blank = F.lit(0).cast("long")
     equal = placed.select("doc_id", "row", "block", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     chosen = equal.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "row", "block")).alias("one"), F.min("doc_id").alias("least_id"))
     chosen = cut(chosen.select("t1", "t2", "least_id", F.col("one.row").alias("row"), F.col("one.block").alias("block")))
@@ -270,12 +270,30 @@ def document_components(docs: DataFrame) -> DataFrame:
              .select("t1", "t2", F.col("size").cast("long").alias("n_shingles"), F.coalesce("label", "row").alias("label"), "least_id"))
     texts = cut(texts)
     least = texts.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    known = texts.join(least, "label").select("t1", "t2", "n_shingles", "component_id")
-    own = F.when(F.col("n_shingles") == blank, F.col("doc_id")).otherwise(F.col("component_id"))
-    return equal.select("doc_id", "t1", "t2").join(known, ["t1", "t2"]).select("doc_id", "n_shingles", own.alias("component_id"))
+    known = texts.join(least, "label")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return equal.select("doc_id", "t1", "t2").join(known, ["t1", "t2"]).select(
+        "doc_id", "t1", "t2", "n_shingles", own.alias("component_id"), "label")
+
+
+def document_components(docs: DataFrame) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_shingles`` and ``component_id``."""
+    return labelled(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the least id, in the columns of ``docs``; empty texts all stay."""
-    ids = document_components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    names = docs.columns
+    found = cut(labelled(docs).select("doc_id", "t1", "t2", "n_shingles", "label"))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2")
+    heads = found.where("n_shingles > 0").groupBy("label").agg(F.min(key).alias("head")).select("head.doc_id", "head.t1", "head.t2")
+    heads = heads.union(found.where("n_shingles = 0").select("doc_id", "t1", "t2").distinct())
+    text = F.coalesce("text", F.lit(""))
+    packed = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2"))
+    kept = packed.join(heads, same, "left_semi")
+    repeated = found.where("n_shingles > 0").groupBy("doc_id", "t1", "t2").count().where("count > 1").limit(1).count()
+    if repeated:  # equal rows under one id
+        blank = F.length(F.trim(F.coalesce("row.text", F.lit("")), F.lit(BLANKS))) == 0
+        kept = kept.withColumn("own", F.when(blank, F.monotonically_increasing_id()).otherwise(-1)).dropDuplicates(["id", "h1", "h2", "own"])
+    return kept.select("row.*")

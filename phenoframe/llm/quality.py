@@ -132,6 +132,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """Documents that pass, with their cleaned texts, in the columns of ``docs``."""
     names = docs.columns
     plain = docs.select(*[F.col(c) for c in ("doc_id", "text")], F.struct(*names).alias("row"))
-    good = clean_documents(plain).where("kept")
+    judged = clean_documents(plain)
     new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
-    return good.select(*[new.get(c, F.col("row")[c]).alias(c) for c in names])
+    row = F.struct(*[new.get(c, F.col("row")[c]).alias(c) for c in names])
+    # An array of one row or none: a filter would be moved below the counts and repeat all of their work.
+    return judged.select(F.explode(F.filter(F.array(F.struct("kept", row.alias("row"))), lambda x: x["kept"])).alias("found")).select("found.row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from phenoframe.llm import bloom_lm, fingerprints, jaccard_groups, mixing, oracle, prefix_free, quality, sharding, token_counts, viterbi
+from phenoframe.llm import bloom_lm, fingerprints, jaccard_groups, line_templates, mixing, oracle, prefix_free, quality, sharding, token_counts, viterbi
 from phenoframe.llm.text import documents
 
 
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.template_report(documents(spark, sf_dir))
+
+
 def op3_bloom_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_documents(documents(spark, sf_dir))
 
@@ -51,7 +55,9 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_bloom_scores, op4_token_counts, op5_sharding, op6_repeated_spans, op7_piece_viterbi, op8_source_mixing, op9_fingerprints, op10_jaccard_components)}
+    every = (op1_quality_rules, op2_line_templates, op3_bloom_scores, op4_token_counts, op5_sharding, op6_repeated_spans,
+             op7_piece_viterbi, op8_source_mixing, op9_fingerprints, op10_jaccard_components)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

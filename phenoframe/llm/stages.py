@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,21 +12,30 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, read from there from now on.
-
-    The folder is the one that the session names.  Only a local session
-    that names none gets a temporary one.
-    """
+def shared_folder(df: DataFrame) -> str:
+    """The checkpoint folder that the session names; only a local session that names none gets a temporary one."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpus-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, read from there from now on."""
+    shared_folder(df)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the checkpoint folder and read back."""
+    path = f"{shared_folder(df).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (narrow, and already cut) marked for broadcast when it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
