@@ -15,33 +15,32 @@ DEFAULT_SHARDS = 6
 
 
 def latest_shards(df: DataFrame, year: str = "YEAR", n: int = DEFAULT_SHARDS) -> DataFrame:
-    """Rows of the ``n`` newest years present in ``df``.
-
-    The distinct years are few (one per shard), so the top ``n`` of them is a
-    tiny table; it is broadcast into a semi join, which lets Spark prune
-    partitions when ``year`` is a partition column.
-    """
-    return df.join(F.broadcast(shard_years(df, year, n)), year, "left_semi")
+    """Rows of the ``n`` newest years present in ``df``, by a filter on the
+    years' values, which prunes partitions when ``year`` is a partition column."""
+    return df.filter(F.col(year).isin(shard_years(df, year, n)))
 
 
-def shard_years(df: DataFrame, year: str = "YEAR", n: int = DEFAULT_SHARDS) -> DataFrame:
-    """The ``n`` newest years as a one-column DataFrame (newest first)."""
-    return df.select(year).where(F.col(year).isNotNull()).distinct().orderBy(F.col(year).desc()).limit(n)
+def shard_years(df: DataFrame, year: str = "YEAR", n: int = DEFAULT_SHARDS) -> list[int]:
+    """The ``n`` newest years, newest first (at most ``n`` values come to the
+    driver; of a table partitioned by year only the partition names are read)."""
+    found = df.select(year).where(F.col(year).isNotNull()).distinct().orderBy(F.col(year).desc()).limit(n)
+    return [r[0] for r in found.collect()]
 
 
 _YEAR = re.compile(r"([0-2][0-9]{3})")
 
 
-def catalog_shard_years(spark: SparkSession, database: str, n: int = DEFAULT_SHARDS) -> list[str]:
+def catalog_shard_years(spark: SparkSession, database: str, n: int = DEFAULT_SHARDS, kind: str | None = None) -> list[str]:
     """Years of the permanent ``<prefix>_<kind>_<year>`` tables in a catalog
-    database, newest ``n`` first.  Reads table names only (catalog metadata),
-    no data."""
+    database, newest ``n`` first; of one ``kind`` of table only when given
+    (datasets need not have the same years).  Reads table names only (catalog
+    metadata), no data."""
     years = set()
     for t in spark.catalog.listTables(database):
         if t.isTemporary:
             continue
         parts = t.name.split("_")
-        if len(parts) > 2:
+        if len(parts) > 2 and kind in (None, parts[1]):
             m = _YEAR.search(parts[2])
             if m:
                 years.add(m.group(1))
@@ -50,9 +49,10 @@ def catalog_shard_years(spark: SparkSession, database: str, n: int = DEFAULT_SHA
 
 def read_catalog_shards(spark: SparkSession, database: str, kind: str, years: list[str],
                         prefix: str = "") -> DataFrame:
-    """Union of the per-year tables ``{database}.{prefix}{kind}_{year}``,
-    with the shard's year as an INT ``YEAR`` column."""
-    parts = [spark.table(f"{database}.{prefix}{kind}_{y}").withColumn("YEAR", F.lit(int(y)))
+    """Distinct rows of the per-year tables ``{database}.{prefix}{kind}_{year}``,
+    with the shard's year as an INT ``YEAR`` column (rows are distinct within
+    a year, so the years are never compared with each other)."""
+    parts = [spark.table(f"{database}.{prefix}{kind}_{y}").distinct().withColumn("YEAR", F.lit(int(y)))
              for y in years]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

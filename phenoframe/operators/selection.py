@@ -11,6 +11,8 @@ skewed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,15 +141,15 @@ def modal_category(votes: DataFrame, key: str = KEY, cat: str = "ETHNICITY") ->
     return per.filter(F.col("_hi.c") == F.col("_lo.c")).select(key, F.col("_hi.c").alias(cat))
 
 
-def vote_counts(votes: DataFrame, key: str = KEY, cat: str = "ETHNICITY") -> DataFrame:
-    """Votes per (patient, category) as ``COUNT``."""
-    return votes.groupBy(key, cat).agg(F.count(F.lit(1)).alias("COUNT"))
+def no_death(journal: DataFrame) -> Column:
+    """True for rows with neither a date nor a year of death (a journal may hold either)."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNull() for c in ("DATE_OF_DEATH", "YEAR_OF_DEATH") if c in journal.columns])
 
 
-def keep_living(df: DataFrame, journal: DataFrame, key: str = KEY, death: str = "DATE_OF_DEATH") -> DataFrame:
-    """Keep patients with at least one journal row without a death date.
+def keep_living(df: DataFrame, journal: DataFrame, key: str = KEY) -> DataFrame:
+    """Keep patients with at least one journal row without a death date or year.
     Patients absent from the journal are dropped too."""
-    alive = journal.filter(F.col(death).isNull() & F.col(key).isNotNull()).select(key).distinct()
+    alive = journal.filter(no_death(journal) & F.col(key).isNotNull()).select(key).distinct()
     return df.join(alive, key, "left_semi")
 
 
@@ -163,7 +165,12 @@ def drop_indeterminable(df: DataFrame, col: str, values: list[str]) -> DataFrame
     return df.filter(~F.col(col).isin(values))
 
 
-def fallback_source(primary: DataFrame, secondary: DataFrame, key: str = KEY) -> DataFrame:
-    """``primary`` plus the ``secondary`` rows of patients absent from it."""
-    missing = secondary.join(primary.select(key), key, "left_anti")
+def fallback_source(primary: DataFrame, secondary: DataFrame, key: str = KEY, available: DataFrame | None = None) -> DataFrame:
+    """``primary`` plus the ``secondary`` rows of patients for whom the first source has nothing.
+
+    ``available`` holds the patients for whom it has something (by default
+    those of ``primary``): with the source's records, a patient whose
+    records conflict is left out rather than filled from the second source.
+    """
+    missing = secondary.join((primary if available is None else available).select(key).distinct(), key, "left_anti")
     return primary.unionByName(missing, allowMissingColumns=True)

@@ -12,16 +12,25 @@ folder is shared storage: the files outlive lost executors and cut the
 lineage.  Parquet rather than an RDD checkpoint: it is columnar and
 compressed, written by Spark's vectorised writer instead of row-by-row
 object serialisation, and each later read prunes columns (the per-patient
-aggregation reads three of them).  When the session has no checkpoint folder
-the DataFrame is returned unchanged and Spark recomputes it per read
-(correct, just slower).
+aggregation reads three of them).  A session on a cluster must name that
+folder; without one a pipeline would scan its journal once per branch, so
+``materialise`` raises.
+
+Stages stay until they are removed: run pipelines inside ``staged_run`` and
+write their results there; the stages written meanwhile go at its end.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+# Stages written in the present ``staged_run``.
+_written: list[str] = []
 
 
 def checkpoint_folder(df: DataFrame) -> str | None:
@@ -31,19 +40,38 @@ def checkpoint_folder(df: DataFrame) -> str | None:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(conf)
         return conf
-    return spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    if not context.getCheckpointDir() and context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="phenoframe-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+@contextmanager
+def staged_run(spark: SparkSession) -> Iterator[None]:
+    """Remove the stages written inside the block when it ends."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while len(_written) > before:
+            path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+            path.getFileSystem(conf).delete(path, True)
 
 
 def materialise(df: DataFrame, enabled: bool = True, name: str = "stage",
                 partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to a fresh parquet folder under the checkpoint folder and
-    return a DataFrame reading it; ``df`` unchanged when no folder is set.
+    return a DataFrame reading it; ``df`` unchanged when not ``enabled``.
     ``partition_by`` lays the files out by those columns, so readers that
     filter on them read only their part."""
-    folder = checkpoint_folder(df) if enabled else None
-    if not folder:
+    if not enabled:
         return df
+    folder = checkpoint_folder(df)
+    if not folder:
+        raise ValueError("stages need spark.checkpoint.dir, a folder that all executors share (or stage=False)")
     path = f"{folder.rstrip('/')}/phenoframe-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     out = df.sparkSession.read.parquet(path)

@@ -23,7 +23,7 @@ def tag_codes(journal: DataFrame, codes: DataFrame, tags: list[str] | None = Non
     right = codes.select(F.col(key).cast("string").alias(code_col), *tags)
     if dedupe_codes:
         right = right.dropDuplicates()
-    joined = lookup_join(journal, right, code_col, "inner")
+    joined = lookup_join(journal, right, code_col, "inner", checked=codes)
     return joined.select(*journal.columns, *tags)
 
 
@@ -31,4 +31,4 @@ def label_category(df: DataFrame, labels: DataFrame, col: str = "ETHNIC_CATEGORY
                    key: str = "ETHNIC_CATEGORY_ID", label: str = "ETHNIC_CATEGORY_LABEL") -> DataFrame:
     """Add the label of a category code (NULL when the code is not listed)."""
     right = labels.select(F.col(key).alias(col), F.col(label))
-    return lookup_join(df, right, col, "left").select(*df.columns, label)
+    return lookup_join(df, right, col, "left", checked=labels).select(*df.columns, label)

@@ -23,6 +23,7 @@ from ..operators.selection import KEY, latest_consistent
 from ..operators.staging import materialise
 from ..operators.tagging import tag_codes
 from ..operators.union import union_sources
+from ..schemas import require
 
 CAT = "FINAL_BP_CATS"
 
@@ -96,6 +97,7 @@ def blood_pressure(journal: DataFrame | None, codes: DataFrame | None, stage: bo
     patients whose rows on that date agree, with the age by calendar year.
     ``stage`` checkpoints the tagged rows (read by four branches) and the
     status rows (read twice)."""
+    require(journal if tagged is None else tagged, "blood_pressure")
     # ``tagged``: rows already tagged with this list (see plans.combined).
     tagged = materialise(tag_codes(journal, codes), stage) if tagged is None else tagged
     num, txt = readings(tagged, distinct_partners=True)

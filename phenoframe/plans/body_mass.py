@@ -27,6 +27,7 @@ from ..operators.selection import KEY, latest_consistent
 from ..operators.staging import materialise
 from ..operators.tagging import tag_codes
 from ..operators.union import union_sources
+from ..schemas import require
 
 CAT = "BMI_CATEGORISED_INITIAL"
 AGE = "AGE_AT_TIME_OF_JOURNAL"
@@ -149,6 +150,7 @@ def bmi(journal: DataFrame | None, bmi_codes: DataFrame | None, height_codes: Da
     (read twice).  ``tagged``: rows already tagged with ``BMI_CAT`` and
     ``LIST`` (see ``plans.combined``).
     """
+    require(journal if tagged is None else tagged, "bmi")
     if tagged is None:
         tagged = materialise(tag_bmi_lists(journal, bmi_codes, height_codes, weight_codes), stage)
     lst = F.col("LIST")

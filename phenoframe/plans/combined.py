@@ -21,21 +21,16 @@ from .body_mass import bmi
 from .glucose import blood_glucose
 from .smoking import smoking
 
-# domain -> tag columns the pipeline expects
-TAGS = {
-    "smoking": ["CATEGORY"],
-    "glucose": ["TYPE_OF_BLOOD_GLUCOSE_RECORD", "FASTING_STATUS"],
-    "bp": ["INITIAL_BREAKDOWN", "TYPE_OF_JOURNAL"],
-    "bmi": ["BMI_CAT"],
-    "height": [],
-    "weight": [],
-}
+
+def tags_of(codes: DataFrame) -> list[str]:
+    """Description and tag columns of a list."""
+    return [c for c in codes.columns if c not in ("code", "ix")]
 
 
 def tag_all(journal: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
     """Journal rows whose code is in any list, with ``DOMAIN`` and every
-    list's tag columns (NULL for the other lists').  One broadcast join."""
-    parts = [codes.select("code", *TAGS[name], F.lit(name).alias("DOMAIN")) for name, codes in lists.items()]
+    list's columns (NULL where a list has no such column).  One broadcast join."""
+    parts = [codes.select("code", *tags_of(codes), F.lit(name).alias("DOMAIN")) for name, codes in lists.items()]
     return tag_codes(journal, union_sources(parts, distinct=False))
 
 
@@ -54,8 +49,8 @@ def banded_phenotypes(journal: DataFrame, smoking_codes: DataFrame, glucose_code
 
     bmi_rows = part("bmi", "height", "weight", tags=["BMI_CAT", "DOMAIN"]).withColumnRenamed("DOMAIN", "LIST")
     return {
-        "smoking": smoking(None, None, stage=stage, tagged=part("smoking", tags=TAGS["smoking"])),
-        "blood_glucose": blood_glucose(None, None, stage=stage, tagged=part("glucose", tags=TAGS["glucose"])),
-        "blood_pressure": blood_pressure(None, None, stage=stage, tagged=part("bp", tags=TAGS["bp"])),
+        "smoking": smoking(None, None, stage=stage, tagged=part("smoking", tags=tags_of(smoking_codes))),
+        "blood_glucose": blood_glucose(None, None, stage=stage, tagged=part("glucose", tags=tags_of(glucose_codes))),
+        "blood_pressure": blood_pressure(None, None, stage=stage, tagged=part("bp", tags=tags_of(bp_codes))),
         "bmi": bmi(None, None, None, None, lms, stage=stage, tagged=bmi_rows),
     }

@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.hospital import join_halves, shard_years
-from ..operators.joins import maybe_broadcast
-from ..operators.selection import KEY, drop_unknown_codes
+from ..operators.joins import lookup_join
+from ..operators.selection import KEY, drop_unknown_codes, fallback_source, keep_living, no_death
 from ..operators.tagging import tag_codes
+from ..schemas import require
 from ..sources.codelists import UNKNOWN_ETHNIC_VALUES
 
 # Source labels and priorities (lower wins).  Labels are parameters of the
@@ -56,14 +57,18 @@ def patient_ethnicity(journal: DataFrame) -> DataFrame:
     return drop_unknown_codes(journal, "ETHNIC")
 
 
-def hospital_ethnicity(ident: DataFrame, clinical: DataFrame, shards: int = 6) -> DataFrame:
+def hospital_ethnicity(ident: DataFrame, clinical: DataFrame, shards: int = 6, names: dict | None = None) -> DataFrame:
     """(PATIENT_ID, EVENT_DATE, ETHNIC_CODE) of the newest ``shards`` years of
     one hospital dataset, excluded practices and unknown categories
-    removed.  The years are taken from the identifying half and applied to
-    both halves (a broadcast semi join, so partitioned tables are pruned)."""
-    years = F.broadcast(shard_years(ident, n=shards))
-    joined = join_halves(ident.join(years, "YEAR", "left_semi"), clinical.join(years, "YEAR", "left_semi"))
-    return drop_unknown_codes(joined, "ETHNIC_CODE")
+    removed.  The years are taken from the identifying half and become a
+    filter on both halves, so both are pruned.  ``names`` gives the dataset's
+    own column names as arguments of ``join_halves`` (key, patient, date,
+    ethnic, practice, year)."""
+    names = {"key": "EPISODE_KEY", "patient": "PATIENT_ID", "date": "EVENT_DATE", "ethnic": "ETHNIC_CODE",
+             "practice": "PRACTICE_CODE", "year": "YEAR"} | (names or {})
+    chosen = F.col(names["year"]).isin(shard_years(ident, names["year"], shards))
+    known = drop_unknown_codes(clinical.filter(chosen), names["ethnic"])
+    return join_halves(ident.filter(chosen), known, **names)
 
 
 def _records(df: DataFrame, date: str, cat: str, source: str, labels: dict) -> DataFrame:
@@ -75,7 +80,8 @@ def source_records(journal: DataFrame, codes: DataFrame, hospital: dict | None =
                    labels: dict | None = None, shards: int = 6) -> DataFrame:
     """All dated ethnicity records: PATIENT_ID, DATE, ETHNICITY, SOURCE,
     PRIORITY.  ``hospital`` maps admitted/emergency/outpatient to
-    (identifying, clinical) halves."""
+    (identifying, clinical) halves, or to (identifying, clinical, names) when
+    the dataset has its own column names."""
     labels = labels or RECENT_LABELS
     parts = [
         _records(journal_ethnicity(journal, codes), "RECORD_DATE", "PrimaryCode", JOURNAL, labels),
@@ -83,8 +89,7 @@ def source_records(journal: DataFrame, codes: DataFrame, hospital: dict | None =
     ]
     for source in (ADMITTED, EMERGENCY, OUTPATIENT):
         if hospital and source in hospital:
-            ident, clinical = hospital[source]
-            parts.append(_records(hospital_ethnicity(ident, clinical, shards), "EVENT_DATE", "ETHNIC_CODE",
+            parts.append(_records(hospital_ethnicity(*hospital[source][:2], shards, *hospital[source][2:]), "EVENT_DATE", "ETHNIC_CODE",
                                   source, labels))
     return reduce(DataFrame.unionByName, parts)
 
@@ -131,10 +136,10 @@ def primary_care_rows(journal: DataFrame, codes: DataFrame, labels: dict, dated:
     (patient, code category, field category) -- combined map-side -- so the
     records are built for a handful of rows per patient, not for every
     journal row."""
-    lookup = maybe_broadcast(codes.select(F.col("code").cast("string").alias("CODE"), "PrimaryCode"))
-    j = journal.join(lookup, "CODE", "left").filter(F.col(KEY).isNotNull())
+    lookup = codes.select(F.col("code").cast("string").alias("CODE"), "PrimaryCode")
+    j = lookup_join(journal, lookup, "CODE", "left", checked=codes).filter(F.col(KEY).isNotNull())
     pc_raw, ef_raw = F.col("PrimaryCode"), F.col("ETHNIC")
-    alive = F.col("DATE_OF_DEATH").isNull()
+    alive = no_death(journal)
     if dated:
         rows = j.select(KEY, alive.alias("_alive"), F.when(_known(pc_raw), pc_raw).alias("_pc"),
                         F.when(_known(ef_raw), ef_raw).alias("_ef"), F.col("RECORD_DATE").alias("_dc"),
@@ -157,8 +162,7 @@ def hospital_rows(hospital: dict | None, labels: dict, shards: int) -> list[Data
     out = []
     for source in (ADMITTED, EMERGENCY, OUTPATIENT):
         if hospital and source in hospital:
-            ident, clinical = hospital[source]
-            h = hospital_ethnicity(ident, clinical, shards)
+            h = hospital_ethnicity(*hospital[source][:2], shards, *hospital[source][2:])
             out.append(h.select(KEY, F.lit(None).cast("boolean").alias("_alive"), F.array(
                 _rec(F.col("EVENT_DATE"), F.col("ETHNIC_CODE"), source, labels)).alias("_recs")))
     return out
@@ -199,24 +203,35 @@ def ethnicity_recent_primary(journal: DataFrame, codes: DataFrame, labels: dict
     """Most recent category from the primary-care journal codes and ethnic
     field, living patients only.  One journal scan; two aggregations, both
     combined map-side."""
+    require(journal, "ethnicity")
     return recent_living(_all_rows(journal, codes, None, labels or RECENT_LABELS, 6))
 
 
+def ethnicity_with_fallback(journal: DataFrame, codes: DataFrame, hospital: dict, labels: dict | None = None,
+                            shards: int = 6) -> DataFrame:
+    """Most recent category from primary care, or from hospital care for
+    patients of whom primary care holds no dated known category; living patients
+    only.  A patient whose primary-care records conflict has one available,
+    though unclear, and gets none."""
+    require(journal, "ethnicity")
+    labels = labels or RECENT_LABELS
+    primary = source_records(journal, codes, None, labels)
+    hospitals = reduce(DataFrame.unionByName, [
+        _records(hospital_ethnicity(*hospital[s][:2], shards, *hospital[s][2:]), "EVENT_DATE", "ETHNIC_CODE", s, labels)
+        for s in (ADMITTED, EMERGENCY, OUTPATIENT) if s in hospital])
+    both = fallback_source(recent_category(primary), recent_category(hospitals), KEY,
+                           available=primary.where(F.col(KEY).isNotNull() & F.col("DATE").isNotNull()))
+    return keep_living(both, journal)
+
+
 def ethnicity_recent_all(journal: DataFrame, codes: DataFrame, hospital: dict, labels: dict | None = None,
                          shards: int = 6) -> DataFrame:
     """Most recent category over primary care and hospital sources, living
     patients only (so hospital-only patients are dropped)."""
+    require(journal, "ethnicity")
     return recent_living(_all_rows(journal, codes, hospital, labels or RECENT_LABELS, shards))
 
 
-def ethnicity_votes(journal: DataFrame, codes: DataFrame, hospital: dict, labels: dict | None = None,
-                    shards: int = 6) -> DataFrame:
-    """Distinct (PATIENT_ID, ETHNICITY, SOURCE): one vote per source."""
-    labels = labels or MODAL_LABELS
-    recs = source_records(journal, codes, hospital, labels, shards)
-    return recs.select(KEY, "ETHNICITY", "SOURCE").filter(F.col(KEY).isNotNull()).distinct()
-
-
 def ethnicity_modal(journal: DataFrame, codes: DataFrame, hospital: dict, labels: dict | None = None,
                     shards: int = 6, living_only: bool = False) -> DataFrame:
     """Modal category per patient (PATIENT_ID, ETHNIC_CATEGORY_CODE).
@@ -226,6 +241,7 @@ def ethnicity_modal(journal: DataFrame, codes: DataFrame, hospital: dict, labels
     a patient are OR-ed into a 5-bit mask (one partial aggregation), the
     votes are its bit count, and a second partial aggregation per patient
     keeps the unique top category."""
+    require(journal, "ethnicity")
     rows = _all_rows(journal, codes, hospital, labels or MODAL_LABELS, shards, dated=False)
     r = F.col("r")
     if not living_only:

@@ -12,6 +12,7 @@ from ..operators.selection import KEY, latest_consistent
 from ..operators.staging import materialise
 from ..operators.tagging import tag_codes
 from ..operators.union import union_sources
+from ..schemas import require
 
 CAT = "CATEGORISED_BLOOD_GLUCOSE"
 FASTING = "FASTING_STATUS"
@@ -43,6 +44,7 @@ def blood_glucose(journal: DataFrame | None, codes: DataFrame | None, stage: boo
     """Distinct rows on each patient's latest date with a known status, for
     patients whose rows on that date agree.  ``stage`` checkpoints the
     tagged rows (read by three branches) and the status rows (read twice)."""
+    require(journal if tagged is None else tagged, "blood_glucose")
     # ``tagged``: rows already tagged with this list (see plans.combined).
     tagged = materialise(tag_codes(journal, codes), stage) if tagged is None else tagged
     known = [s.filter(F.col(CAT) != GLUCOSE_INDETERMINABLE)

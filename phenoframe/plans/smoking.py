@@ -11,6 +11,7 @@ from ..functions.banding import (SMOKING_CATEGORIES, SMOKING_INDETERMINABLE, ban
 from ..operators.selection import KEY, latest_consistent
 from ..operators.staging import materialise
 from ..operators.tagging import tag_codes
+from ..schemas import require
 
 
 def categorise_smoking(journal: DataFrame, codes: DataFrame | None, dedupe_codes: bool = False,
@@ -36,6 +37,7 @@ def smoking(journal: DataFrame | None, codes: DataFrame | None, dedupe_codes: bo
     ``tagged``: journal rows already tagged with the list's ``CATEGORY``
     (see ``plans.combined``).
     """
+    require(journal if tagged is None else tagged, "smoking")
     cats = categorise_smoking(journal, codes, dedupe_codes, tagged)
     # The dictionary status is Indeterminable exactly when the smoking status
     # is, so filter on the latter: the optimizer pushes this filter through

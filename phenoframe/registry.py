@@ -9,6 +9,8 @@ on Spark's result and on the DuckDB oracle's agree.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +22,13 @@ from .functions.banding import (BP_INDETERMINABLE, GLUCOSE_INDETERMINABLE, INDET
                                 bp_text_rules, child_bmi_rules, child_code_rules, computed_bmi_rules,
                                 adult_bmi_rules)
 from .functions.measures import height_to_cm, lms_interpolate
-from .operators.hospital import join_halves, latest_shards
+from .operators.hospital import catalog_shard_years, join_halves, latest_shards, read_catalog_shards, shard_years
 from .operators.lms import lms_lookup
 from .operators.pairing import pair_same_day
 from .operators.selection import (best_priority, dedupe_observations, drop_conflicts, drop_indeterminable,
-                                  drop_unknown_codes, fallback_source, keep_living, latest_per_patient,
+                                  drop_unknown_codes, keep_living, latest_per_patient,
                                   modal_category)
+from .operators.staging import checkpoint_folder
 from .operators.tagging import label_category, tag_codes
 from .operators.union import union_sources
 from .plans import body_mass as bmi_plan
@@ -34,7 +37,7 @@ from .plans.blood_pressure import blood_pressure, numeric_readings, text_reading
 from .plans.glucose import blood_glucose, fasting_matched, fasting_status, non_fasting_status
 from .plans.smoking import categorise_smoking, smoking
 from .sources import fixtures
-from .sources.codelists import codelist_df
+from .sources.codelists import codelist_df, codelist_path, read_codelist
 
 KEY = "PATIENT_ID"
 
@@ -76,7 +79,7 @@ def _hospital(spark, sf):
 
 
 def _bmi_inputs(spark, sf):
-    j = _journal(spark, sf, ["bmi"])
+    j = _journal(spark, sf)
     return (tag_codes(j, _codes(spark, "bmi"), tags=["BMI_CAT"]),
             tag_codes(j, _codes(spark, "height"), tags=[]),
             tag_codes(j, _codes(spark, "weight"), tags=[]),
@@ -131,20 +134,27 @@ def q_tag_codes(spark, sf):
                       "INITIAL_BREAKDOWN", "TYPE_OF_JOURNAL")
 
 
+def q_read_codelist(spark, sf):
+    """Journal rows for each line of a code list read from its file; lines that the list repeats count again."""
+    codes = read_codelist(spark, f"file://{codelist_path('smoking')}", key="SNOMED_concept_ID")
+    tagged = tag_codes(_journal(spark, sf), codes)
+    return tagged.groupBy("CODE", "Code_description", "CATEGORY").agg(F.count(F.lit(1)).alias("N_ROWS"))
+
+
 def q_age_years(spark, sf):
-    j = _journal(spark, sf, ["smoking"])
+    j = _journal(spark, sf)
     return j.select("LINKS", "DATE", "DATE_OF_BIRTH",
                     age_years("DATE", "DATE_OF_BIRTH").alias("AGE_YEARS"),
                     age_years("DATE", "DATE_OF_BIRTH", whole=True).alias("AGE_WHOLE_YEARS"))
 
 
 def q_age_by_year(spark, sf):
-    j = _journal(spark, sf, ["bp"])
+    j = _journal(spark, sf)
     return j.select("LINKS", "DATE", "YEAR_OF_BIRTH", age_by_year("DATE", "YEAR_OF_BIRTH").alias("AGE_BY_YEAR"))
 
 
 def q_age_months_bracket(spark, sf):
-    j = _journal(spark, sf, ["bmi"]).filter(age_years("DATE", "DATE_OF_BIRTH") < 18)
+    j = _journal(spark, sf).filter(age_years("DATE", "DATE_OF_BIRTH") < 18)
     j = j.withColumn("AGE_MONTHS", age_months("DATE", "DATE_OF_BIRTH"))
     return j.select("LINKS", "AGE_MONTHS", *[v.alias(k) for k, v in age_months_bracket("AGE_MONTHS").items()])
 
@@ -294,7 +304,7 @@ def q_drop_conflicts(spark, sf):
 
 
 def q_dedupe_observations(spark, sf):
-    je = eth.journal_ethnicity(_journal(spark, sf, ["ethnicity"]), _codes(spark, "ethnicity"))
+    je = eth.journal_ethnicity(_journal(spark, sf), _codes(spark, "ethnicity"))
     return dedupe_observations(je, KEY, "RECORD_DATE", "ETHNICITY", source_cat="PrimaryCode")
 
 
@@ -314,7 +324,7 @@ def q_best_priority(spark, sf):
 
 
 def q_modal_category(spark, sf):
-    je = eth.journal_ethnicity(_journal(spark, sf, ["ethnicity"]), _codes(spark, "ethnicity"))
+    je = eth.journal_ethnicity(_journal(spark, sf), _codes(spark, "ethnicity"))
     return modal_category(je.select(KEY, F.col("PrimaryCode").alias("ETHNICITY")), KEY, "ETHNICITY")
 
 
@@ -331,26 +341,41 @@ def q_drop_unknown_codes(spark, sf):
 
 
 def q_join_halves(spark, sf):
-    ident, clinical = fixtures.hospital_halves(spark, sf, "outpatient")
-    return join_halves(ident, clinical)
+    """All three datasets, each joined by itself."""
+    parts = [join_halves(*fixtures.hospital_halves(spark, sf, d)).withColumn("DATASET", F.lit(d)) for d in fixtures.HOSPITAL_DATASETS]
+    return union_sources(parts, distinct=False)
 
 
 def q_latest_shards(spark, sf):
-    ident, _ = fixtures.hospital_halves(spark, sf, "admitted")
-    return latest_shards(ident, "YEAR", 6)
+    """Both halves of all three datasets, each cut to its own newest years."""
+    parts = []
+    for d in fixtures.HOSPITAL_DATASETS:
+        for half, df in zip(("identifying", "clinical"), fixtures.hospital_halves(spark, sf, d)):
+            parts.append(latest_shards(df, "YEAR", 6).select("EPISODE_KEY", "YEAR", F.lit(d).alias("DATASET"), F.lit(half).alias("HALF")))
+    return union_sources(parts, distinct=False)
+
+
+def q_catalog_shards(spark, sf):
+    """Yearly shard tables in the catalog: found by name per dataset, and the
+    distinct rows of the newest six read back."""
+    database = f"phenoframe_{zlib.crc32(sf.encode())}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    folder = f"{checkpoint_folder(spark.range(0))}/phenoframe-shards-{uuid.uuid4().hex}"
+    parts = []
+    for dataset in fixtures.HOSPITAL_DATASETS:
+        _, clinical = fixtures.hospital_halves(spark, sf, dataset)
+        for year in shard_years(clinical, n=100):
+            shard = clinical.filter(F.col("YEAR") == year).select("EVENT_DATE", "ETHNIC_CODE")
+            spark.sql(f"DROP TABLE IF EXISTS {database}.hes_{dataset}_{year}")
+            shard.write.option("path", f"{folder}/{dataset}/{year}").saveAsTable(f"{database}.hes_{dataset}_{year}")
+        years = catalog_shard_years(spark, database, 6, dataset)
+        parts.append(read_catalog_shards(spark, database, dataset, years, "hes_").withColumn("DATASET", F.lit(dataset)))
+    return union_sources(parts, distinct=False)
 
 
 def q_fallback_source(spark, sf):
     j = _journal(spark, sf)
-    primary = eth.ethnicity_recent_primary(j, _codes(spark, "ethnicity"))
-    hosp = _hospital(spark, sf)
-    recs = None
-    for source in (eth.ADMITTED, eth.EMERGENCY, eth.OUTPATIENT):
-        ident, clinical = hosp[source]
-        r = eth._records(eth.hospital_ethnicity(ident, clinical), "EVENT_DATE", "ETHNIC_CODE", source,
-                         eth.RECENT_LABELS)
-        recs = r if recs is None else recs.unionByName(r)
-    return fallback_source(primary, eth.recent_category(recs), KEY)
+    return eth.ethnicity_with_fallback(j, _codes(spark, "ethnicity"), _hospital(spark, sf))
 
 
 def q_label_category(spark, sf):
@@ -370,6 +395,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ethnicity_modal_living": q_ethnicity_modal_living,
     # operators
     "tag_codes": q_tag_codes,
+    "read_codelist": q_read_codelist,
     "age_years": q_age_years,
     "age_by_year": q_age_by_year,
     "age_months_bracket": q_age_months_bracket,
@@ -400,6 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drop_unknown_codes": q_drop_unknown_codes,
     "join_halves": q_join_halves,
     "latest_shards": q_latest_shards,
+    "catalog_shards": q_catalog_shards,
     "fallback_source": q_fallback_source,
     "label_category": q_label_category,
 }

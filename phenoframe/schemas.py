@@ -40,6 +40,20 @@ REQUIRED = [KEY, "PRACTICE", "REPORTING_PERIOD_END_DATE", "JOURNAL_REPORTING_PER
             "DATE", "RECORD_DATE", "CODE", "VALUE1_CONDITION", "VALUE2_CONDITION"]
 
 
+# What each pipeline needs besides; without it the result would be empty or wrong, so the pipeline raises.
+NEEDED = {"smoking": ["DATE_OF_BIRTH"], "blood_glucose": [], "blood_pressure": ["YEAR_OF_BIRTH"],
+          "bmi": ["DATE_OF_BIRTH", "SEX", "ETHNIC"], "ethnicity": ["ETHNIC"]}
+ABSENT = {"absent": True}
+
+
+def require(journal: DataFrame, pipeline: str) -> None:
+    """Raise when a journal lacks a column that the pipeline needs."""
+    have = {f.name for f in journal.schema.fields if not f.metadata.get("absent")}
+    missing = [c for c in NEEDED[pipeline] if c not in have]
+    if missing:
+        raise ValueError(f"{pipeline} needs columns that the journal lacks: {missing}")
+
+
 def normalise_journal(df: DataFrame, id_col: str = KEY) -> DataFrame:
     """Bring a journal to the canonical column names and types.
 
@@ -48,7 +62,8 @@ def normalise_journal(df: DataFrame, id_col: str = KEY) -> DataFrame:
     * ``YEAR_OF_BIRTH`` / ``YEAR_OF_DEATH`` are derived from the dates when
       only the dates exist (never the other way round: a year does not give
       a date of birth);
-    * missing carried columns are added as NULL, known columns are cast to
+    * missing columns are added as NULL (``require`` tells them from columns
+      that the journal has), known columns are cast to
       the canonical type (``CODE`` is a string: codes have up to 16 digits).
     """
     if id_col != KEY:
@@ -69,6 +84,7 @@ def normalise_journal(df: DataFrame, id_col: str = KEY) -> DataFrame:
         if f.name in df.columns:
             out.append(F.col(f.name).cast(f.dataType).alias(f.name))
         else:
-            out.append(F.lit(None).cast(f.dataType).alias(f.name))
+            # Marked, so that a pipeline that needs it can tell it from a column of NULLs.
+            out.append(F.lit(None).cast(f.dataType).alias(f.name, metadata=ABSENT))
     extra = [c for c in df.columns if c not in JOURNAL_SCHEMA.fieldNames()]
     return df.select(*out, *extra)

@@ -6,8 +6,6 @@ for scripts, tests and the benchmark.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 # Long rule chains (the smoking and blood-pressure bands) generate Java
@@ -49,21 +47,3 @@ def get_session(master: str | None = None, app: str = "phenoframe", shuffle_part
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    Only when the session names none (local tests) is ``fallback`` set as
-    the checkpoint folder; on a cluster the setting must point at shared
-    storage and is used as is.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    if fallback:
-        os.makedirs(fallback, exist_ok=True)
-        spark.sparkContext.setCheckpointDir(fallback)
-        return fallback
-    return None

@@ -1,407 +1,70 @@
-"""Code lists: loading user-supplied lists, plus the fixed lists used by the
-built-in queries and tests.
+"""Code lists: loading user-supplied lists, and the published lists used by the registered queries and tests.
 
 A code list maps a clinical code to one or more tag columns.  Every list is
 normalised to a DataFrame whose key column is called ``code`` (string) and
-whose tag columns keep their original names, so ``tag_codes`` can carry them
-onto journal rows.
-
-Lists arrive in one of two ways:
+whose other columns (description and tags) keep their names, so
+``tag_codes`` can carry them onto journal rows.
 
 * ``read_codelist`` reads a CSV in the published format (header row, every
   column a string, optional UTF-8 BOM and CRLF line ends; Spark's CSV reader
   strips the BOM and the CR).
-* ``codelist_df`` builds a DataFrame from one of the fixed lists below.  Each
-  row also gets ``ix``, its 0-based position in the list, which the synthetic
-  journal uses to pick codes.
+* ``codelist_df`` gives one of the published lists, which are kept as files in
+  ``phenoframe/codelists`` (fixed values, in file order: the banding rules
+  give the published categories only with these).  Its optional ``ix`` is
+  the 0-based position in the list, by which the synthetic journal picks codes.
+
+The smoking list repeats most of its rows.  They stay: tagging with a list
+that repeats a code multiplies journal rows, as a join does.
 """
 
 from __future__ import annotations
 
+import csv
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-# ---------------------------------------------------------------------------
-# FIXED VALUES -- these must equal the published code lists for the banding
-# rules to give the published categories.  Listed in file order.  Only the
-# code and the tag columns are kept (descriptions carry no logic).
-# ---------------------------------------------------------------------------
-
-# Body-mass-index codes: (code, BMI_CAT)
-BMI_CODES = [
-    ("736013005", "UNSUITABLE/DECLINED"),
-    ("914731000000107", "OBESE"),
-    ("60621009", "ALL"),
-    ("414915002", "OBESE"),
-    ("921051000000109", "CHILD"),
-    ("920291000000102", "CHILD"),
-    ("162765000", "UNDERWEIGHT"),
-    ("920931000000108", "CHILD"),
-    ("1046351000000106", "UNSUITABLE/DECLINED"),
-    ("35425004", "IDEAL"),
-    ("920181000000105", "CHILD"),
-    ("48499001", "UNKNOWN"),
-    ("920311000000101", "CHILD"),
-    ("162690006", "OBESE"),
-    ("920251000000105", "CHILD"),
-    ("427090001", "UNDERWEIGHT"),
-    ("846931000000101", "ALL"),
-    ("162764001", "UNDERWEIGHT"),
-    ("722595002", "OVERWEIGHT"),
-    ("715456008", "ALL"),
-    ("1046331000000104", "UNSUITABLE/DECLINED"),
-    ("248342006", "UNDERWEIGHT"),
-    ("921031000000102", "CHILD"),
-    ("1037511000000103", "UNSUITABLE/DECLINED"),
-    ("238131007", "OVERWEIGHT"),
-    ("921011000000105", "CHILD"),
-    ("412768003", "IDEAL"),
-    ("926011000000101", "ALL"),
-    ("914721000000105", "OBESE"),
-    ("920271000000101", "CHILD"),
-    ("443371000124107", "OBESE"),
-    ("920951000000101", "CHILD"),
-    ("920201000000109", "CHILD"),
-    ("162863004", "OVERWEIGHT"),
-    ("162769006", "UNDERWEIGHT"),
-    ("301331008", "ALL"),
-    ("408512008", "OBESE"),
-    ("275947003", "OVERWEIGHT"),
-    ("920971000000105", "CHILD"),
-    ("6497000", "UNKNOWN"),
-    ("920161000000101", "CHILD"),
-    ("268915006", "OVERWEIGHT"),
-    ("920991000000109", "CHILD"),
-    ("920231000000103", "CHILD"),
-    ("443381000124105", "OBESE"),
-    ("920141000000102", "CHILD"),
-    ("914741000000103", "OBESE"),
-    ("310252000", "UNDER_IDEAL_BORDER"),
-    ("268916007", "OBESE"),
-    ("162864005", "OBESE"),
-    ("920841000000108", "CHILD"),
-]
-
-# Height codes
-HEIGHT_CODES = [
-    "162756007", "162757003", "162758008", "50373000",
-    "162760005", "162755006", "162759000", "248333004",
-]
-
-# Weight codes
-WEIGHT_CODES = [
-    "248358009", "735395000", "162763007", "43664005", "363808001",
-    "425024002", "162766004", "424927000", "27113001",
-]
-
-# Blood-glucose codes: (code, TYPE_OF_BLOOD_GLUCOSE_RECORD, FASTING_STATUS)
-GLUCOSE_CODES = [
-    ("1012661000000105", "PLASMA", "INDETERMINABLE"),
-    ("1003121000000103", "PLASMA", "INDETERMINABLE"),
-    ("1010701000000103", "PLASMA", "INDETERMINABLE"),
-    ("996311000000105", "TOLERANCE", "OGTT"),
-    ("1003141000000105", "PLASMA", "FASTING"),
-    ("1083781000000102", "BLOOD", "INDETERMINABLE"),
-    ("1003721000000104", "BLOOD", "OGTT"),
-    ("1031331000000106", "PLASMA", "RANDOM"),
-    ("1028901000000108", "PLASMA", "NON-FASTING"),
-    ("1003131000000101", "SERUM", "FASTING"),
-    ("1107451000000100", "SERUM", "NON-FASTING"),
-    ("1010611000000107", "SERUM", "NON-FASTING"),
-    ("1110521000000108", "PLASMA", "NON-FASTING"),
-    ("1028891000000107", "SERUM", "NON-FASTING"),
-    ("1010631000000104", "SERUM", "INDETERMINABLE"),
-    ("1005711000000106", "TOLERANCE", "OGTT"),
-    ("1028881000000105", "SERUM", "RANDOM"),
-    ("998291000000108", "PLASMA", "INDETERMINABLE"),
-    ("998281000000106", "PLASMA", "INDETERMINABLE"),
-    ("997681000000108", "BLOOD", "FASTING"),
-    ("1089381000000101", "BLOOD", "RANDOM"),
-    ("1003711000000105", "BLOOD", "INDETERMINABLE"),
-    ("1003701000000108", "BLOOD", "INDETERMINABLE"),
-    ("1010661000000109", "SERUM", "INDETERMINABLE"),
-    ("1010651000000106", "SERUM", "OGTT"),
-    ("1049321000000109", "HBA1C", "NON-FASTING"),
-    ("1049301000000100", "HBA1C", "NON-FASTING"),
-    ("997671000000106", "BLOOD", "NON-FASTING"),
-    ("1010711000000101", "PLASMA", "OGTT"),
-    ("1003691000000108", "BLOOD", "INDETERMINABLE"),
-    ("994411000000106", "BLOOD", "INDETERMINABLE"),
-    ("1010621000000101", "SERUM", "INDETERMINABLE"),
-    ("1003731000000102", "BLOOD", "INDETERMINABLE"),
-    ("1030551000000103", "BLOOD", "NON-FASTING"),
-    ("999791000000106", "HBA1C", "NON-FASTING"),
-    ("1010681000000100", "PLASMA", "INDETERMINABLE"),
-    ("1010641000000108", "SERUM", "INDETERMINABLE"),
-    ("1010691000000103", "PLASMA", "INDETERMINABLE"),
-    ("1045471000000104", "PLASMA", "INDETERMINABLE"),
-    ("1010671000000102", "PLASMA", "NON-FASTING"),
-    ("928041000000101", "BLOOD", "FASTING"),
-]
-
-# Blood-pressure codes: (code, INITIAL_BREAKDOWN, TYPE_OF_JOURNAL)
-BP_CODES = [
-    ("723237002", "ALL", "OE"),
-    ("251076008", "ALL", "OE"),
-    ("407557002", "DBP", "OE"),
-    ("164783007", "ALL", "Procedure"),
-    ("314440001", "SBP", "OE"),
-    ("163024003", "ALL", "Ideal-Finding"),
-    ("386534000", "ALL", "OE"),
-    ("163026001", "ALL", "Pre-High Finding"),
-    ("400974009", "SBP", "OE"),
-    ("314449000", "SBP", "OE"),
-    ("407555005", "DBP", "OE"),
-    ("174255007", "DBP", "OE"),
-    ("314454009", "DBP", "OE"),
-    ("723236006", "ALL", "OE"),
-    ("314455005", "DBP", "OE"),
-    ("163033001", "ALL", "OE"),
-    ("6797001", "ALL", "OE"),
-    ("170582005", "ALL", "High-Finding"),
-    ("335661000000109", "ALL", "OE"),
-    ("163020007", "ALL", "Value-Needed"),
-    ("163035008", "ALL", "OE"),
-    ("314462001", "DBP", "OE"),
-    ("81010002", "SBP", "Low-Finding"),
-    ("716632005", "DBP", "OE"),
-    ("163025002", "ALL", "Ideal-Finding"),
-    ("314465004", "DBP", "OE"),
-    ("75367002", "ALL", "OE"),
-    ("163031004", "DBP", "Value-Needed"),
-    ("314459004", "DBP", "OE"),
-    ("163027005", "ALL", "High-Finding"),
-    ("163032006", "ALL", "Value-Needed"),
-    ("313005002", "ALL", "Situation"),
-    ("271650006", "DBP", "OE"),
-    ("314463006", "ALL", "OE"),
-    ("163023009", "ALL", "Low-Finding"),
-    ("24184005", "ALL", "High-Finding"),
-    ("314444005", "SBP", "OE"),
-    ("23154005", "DBP", "High-Finding"),
-    ("198091000000104", "DBP", "OE"),
-    ("314456006", "DBP", "OE"),
-    ("12929001", "SBP", "Ideal-Finding"),
-    ("251078009", "ALL", "OE"),
-    ("271870002", "ALL", "Low-Finding"),
-    ("12763006", "ALL", "Low-Finding"),
-    ("314438006", "SBP", "OE"),
-    ("314464000", "SBP", "OE"),
-    ("314443004", "SBP", "OE"),
-    ("314448008", "SBP", "OE"),
-    ("18352002", "SBP", "Value-Needed"),
-    ("716579001", "SBP", "OE"),
-    ("314458007", "DBP", "OE"),
-    ("928021000000108", "ALL", "OE"),
-    ("723235005", "ALL", "OE"),
-    ("707303003", "SBP", "Indeterminable"),
-    ("18050000", "SBP", "High-Finding"),
-    ("163029008", "ALL", "Indeterminable"),
-    ("251070002", "SBP", "OE"),
-    ("314457002", "DBP", "OE"),
-    ("49844009", "DBP", "Value-Needed"),
-    ("53813002", "DBP", "Ideal-Finding"),
-    ("314442009", "SBP", "OE"),
-    ("251074006", "ALL", "OE"),
-    ("2004005", "ALL", "Ideal-Finding"),
-    ("413606001", "SBP", "OE"),
-    ("852291000000105", "ALL", "OE"),
-    ("314439003", "SBP", "OE"),
-    ("163037000", "ALL", "Indeterminable"),
-    ("314445006", "SBP", "OE"),
-    ("399304008", "SBP", "OE"),
-    ("42689008", "DBP", "Low-Finding"),
-    ("400975005", "DBP", "OE"),
-    ("314453003", "DBP", "OE"),
-    ("170581003", "ALL", "High-Finding"),
-    ("314451001", "DBP", "OE"),
-    ("386536003", "ALL", "OE"),
-    ("1091811000000102", "DBP", "OE"),
-    ("364090009", "ALL", "OE"),
-    ("163036009", "ALL", "Low-Finding"),
-    ("163022004", "ALL", "Low-Finding"),
-    ("723232008", "ALL", "OE"),
-    ("314452008", "DBP", "OE"),
-    ("26014004", "ALL", "High-Finding"),
-    ("72313002", "SBP", "OE"),
-    ("163028000", "ALL", "High-Finding"),
-    ("852301000000109", "ALL", "OE"),
-    ("314461008", "DBP", "OE"),
-    ("413605002", "DBP", "OE"),
-    ("198081000000101", "SBP", "OE"),
-    ("271649006", "SBP", "OE"),
-    ("314460009", "DBP", "OE"),
-    ("314447003", "SBP", "OE"),
-    ("407556006", "SBP", "OE"),
-    ("314441002", "SBP", "OE"),
-    ("163030003", "SBP", "Value-Needed"),
-    ("314446007", "SBP", "OE"),
-    ("1105331000000106", "ALL", "ERROR"),
-    ("163034007", "ALL", "OE"),
-    ("407554009", "SBP", "OE"),
-]
-
-# Smoking codes: (code, CATEGORY).  The published file repeats most rows
-# (219 rows, these 84 distinct, no code with two categories); this is the
-# distinct list in order of first appearance.  Tagging with a list that does
-# repeat a code fans journal rows out, exactly as a join would.
-SMOKING_CODES = [
-    ("1092031000000108", "non_smoker_findings_codes"),
-    ("1092041000000104", "non_smoker_findings_codes"),
-    ("1092071000000105", "non_smoker_findings_codes"),
-    ("1092091000000109", "non_smoker_findings_codes"),
-    ("1092111000000104", "non_smoker_findings_codes"),
-    ("1092131000000107", "non_smoker_findings_codes"),
-    ("160617001", "non_smoker_findings_codes"),
-    ("160620009", "non_smoker_findings_codes"),
-    ("160621008", "non_smoker_findings_codes"),
-    ("160625004", "Observable_Entities"),
-    ("228486009", "Observable_Entities"),
-    ("266921000", "Value_Finding_Non_Smoker"),
-    ("266922007", "Value_Finding_Non_Smoker"),
-    ("266923002", "Value_Finding_Non_Smoker"),
-    ("266924008", "Value_Finding_Non_Smoker"),
-    ("266925009", "Value_Finding_Non_Smoker"),
-    ("266928006", "non_smoker_findings_codes"),
-    ("281018007", "non_smoker_findings_codes"),
-    ("360890004", "non_smoker_findings_codes"),
-    ("360900008", "non_smoker_findings_codes"),
-    ("48031000119106", "non_smoker_findings_codes"),
-    ("492191000000103", "non_smoker_findings_codes"),
-    ("53896009", "non_smoker_findings_codes"),
-    ("735112005", "Observable_Entities"),
-    ("735128000", "non_smoker_findings_codes"),
-    ("8517006", "non_smoker_findings_codes"),
-    ("105539002", "non_smoker_findings_codes"),
-    ("105540000", "non_smoker_findings_codes"),
-    ("105541001", "non_smoker_findings_codes"),
-    ("230058003", "Observable_Entities"),
-    ("1092481000000104", "Observable_Entities"),
-    ("110483000", "Value_Finding_Smoker"),
-    ("134406006", "Value_Finding_Smoker"),
-    ("160603005", "Value_Finding_Smoker"),
-    ("160604004", "Value_Finding_Smoker"),
-    ("160605003", "Value_Finding_Smoker"),
-    ("160606002", "Value_Finding_Smoker"),
-    ("160612007", "smoker_findings_codes"),
-    ("160613002", "smoker_findings_codes"),
-    ("160616005", "smoker_findings_codes"),
-    ("160618006", "Microtest_Error"),
-    ("160619003", "smoker_findings_codes"),
-    ("203191000000107", "smoker_findings_codes"),
-    ("221000119102", "non_smoker_findings_codes"),
-    ("225934006", "smoker_findings_codes"),
-    ("230056004", "Observable_Entities"),
-    ("230057008", "Observable_Entities"),
-    ("230059006", "Value_Finding_Smoker"),
-    ("230060001", "Value_Finding_Smoker"),
-    ("230062009", "Value_Finding_Smoker"),
-    ("230063004", "Value_Finding_Smoker"),
-    ("230064005", "smoker_findings_codes"),
-    ("230065006", "smoker_findings_codes"),
-    ("266918002", "Observable_Entities"),
-    ("266919005", "Microtest_Error"),
-    ("266920004", "Value_Finding_Smoker"),
-    ("266929003", "smoker_findings_codes"),
-    ("308438006", "smoker_findings_codes"),
-    ("360918006", "non_smoker_findings_codes"),
-    ("360929005", "non_smoker_findings_codes"),
-    ("365982000", "Value_Finding_Smoker"),
-    ("394871007", "smoker_findings_codes"),
-    ("394872000", "smoker_findings_codes"),
-    ("394873005", "smoker_findings_codes"),
-    ("401159003", "Observable_Entities"),
-    ("401201003", "Observable_Entities"),
-    ("405746006", "non_smoker_findings_codes"),
-    ("413173009", "Observable_Entities"),
-    ("428041000124106", "smoker_findings_codes"),
-    ("446172000", "smoker_findings_codes"),
-    ("449345000", "smoker_findings_codes"),
-    ("449368009", "non_smoker_findings_codes"),
-    ("449369001", "non_smoker_findings_codes"),
-    ("449868002", "smoker_findings_codes"),
-    ("517211000000106", "non_smoker_findings_codes"),
-    ("56578002", "Value_Finding_Smoker"),
-    ("56771006", "Value_Finding_Smoker"),
-    ("59978006", "Value_Finding_Smoker"),
-    ("65568007", "Value_Finding_Smoker"),
-    ("77176002", "Value_Finding_Smoker"),
-    ("82302008", "Value_Finding_Smoker"),
-    ("836001000000109", "Observable_Entities"),
-    ("8392000", "non_smoker_findings_codes"),
-    ("87739003", "non_smoker_findings_codes"),
-]
-
-# Ethnic categories: (ETHNIC_CATEGORY_ID, ETHNIC_CATEGORY_LABEL)
-ETHNIC_CATEGORIES = [
-    ("A", "British"),
-    ("B", "Irish"),
-    ("C", "Any other White background"),
-    ("D", "White and Black Caribbean"),
-    ("E", "White and Black African"),
-    ("F", "White and Asian"),
-    ("G", "Any other mixed background"),
-    ("H", "Indian"),
-    ("J", "Pakistani"),
-    ("K", "Bangladeshi"),
-    ("L", "Any other Asian background"),
-    ("M", "Caribbean"),
-    ("N", "African"),
-    ("P", "Any other Black background"),
-    ("R", "Chinese"),
-    ("S", "Any other ethnic group"),
-    ("T", "Traveller"),
-    ("W", "Arab"),
-    ("Z", "Not stated"),
-]
+FOLDER = Path(__file__).resolve().parent.parent / "codelists"
+
+# Key column of each published list, and the name it gets.
+KEYS = {
+    "bmi": ("ConceptID", "code"),
+    "height": ("ConceptID", "code"),
+    "weight": ("ConceptID", "code"),
+    "glucose": ("ConceptId", "code"),
+    "bp": ("ConceptId", "code"),
+    "smoking": ("SNOMED_concept_ID", "code"),
+    "ethnicity": ("ConceptId", "code"),
+    "ethnic_labels": ("ETHNIC CATEGORY ID", "ETHNIC_CATEGORY_ID"),
+}
 
-# Values of an ethnic-category field that mean "unknown"; NULL is unknown too.
+# FIXED VALUES: values of an ethnic-category field that mean "unknown"; NULL is unknown too.
 UNKNOWN_ETHNIC_VALUES = ["Z", "z", "X", "x", "99", "9", "", " "]
 
-# ---------------------------------------------------------------------------
-# The concept-to-category map for ethnicity has about 500 entries in its
-# published form; it is an input (``read_codelist``), not a fixed value.  The
-# built-in queries use a synthetic map made by a rule instead.
-# ---------------------------------------------------------------------------
-
-SYNTHETIC_ETHNICITY_SIZE = 120
-
 
-def synthetic_ethnicity_codes(n: int = SYNTHETIC_ETHNICITY_SIZE) -> list[tuple[str, str]]:
-    """(code, PrimaryCode) pairs: code ``7100000000 + 7919 * i``, category
-    cycling through the ethnic category ids (so 'Z', unknown, occurs too)."""
-    ids = [c for c, _ in ETHNIC_CATEGORIES]
-    return [(str(7100000000 + 7919 * i), ids[(i * 7) % len(ids)]) for i in range(n)]
-
-
-# ---------------------------------------------------------------------------
-# Loaders
-# ---------------------------------------------------------------------------
-
-_SPECS = {
-    # name: (rows, tag column names)
-    "bmi": (lambda: BMI_CODES, ["BMI_CAT"]),
-    "height": (lambda: [(c,) for c in HEIGHT_CODES], []),
-    "weight": (lambda: [(c,) for c in WEIGHT_CODES], []),
-    "glucose": (lambda: GLUCOSE_CODES, ["TYPE_OF_BLOOD_GLUCOSE_RECORD", "FASTING_STATUS"]),
-    "bp": (lambda: BP_CODES, ["INITIAL_BREAKDOWN", "TYPE_OF_JOURNAL"]),
-    "smoking": (lambda: SMOKING_CODES, ["CATEGORY"]),
-    "ethnicity": (synthetic_ethnicity_codes, ["PrimaryCode"]),
-    "ethnic_labels": (lambda: ETHNIC_CATEGORIES, ["ETHNIC_CATEGORY_LABEL"]),
-}
+def codelist_path(name: str) -> str:
+    """File of a published list."""
+    return str(FOLDER / f"{name}.csv")
 
 
+@lru_cache(maxsize=None)
 def codelist_rows(name: str) -> tuple[list[tuple], list[str]]:
-    """Rows (with leading 0-based ``ix``) and tag column names of a fixed list."""
-    rows_fn, tags = _SPECS[name]
-    return [(i,) + tuple(r) for i, r in enumerate(rows_fn())], tags
+    """Rows (0-based ``ix``, key, other columns) of a published list, and the names of the other columns."""
+    with open(codelist_path(name), encoding="utf-8-sig", newline="") as f:
+        header, *rows = list(csv.reader(f))
+    key = header.index(KEYS[name][0])
+    others = [i for i in range(len(header)) if i != key]
+    return ([(n, r[key], *(r[i] for i in others)) for n, r in enumerate(rows)],
+            [header[i].strip().replace(" ", "_") for i in others])
 
 
 _MEMO: dict = {}
 
 
 def codelist_df(spark: SparkSession, name: str, with_ix: bool = False) -> DataFrame:
-    """A fixed list as a DataFrame: ``code`` + tag columns (+ ``ix``).
+    """A published list as a DataFrame: key, description and tags (and ``ix``).
 
     The same DataFrame object is returned for the same session and list,
     so the size check made before broadcasting it runs once."""
@@ -409,12 +72,9 @@ def codelist_df(spark: SparkSession, name: str, with_ix: bool = False) -> DataFr
     hit = _MEMO.get(memo_key)
     if hit is not None and hit[0] is spark:
         return hit[1]
-    rows, tags = codelist_rows(name)
-    key = "ETHNIC_CATEGORY_ID" if name == "ethnic_labels" else "code"
-    schema = T.StructType(
-        [T.StructField("ix", T.IntegerType(), False), T.StructField(key, T.StringType(), False)]
-        + [T.StructField(t, T.StringType(), True) for t in tags]
-    )
+    rows, others = codelist_rows(name)
+    schema = T.StructType([T.StructField("ix", T.IntegerType(), False), T.StructField(KEYS[name][1], T.StringType(), False)]
+                          + [T.StructField(c, T.StringType(), True) for c in others])
     df = spark.createDataFrame(rows, schema)
     df = df if with_ix else df.drop("ix")
     _MEMO[memo_key] = (spark, df)

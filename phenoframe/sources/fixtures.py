@@ -94,10 +94,7 @@ COMMON_EXPRS = [
 def _bp_text_finding_ix() -> list[int]:
     """Positions in the BP list of the six systolic/diastolic text findings."""
     findings = {"Low-Finding", "Ideal-Finding", "Pre-High Finding", "High-Finding"}
-    return [
-        i for i, (_, part, kind) in enumerate(codelists.BP_CODES)
-        if part in ("SBP", "DBP") and kind in findings
-    ]
+    return [ix for ix, _, _, part, kind in codelists.codelist_rows("bp")[0] if part in ("SBP", "DBP") and kind in findings]
 
 
 _BP_TEXT = "CAST(FLOOR(event_id / 98) AS BIGINT) % 5 = 0"
@@ -150,7 +147,7 @@ DOMAINS = {
     ),
     "smoking": (
         "smoking",
-        f"event_id % {len(codelists.SMOKING_CODES)}",
+        f"event_id % {len(codelists.codelist_rows("smoking")[0])}",
         f"CASE WHEN event_id % 2 = 0 THEN NULL WHEN event_id % 9 = 0 THEN {_D.format(0)} "
         f"ELSE {_D.format('(event_id * 3) % 120')} END",
         "CAST(NULL AS DOUBLE)",
@@ -158,7 +155,7 @@ DOMAINS = {
     ),
     "ethnicity": (
         "ethnicity",
-        f"(user_id * 31 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) % {codelists.SYNTHETIC_ETHNICITY_SIZE}",
+        f"(user_id * 31 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) % {len(codelists.codelist_rows("ethnicity")[0])}",
         "CAST(NULL AS DOUBLE)",
         "CAST(NULL AS DOUBLE)",
         None,

