@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,11 +32,14 @@ from phenoframe.llm.stages import cut, small
 from phenoframe.llm.text import words
 
 MARGINALS = ("source", "lang", "topic")
+CELL = "source string, lang string, topic string"
 #: Exponent on the actual shares where no target is given.
 FLATTEN = 0.7
 #: Share of all tokens that the sample is expected to hold.
 KEEP = 0.5
 SWEEPS = 12
+#: Cells up to which the driver rakes the table of cells; a larger one is raked by window sums on the executors, to the same weights.
+FEW_CELLS = 50_000
 #: Rounds of the search for the common factor; it ends when no further cell reaches 1.
 FACTOR_ROUNDS = 12
 DRAW_SALT = ":mix"
@@ -76,6 +80,15 @@ def target_shares(sums: DataFrame, name: str, target: Mapping[str, float] | None
     return sums.select(name, share.alias(f"{name}_share"))
 
 
+def rake(cells: pd.DataFrame, total: float, sweeps: int) -> pd.DataFrame:
+    """Cells with their weights scaled to each marginal's shares in turn."""
+    for _ in range(sweeps):
+        for name in MARGINALS:
+            held = cells.groupby(name)["weight"].transform("sum")
+            cells["weight"] = (cells["weight"] * cells[f"{name}_share"] * total / held).where(held > 0, 0.0)
+    return cells[[*MARGINALS, "tokens", "weight"]]
+
+
 def fitted_cells(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """Cells with their ``tokens`` and fitted ``weight``; ``rows`` has the marginals and ``tokens``."""
     cells = cut(rows.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")))
@@ -86,12 +99,15 @@ def fitted_cells(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] | N
     for name in MARGINALS:
         sums = cells.groupBy(name).agg(F.sum("tokens").alias("tokens"))
         wide = wide.join(target_shares(sums, name, (targets or {}).get(name)), name)
-    wide = wide.withColumn("weight", F.col("tokens").cast("double"))
+    wide = cut(wide.withColumn("weight", F.col("tokens").cast("double")))
+    if wide.count() <= FEW_CELLS:
+        return cells.sparkSession.createDataFrame(rake(wide.toPandas(), float(total), sweeps), f"{CELL}, tokens long, weight double")
     for _ in range(sweeps):
         for name in MARGINALS:
             held = F.sum("weight").over(Window.partitionBy(name))
             scaled = F.col("weight") * F.col(f"{name}_share") * F.lit(float(total)) / held
             wide = wide.withColumn("weight", F.when(held > 0, scaled).otherwise(F.lit(0.0)))
+        wide = cut(wide)
     return cut(wide.select(*MARGINALS, "tokens", "weight"))
 
 

@@ -153,7 +153,9 @@ def test_sketch_algebra(spark):
     assert r.m == r.a and abs(r.r - .5) < .1 and r.c > .85 and abs(r.n - 5000) < 700
 
 
-def test_mixing_marginals(spark):
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_mixing_marginals(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(1, 50), rng.choice(["en", "de", None]), rng.choice(["a", "b", "c"]), None, rng.choice(["x", "y"])) for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, topic string")
