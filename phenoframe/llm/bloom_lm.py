@@ -48,9 +48,11 @@ PRIOR = 200.0
 #: Counts up to this are kept as they are; above, each level is this factor over the last.
 EXACT, FACTOR = 8, 1.15
 #: Bits for each key in the filter, probes of each key, and the most bytes of the whole filter.
-BITS_PER_KEY, PROBES, MAX_FILTER_BYTES = 10, 5, 192 << 20
+BITS_PER_KEY, PROBES, MAX_FILTER_BYTES = 9, 5, 192 << 20
 #: The end mark's hash; a word never hashes a space.
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
+#: Pairs keep 48 bits of their hash: the filter errs far more often than these collide, and less is sent.
+PAIR_BITS = np.uint64(2 ** 64 - 2 ** 16)
 COUNT = np.dtype([("count", np.uint32)])
 KNOWN_COUNT = np.dtype([("count", np.uint64)])
 SEGMENT_ROWS = "segment int, bits binary, singles long, keys long"
@@ -89,7 +91,7 @@ def single_keys(tokens: np.ndarray) -> np.ndarray:
 
 
 def pair_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return blocks.mix(blocks.mix(before ^ np.uint64(0x5851F42D4C957F2D)) + tokens)
+    return blocks.mix(blocks.mix(before ^ np.uint64(0x5851F42D4C957F2D)) + tokens) & PAIR_BITS
 
 
 def before(tokens: np.ndarray) -> np.ndarray:
@@ -103,12 +105,15 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.r_[first, len(keys)])
 
 
-def probe_places(keys: np.ndarray, level: np.ndarray, size: np.ndarray):
-    """Bit places, one array for each probe, of (key, level) in segments of ``size`` bits."""
-    h = blocks.mix(keys + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    for i in range(PROBES):
-        yield (((h + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
+def probe_hashes(keys: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
+    """First place and step of the probes of (key, level)."""
+    h = blocks.mix(keys + np.asarray(level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return h, (h >> np.uint64(32)) | np.uint64(1)
+
+
+def probe_place(h: np.ndarray, step: np.ndarray, i: int, size) -> np.ndarray:
+    """Bit of the i-th probe in a segment of ``size`` bits."""
+    return (((h + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
 
 
 def fill_segment(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> np.ndarray:
@@ -118,8 +123,9 @@ def fill_segment(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> np.nd
     bits = np.zeros(-(-size // 8), dtype=np.uint8)
     size = np.uint64(len(bits) * 8)
     for q in range(1, int(level.max(initial=0)) + 1):
-        of = keys[level >= q]
-        for place in probe_places(of, np.full(len(of), q), size):
+        h, step = probe_hashes(keys[level >= q], q)
+        for i in range(PROBES):
+            place = probe_place(h, step, i, size)
             np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
     return bits
 
@@ -138,12 +144,16 @@ class Filter:
         segment = blocks.bucket_of(keys, len(self.size))
         rows = np.flatnonzero(self.size[segment] > 0)
         while len(rows):
-            part = segment[rows]
-            held = np.ones(len(rows), dtype=bool)
-            for place in probe_places(keys[rows], level[rows] + 1, self.size[part]):
-                byte = self.bits[(self.start[part] + (place >> np.uint64(3))).astype(np.int64)]
-                held &= (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            rows = rows[held]
+            h, step = probe_hashes(keys[rows], level[rows] + 1)
+            for probes in (range(2), range(2, PROBES)):  # most misses are known after two
+                part = segment[rows]
+                start, size = self.start[part], self.size[part]
+                held = np.ones(len(rows), dtype=bool)
+                for i in probes:
+                    place = probe_place(h, step, i, size)
+                    byte = self.bits[(start + (place >> np.uint64(3))).astype(np.int64)]
+                    held &= (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                rows, h, step = rows[held], h[held], step[held]
             level[rows] += 1
             rows = rows[level[rows] < len(LEVELS)]
         return level
@@ -188,7 +198,9 @@ def train(docs: DataFrame, total: int) -> tuple[bytes, list[int], int, int]:
     sizes = [0] * segments
     for r in found:
         sizes[r["segment"]] = len(r["bits"])
-    return b"".join(r["bits"] for r in found), sizes, sum(r["keys"] for r in found), sum(r["singles"] for r in found)
+    n, v = sum(r["keys"] for r in found), sum(r["singles"] for r in found)
+    bits = b"".join(r["bits"] for r in found)
+    return bits, sizes, n, v
 
 
 def blocks_count(number: np.ndarray) -> np.ndarray:
