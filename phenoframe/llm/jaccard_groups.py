@@ -11,10 +11,8 @@ all of theirs.  The result is each document's component under the links.
    ``n - ceil(n * PERCENT / 100) + 1`` shingles.  A set whose first shingles
    are all its own links with nothing and is done.
 3. Partition: the others are dealt to groups by their least shingle under a
-   random order; in a group of bounded size, sets are compared with the
-   first of their kind and join it.  A few rounds with new orders, on the
-   first ones only, gather copies into clusters with a number of
-   comparisons in proportion to their sets.
+   random order; the links within a group of bounded size make clusters.
+   A second round with a new order deals only the first set of each.
 4. Matrix: the first shingles of all members make the rows, bounded chunks of
    clusters the columns.  A set queries the chunks of other clusters with
    which it shares a row.  A chunk keeps the union of its members' shingles;
@@ -47,9 +45,9 @@ from phenoframe.llm.text import BLANKS
 SHINGLE_WORDS = 5
 PERCENT = 75
 #: Sets that one task compares with each other, and that a chunk of a cluster holds.
-GROUP_SETS, CHUNK_SETS = 400, 200
+GROUP_SETS, CHUNK_SETS = 300, 200
 #: Rounds of grouping before the matrix.
-ROUNDS = 3
+ROUNDS = 2
 COUNT = np.dtype([("count", np.uint32)])
 FREQUENT, CHOSEN = 0, 1
 
@@ -160,7 +158,7 @@ def links(shared, a, b):
 
 
 def gather(rows: pa.Table) -> pa.Table:
-    """Sets of a group that link with the first of their kind: (node, head)."""
+    """Sets of a group that links within it connect to an earlier one: (node, head)."""
     node = rows.column("node").to_numpy()
     size = rows.column("size").to_numpy().astype(np.int64)
     order = np.lexsort((node, size))
@@ -168,15 +166,19 @@ def gather(rows: pa.Table) -> pa.Table:
     left = np.arange(len(node))
     members, heads = [], []
     while len(left) > 1:
-        head, others = left[0], left[1:]
-        near = others[PERCENT * size[others] <= 100 * size[head]]
-        joined = near[:0]
-        if len(near):
+        head, left = left[0], left[1:]
+        reached = [head]
+        while reached and len(left):
+            one = reached.pop()
+            near = left[(PERCENT * size[left] <= 100 * size[one]) & (PERCENT * size[one] <= 100 * size[left])]
+            if not len(near):
+                continue
             edges = np.r_[0, np.cumsum(size[near])]
-            joined = near[links(overlaps(sets[head], np.concatenate([sets[i] for i in near]), edges), size[head], size[near])]
-        members.append(node[joined])
-        heads.append(np.full(len(joined), node[head]))
-        left = np.setdiff1d(others, joined, assume_unique=True)
+            joined = near[links(overlaps(sets[one], np.concatenate([sets[i] for i in near]), edges), size[one], size[near])]
+            members.append(node[joined])
+            heads.append(np.full(len(joined), node[head]))
+            reached.extend(joined.tolist())
+            left = np.setdiff1d(left, joined, assume_unique=True)
     return pa.table({"node": pa.array(np.concatenate(members) if members else node[:0], pa.int64()),
                      "head": pa.array(np.concatenate(heads) if heads else node[:0], pa.int64())})
 
@@ -221,32 +223,67 @@ def clusters(sets: DataFrame) -> DataFrame:
         # Large groups are split evenly.
         many = marked.groupBy("least").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
         part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / GROUP_SETS))
-        joined = (marked.join(many, "least").withColumn("part", part).groupBy("least", "part")
-                  .applyInArrow(gather, "node long, head long"))
+        parted = marked.join(many, "least").select("node", "size", "shingles", "least", part.alias("part")).repartition("least", "part")
+        joined = parted.groupBy("least", "part").applyInArrow(gather, "node long, head long")
         joined = cut(joined.select(F.col("node").alias("head"), F.col("head").alias("to")))
         heads = cut(heads.join(joined, "head", "left").select("node", F.coalesce("to", "head").alias("head")))
     return heads
 
 
-def matrix_links(sets: DataFrame, heads: DataFrame) -> DataFrame:
-    """Links between sets of different clusters: columns ``a``, ``b``."""
-    many = heads.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).alias("chunks"))
-    placed = cut(heads.join(many, "head").select("node", "head", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")))
+def ask(sets: DataFrame, placed: DataFrame, star: int | None) -> DataFrame:
+    """Queries ``node`` for each chunk (``head``, ``chunk``) of another label that shares a row of the matrix.
+
+    ``placed`` has the chunk and the present label of each set.  Queries go
+    from the higher to the lower label.  With ``star`` a set queries by one
+    of its rows only (1: the most frequent, 2: the one before, ...), and only the lowest label there.
+    """
     firsts = sets.select("node", "size", F.explode("firsts").alias("shingle")).join(placed, "node")
-    columns = firsts.groupBy("shingle", "head", "chunk").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    shared = columns.groupBy("shingle").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low < high").select("shingle")
-    columns, rows = columns.join(shared, "shingle", "left_semi"), firsts.join(shared, "shingle", "left_semi")
-    rows = rows.select("shingle", F.col("node").alias("query"), F.col("head").alias("own"), "size")
-    fits = (F.col("own") < F.col("head")) & (100 * F.col("size") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("size"))
-    asked = rows.join(columns, "shingle").where(fits).select(F.col("query").alias("node"), "head", "chunk").distinct()
-    asked = cut(asked)
-    opened = asked.select("head", "chunk").distinct()
-    members = sets.select("node", "size", "shingles").join(placed, "node").join(opened, ["head", "chunk"])
+    columns = firsts.groupBy("shingle", "head", "chunk", "label").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    shared = columns.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", "low")
+    columns = columns.join(shared, "shingle")
+    if star:
+        firsts = sets.select("node", "size", F.try_element_at("firsts", F.lit(-star)).alias("shingle")).join(placed, "node")
+    rows = firsts.join(shared.select("shingle"), "shingle", "left_semi").select("shingle", "node", F.col("label").alias("own"), "size")
+    fits = (F.col("own") > F.col("label")) & (100 * F.col("size") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("size"))
+    if star:
+        columns = columns.where("label = low")
+    return rows.join(columns, "shingle").where(fits).select("node", "head", "chunk").distinct()
+
+
+def opened_links(sets: DataFrame, placed: DataFrame, asked: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) that the queries find in their chunks."""
+    members = sets.select("node", "size", "shingles").join(placed.select("node", "head", "chunk"), "node")
+    members = members.join(asked.select("head", "chunk").distinct(), ["head", "chunk"])
     texts = sets.select(F.col("node").alias("query"), F.col("shingles").alias("asked"))
     queries = asked.select(F.col("node").alias("query"), F.col("head").alias("of"), F.col("chunk").alias("part")).join(texts, "query")
     return members.groupBy("head", "chunk").cogroup(queries.groupBy("of", "part")).applyInArrow(open_chunks, "a long, b long")
 
 
+def set_labels(sets: DataFrame) -> DataFrame:
+    """``node`` and the ``label`` of its component, for sets that may link.
+
+    Two rounds compare sets with the lowest cluster of one of their frequent
+    rows, which gathers what is left of large groups in proportion to their
+    sets; the last one compares all clusters that still share any row.  No chunk is queried twice by a set.
+    """
+    heads = clusters(sets)
+    many = heads.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).alias("chunks"))
+    placed = cut(heads.join(many, "head").select("node", "head", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.col("head").alias("label")))
+    before = None
+    for star in (1, 2, None):
+        asked = ask(sets, placed, star)
+        asked = cut(asked if before is None else asked.join(before, ["node", "head", "chunk"], "left_anti"))
+        found = cut(opened_links(sets, placed, asked))
+        before = asked if before is None else before.union(asked)
+        if found.limit(1).count():
+            label = placed.select("node", "label")
+            ends = (found.join(label.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
+                    .join(label.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+            moved = connected(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            placed = cut(placed.join(moved, "label", "left").select("node", "head", "chunk", F.coalesce("to", "label").alias("label")))
+    return placed.select("node", "label")
+
+
 def labelled(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, text hashes ``t1`` and ``t2``, ``n_shingles``, ``component_id`` and ``label`` of its component."""
     total = blocks.text_bytes(docs)
@@ -261,9 +298,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     told = asked.groupBy("bucket").applyInArrow(tell_frequent, blocks.ANSWERS).unionByName(picked)
     ordered = cut(by_block.cogroup(told.groupBy("block")).applyInArrow(order_sets, SETS))
     sets = ordered.where("shingles is not null")
-    heads = clusters(sets)
-    joined = heads.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    labels = connected(joined.union(matrix_links(sets, heads)))
+    labels = set_labels(sets)
     # Every text: its size, label and the least id in its component.
     texts = (ordered.select(F.col("node").alias("row"), "size").join(labels.withColumnRenamed("node", "row"), "row", "left")
              .join(chosen.select("t1", "t2", "row", "least_id"), "row")
