@@ -122,19 +122,16 @@ def recurring_lines(rows: DataFrame, lines: DataFrame, least: int = LEAST) -> Da
     leaves = small(cut(leaves.select("leaf")))
     held = cut(lines.join(leaves, "leaf").select("leaf", "line", "family", "copy").distinct())
     spelled = cut(rows.mapInArrow(spell, SPELLED).join(leaves, "leaf").groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words")))
-    words = spelled.select("line", "leaf", F.posexplode("words").alias("at", "word")).withColumn("word", F.xxhash64("word"))
+    words = spelled.select("line", "leaf", F.size("words").alias("total"), F.posexplode("words").alias("at", "word")).withColumn("word", F.xxhash64("word"))
     # Constant words: held at their place by enough unrelated documents.
     families = held.select("line", "family").distinct()
     constant = (words.join(families, "line").groupBy("leaf", "at", "word", "family").agg(F.lit(1).alias("one"))
-                .groupBy("leaf", "at", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf", "at", "word", F.lit(True).alias("constant")))
-    marked = words.join(constant, ["leaf", "at", "word"], "left").select(
-        "line", "leaf", F.struct("at", F.when(F.col("constant"), F.col("word")).alias("word")).alias("field"))
-    fields = F.sort_array(F.collect_list("field"))
-    templates = marked.groupBy("line", "leaf").agg(fields.alias("fields"))
-    enough = F.size(F.filter("fields", lambda x: x["word"].isNotNull())) * 100 >= F.size("fields") * CONSTANT_PERCENT
-    # Places of fields count too: a NULL word leaves a hash as it is, so it becomes 0 here.
-    shape = F.transform("fields", lambda x: F.coalesce(x["word"], F.lit(0).cast("long")))
-    templates = cut(templates.where(enough).select("line", F.xxhash64("leaf", shape).alias("template")))
+                .groupBy("leaf", "at", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf", "at", "word"))
+    # A template is its leaf (which holds the number of words) and its constant words with their places.
+    fields = words.join(constant, ["leaf", "at", "word"]).groupBy("line", "leaf", "total").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("fields"))
+    enough = F.size("fields") * 100 >= F.col("total") * CONSTANT_PERCENT
+    shape = F.flatten(F.transform("fields", lambda x: F.array(x["at"].cast("long"), x["word"])))
+    templates = cut(fields.where(enough).select("line", F.xxhash64("leaf", shape).alias("template")))
     votes = (held.join(templates, "line").groupBy("template", "family", "copy").agg(F.lit(1).alias("one"))
              .groupBy("template", "family").agg(F.count(F.lit(1)).alias("texts"))
              .groupBy("template").agg(F.count(F.lit(1)).alias("families"), F.sum("texts").alias("texts")))
