@@ -7,10 +7,11 @@ is read back by probing 1, 2, 3, ... until a probe misses.  Misses are certain,
 so levels are never read too low; a false hit, rare by the filter's size,
 reads one too high.  A pair is never counted above its first token.
 
-The filter is cut into segments by n-gram hash, and each task fills the
-segments of its n-grams; their bits grow with the n-grams they hold up to
-``MAX_FILTER_BYTES`` for all, which bounds what is broadcast (beyond it, the
-share of false hits rises).  Tokens are smoothed by a Dirichlet prior:
+The filter is cut into segments by n-gram hash.  Their number and bits grow
+with the n-grams, so the share of false hits is the same at every size, and
+nobody holds the filter whole: blocks of documents ask the segments of their
+words and pairs (see ``blocks``), and each segment answers with levels in
+the order asked.  Tokens are smoothed by a Dirichlet prior:
 
     p(w)     = (c(w) + 1) / (N + V + 1)
     p(w | v) = (c(v w) + PRIOR * p(w)) / (c(v) + PRIOR)
@@ -18,9 +19,8 @@ share of false hits rises).  Tokens are smoothed by a Dirichlet prior:
 where v is the token before (the end mark of the text before it for the
 first one), and a text's score is the sum of the logarithms to base 10.
 
-The base score needs exact counts.  Blocks of documents ask the buckets of
-their words for them (see ``blocks``), so no vocabulary is sent to anyone
-whole.  Words are compared by 64-bit hashes.
+The base score needs exact counts of words, which the answers hold too.
+Words are compared by 64-bit hashes.
 
 Training texts are those whose CRC-32 of the id modulo ``FOLDS`` is not
 ``HELD_OUT``; the others are held out.
@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from phenoframe.llm import blocks
 from phenoframe.llm.sharding import key_text
+from phenoframe.llm.stages import stored
 
 # Fixed values of the split.
 FOLDS, HELD_OUT = 7, 2
@@ -47,15 +48,24 @@ FOLDS, HELD_OUT = 7, 2
 PRIOR = 200.0
 #: Counts up to this are kept as they are; above, each level is this factor over the last.
 EXACT, FACTOR = 8, 1.15
-#: Bits for each key in the filter, probes of each key, and the most bytes of the whole filter.
-BITS_PER_KEY, PROBES, MAX_FILTER_BYTES = 9, 5, 192 << 20
+#: Bits for each key in the filter, and probes of each key.
+BITS_PER_KEY, PROBES = 9, 5
+#: Bytes that the probes' 32-bit places reach; segments of ``blocks.BUCKET_FACTS`` n-grams stay far below.
+REACH = 2 ** 29 - 8
 #: The end mark's hash; a word never hashes a space.
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
 #: Pairs keep 48 bits of their hash: the filter errs far more often than these collide, and less is sent.
 PAIR_BITS = np.uint64(2 ** 64 - 2 ** 16)
 COUNT = np.dtype([("count", np.uint32)])
 KNOWN_COUNT = np.dtype([("count", np.uint64)])
-SEGMENT_ROWS = "segment int, bits binary, singles long, keys long"
+#: Kinds of n-grams; a row of facts names its block and kind as one number.
+SINGLE, PAIR = 0, 1
+#: What a segment answers a block about one kind; its own sums are in a row of block ``SUMS``.
+SUMS = -1
+TOLD = "block int, kind int, bucket int, levels binary, counts binary, tokens long, words long"
+TOLD_ROWS = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("levels", pa.binary()), ("counts", pa.binary()),
+                       ("tokens", pa.int64()), ("words", pa.int64())])
+
 
 
 def level_counts() -> np.ndarray:
@@ -99,12 +109,6 @@ def before(tokens: np.ndarray) -> np.ndarray:
     return np.r_[END, tokens[:-1]] if len(tokens) else tokens
 
 
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.r_[first, len(keys)])
-
-
 def probe_hashes(keys: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
     """First place and step of the probes of (key, level)."""
     h = blocks.mix(keys + np.asarray(level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -116,10 +120,12 @@ def probe_place(h: np.ndarray, step: np.ndarray, i: int, size) -> np.ndarray:
     return (((h + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
 
 
-def fill_segment(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> np.ndarray:
-    """Bits of a segment that holds these n-grams."""
+def fill_segment(keys: np.ndarray, counts: np.ndarray, most_bytes: int = REACH) -> np.ndarray:
+    """Bits of a segment that holds these n-grams; it is never cut to fit."""
     level = np.searchsorted(LEVELS, counts, "right")
-    size = int(min(max(64, BITS_PER_KEY * int(level.sum())), most_bytes * 8, 2 ** 32 - 1))
+    size = max(64, BITS_PER_KEY * int(level.sum()))
+    if size > most_bytes * 8:
+        raise ValueError(f"a segment needs {size} bits; {most_bytes * 8} are in reach")
     bits = np.zeros(-(-size // 8), dtype=np.uint8)
     size = np.uint64(len(bits) * 8)
     for q in range(1, int(level.max(initial=0)) + 1):
@@ -163,46 +169,6 @@ def is_held_out(key: Column) -> Column:
     return F.crc32(key_text(key).cast("binary")) % FOLDS == HELD_OUT
 
 
-def train(docs: DataFrame, total: int) -> tuple[bytes, list[int], int, int]:
-    """The filter's segments behind one another and their sizes; tokens and different tokens of the training texts."""
-    segments = blocks.n_buckets(total // 6 * 2)  # a token for about six bytes, and its pair
-    most = max(8, MAX_FILTER_BYTES // segments)
-
-    def count(batches):
-        for batch in batches:
-            tokens, _ = tokens_of(batch.column("text").to_pylist())
-            singles = single_keys(tokens)
-            # Single tokens and pairs go by different segments' rows, so that their numbers are known apart.
-            for kind, keys in ((0, singles), (1, pair_keys(before(tokens), tokens))):
-                keys, number = counted(keys)
-                rows = list(blocks.facts(kind, keys, blocks_count(number), segments))
-                if rows:
-                    yield from blocks.table(rows, blocks.FACT_ROWS).to_batches()
-
-    def fill(rows: pa.Table) -> pa.Table:
-        keys, values, kind = blocks.read_facts(rows, COUNT)
-        parts, singles, occurrences = [], 0, 0
-        for k in (0, 1):
-            of = kind == k
-            different, number = summed(keys[of], values["count"][of])
-            parts.append((different, number))
-            if k == 0:
-                singles, occurrences = len(different), int(number.sum())
-        bits = fill_segment(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), most)
-        return pa.table({"segment": pa.array([rows.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary()),
-                         "singles": pa.array([singles], pa.int64()), "keys": pa.array([occurrences], pa.int64())})
-
-    texts = docs.where(~is_held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.mapInArrow(count, blocks.FACTS).groupBy("bucket").applyInArrow(fill, SEGMENT_ROWS).collect()
-    found.sort(key=lambda r: r["segment"])
-    sizes = [0] * segments
-    for r in found:
-        sizes[r["segment"]] = len(r["bits"])
-    n, v = sum(r["keys"] for r in found), sum(r["singles"] for r in found)
-    bits = b"".join(r["bits"] for r in found)
-    return bits, sizes, n, v
-
-
 def blocks_count(number: np.ndarray) -> np.ndarray:
     out = np.zeros(len(number), dtype=COUNT)
     out["count"] = number
@@ -217,48 +183,76 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
-def ask_counts(buckets: int):
-    """Step 1: a block's different words, with their training counts in it."""
+def ask_levels(buckets: int):
+    """Step 1: a block's different words and pairs, with their training counts in it."""
 
     def run(rows: pa.Table) -> pa.Table:
         tokens, edges = tokens_of(rows.column("text").to_pylist())
         training = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(edges))
-        keys, number = summed(single_keys(tokens), training)
-        return blocks.table(blocks.facts(rows.column("block")[0].as_py(), keys, blocks_count(number), buckets), blocks.FACT_ROWS)
+        block, out = rows.column("block")[0].as_py(), []
+        for kind, asked in ((SINGLE, single_keys(tokens)), (PAIR, pair_keys(before(tokens), tokens))):
+            keys, number = summed(asked, training)
+            out.extend(blocks.facts(2 * block + kind, keys, blocks_count(number), buckets))
+        return blocks.table(out, blocks.FACT_ROWS)
 
     return run
 
 
-def tell_counts(rows: pa.Table) -> pa.Table:
-    """Step 2: the training counts of each block's words, over all blocks."""
-    keys, values, block = blocks.read_facts(rows, COUNT)
-    different, number = summed(keys, values["count"])
-    out = np.zeros(len(keys), dtype=KNOWN_COUNT)
-    out["count"] = number[np.searchsorted(different, keys)]
-    edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else []
-    return blocks.table((blocks.answer(int(block[a]), 0, keys[a:b], out[a:b]) for a, b in zip(edges[:-1], edges[1:])), blocks.ANSWER_ROWS)
-
-
-def model_scores(tokens: np.ndarray, levels, n: int, v: int) -> np.ndarray:
-    """Logarithm to base 10 of each token's probability; ``levels`` reads an n-gram's level."""
-    different, at = np.unique(tokens, return_inverse=True)
-    single = MIDDLES[levels(single_keys(different))][at]
-    pairs, pair_at = np.unique(pair_keys(before(tokens), tokens), return_inverse=True)
-    history = np.r_[MIDDLES[levels(single_keys(np.array([END])))], single[:-1]]
-    pair = np.minimum(MIDDLES[levels(pairs)][pair_at], np.minimum(history, single))
+def tell_levels(rows: pa.Table) -> pa.Table:
+    """Step 2: a segment of the filter is filled, and read for each block's n-grams in their order; words with exact counts."""
+    keys, values, asker = blocks.read_facts(rows, COUNT)
+    bucket = rows.column("bucket")[0].as_py()
+    different, number = [], []
+    known = np.zeros(len(keys), dtype=np.int64)
+    told = np.zeros(len(keys), dtype=KNOWN_COUNT)
+    for kind in (SINGLE, PAIR):
+        of = np.flatnonzero(asker % 2 == kind)
+        found, counts = summed(keys[of], values["count"][of])
+        at = np.searchsorted(found, keys[of])
+        known[of] = at + sum(map(len, different))
+        told["count"][of] = counts[at]
+        different.append(found)
+        number.append(counts)
+    bits = fill_segment(np.concatenate(different), np.concatenate(number))
+    segment = Filter(bits.tobytes(), [len(bits)])
+    level = np.concatenate([segment.levels(x) for x in different]).astype(np.uint8)[known]
+    out = [{"block": SUMS, "kind": SINGLE, "bucket": bucket, "tokens": int(number[SINGLE].sum()), "words": int((number[SINGLE] > 0).sum())}]
+    edges = np.flatnonzero(np.r_[True, asker[1:] != asker[:-1], True]) if len(asker) else []
+    for a, b in zip(edges[:-1], edges[1:]):
+        block, kind = divmod(int(asker[a]), 2)
+        out.append({"block": block, "kind": kind, "bucket": bucket, "levels": level[a:b].tobytes(),
+                    "counts": blocks.planes(told[a:b]) if kind == SINGLE else None})
+    return blocks.table(out, TOLD_ROWS)
+
+
+def read_levels(told: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of a block's n-grams of one kind in the order of their keys, and the counts of single ones."""
+    rows = sorted((r for r in told.to_pylist() if r["kind"] == kind), key=lambda r: r["bucket"])
+    counts = [blocks.from_planes(r["counts"], KNOWN_COUNT) for r in rows if r["counts"] is not None]
+    return (np.frombuffer(b"".join(r["levels"] for r in rows), np.uint8),
+            (np.concatenate(counts) if counts else np.zeros(0, KNOWN_COUNT))["count"])
+
+
+def model_scores(tokens: np.ndarray, singles, pairs, n: int, v: int) -> np.ndarray:
+    """Logarithm to base 10 of each token's probability; ``singles`` and ``pairs`` read the levels of n-grams."""
+    single = MIDDLES[singles(single_keys(tokens))]
+    history = np.r_[MIDDLES[singles(single_keys(np.array([END])))], single[:-1]] if len(tokens) else single
+    pair = np.minimum(MIDDLES[pairs(pair_keys(before(tokens), tokens))], np.minimum(history, single))
     alone = (single + 1) / (n + v + 1)
     return np.log10((pair + PRIOR * alone) / (history + PRIOR))
 
 
-def score_block(shared, n: int, v: int):
+def score_block(n: int, v: int):
     """Step 3: the scores of a block's documents."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         tokens, edges = tokens_of(docs.column("text").to_pylist())
-        known, values = blocks.read_answers(told, 0, KNOWN_COUNT)
-        count = values["count"][np.searchsorted(known, single_keys(tokens))].astype(np.float64)
+        asked = [np.unique(single_keys(tokens)), np.unique(pair_keys(before(tokens), tokens))]
+        (single, exact), (pair, _) = read_levels(told, SINGLE), read_levels(told, PAIR)
+        count = exact[np.searchsorted(asked[SINGLE], single_keys(tokens))].astype(np.float64)
         base = np.log10((count + 1) / (n + v + 1))
-        score = model_scores(tokens, load_filter(shared).levels, n, v)
+        score = model_scores(tokens, lambda keys: single[np.searchsorted(asked[SINGLE], keys)],
+                             lambda keys: pair[np.searchsorted(asked[PAIR], keys)], n, v)
 
         def by_text(x: np.ndarray) -> np.ndarray:
             return np.add.reduceat(x, edges[:-1]) if len(edges) > 1 else x[:0]
@@ -271,25 +265,16 @@ def score_block(shared, n: int, v: int):
     return run
 
 
-LOADED: list = [None, None]
-
-
-def load_filter(shared) -> Filter:
-    """The filter of a broadcast, made once for each time that a worker reads it."""
-    if LOADED[0] is not shared.value:
-        LOADED[:] = [shared.value, Filter(*shared.value)]
-    return LOADED[1]
-
-
 def score_documents(docs: DataFrame) -> DataFrame:
     """Base score and model score of each document, learned from the training ones."""
     total = blocks.text_bytes(docs)
-    bits, sizes, n, v = train(docs, total)
-    shared = docs.sparkSession.sparkContext.broadcast((bits, sizes))
     placed = blocks.in_blocks(docs, total).withColumn("held_out", is_held_out(F.col("doc_id")))
-    buckets = blocks.n_buckets(total // 12)  # a different word of a block for about so many bytes
-    told = placed.groupBy("block").applyInArrow(ask_counts(buckets), blocks.FACTS).groupBy("bucket").applyInArrow(tell_counts, blocks.ANSWERS)
+    buckets = blocks.n_buckets(total // 10)  # a different word or pair of a block for about so many bytes
+    asked = placed.groupBy("block").applyInArrow(ask_levels(buckets), blocks.FACTS)
+    told = stored(asked.groupBy("bucket").applyInArrow(tell_levels, TOLD), "told")
+    sums = told.where(F.col("block") == SUMS).agg(F.sum("tokens"), F.sum("words")).first()
+    n, v = int(sums[0] or 0), int(sums[1] or 0)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-        score_block(shared, n, v),
+    return placed.groupBy("block").cogroup(told.where(F.col("block") != SUMS).groupBy("block")).applyInArrow(
+        score_block(n, v),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

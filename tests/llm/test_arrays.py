@@ -293,3 +293,19 @@ def test_blocks_pack():
     assert (blocks.unpack(blocks.pack(keys)) == keys).all() and len(blocks.unpack(blocks.pack(keys[:0]))) == 0
     values = np.array([(1, 2), (3, 70000)], dtype=[("a", np.uint8), ("b", np.uint32)])
     assert (blocks.from_planes(blocks.planes(values), values.dtype) == values).all()
+
+
+def test_filter_error_is_the_same_at_every_size():
+    # The answers of one segment, asked by a training block and a held-out one; bits follow the n-grams, and none is cut.
+    rng = np.random.default_rng(2)
+    for size in (2_000, 200_000):
+        keys = np.unique(rng.integers(0, 2 ** 47, size).astype(np.uint64) << np.uint64(16))
+        seen, unseen = keys[::2], keys[1::2]
+        rows = [{"bucket": 0, "block": 2 * block + bloom_lm.PAIR, "number": len(k), "keys": bloom_lm.blocks.pack(k),
+                 "values": bloom_lm.blocks.planes(bloom_lm.blocks_count(np.full(len(k), count)))} for block, k, count in ((0, seen, 3), (1, unseen, 0))]
+        told = bloom_lm.tell_levels(bloom_lm.blocks.table(rows, bloom_lm.blocks.FACT_ROWS)).to_pylist()
+        level = {r["block"]: np.frombuffer(r["levels"], np.uint8) for r in told if r["block"] >= 0}
+        assert (level[0] >= 3).all() and (level[0] == 3).mean() > 0.97 and (level[1] > 0).mean() < 0.03
+    with pytest.raises(ValueError):  # too few bytes are an error, not a filter of false hits
+        bloom_lm.fill_segment(seen, np.full(len(seen), 3), 1000)
+    assert not hasattr(bloom_lm, "MAX_FILTER_BYTES")
