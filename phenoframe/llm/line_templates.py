@@ -10,13 +10,17 @@ documents have it there; all others become ``<*>``.  What remains is the
 line's template, if at least ``CONSTANT_PERCENT`` of its words are constant.
 
 Recurrence.  A template recurs when its lines are found in at least
-``LEAST`` unrelated documents, and when these are at least half of the
-different texts that hold it.  Copies of one document are not unrelated:
-documents whose least shingle hash (five words in a row) is the same count
-as one, so a group of near copies does not lose its own lines.  Lines of
-recurring templates are dropped wherever they stand.
-
-Every step is a count by key; no leaf is gathered in one task.
+``LEAST`` documents of which no two are copies, whatever else holds them: a
+group of near copies does not lose its own lines, and cannot keep a line
+that unrelated documents hold too.  Two documents are copies when their
+shingles (five words in a row) resemble by ``COPY_PERCENT``, or by
+``REST_PERCENT`` without those that touch the template's lines, as estimated
+from the ``SKETCH`` least shingle hashes of each.  Each task keeps the
+documents of a template that are no copies of one kept before, until there
+are ``LEAST``; what the tasks kept is then gone through again by template.
+Lines of recurring templates are dropped wherever they stand.
+
+All else is a count by key; no leaf is gathered in one task.
 
 Defined results: NULL counts as the empty text; lines without a word are
 kept and not counted; repeated rows lose the same lines; a document may lose
@@ -41,6 +45,9 @@ DEPTH = 3
 LEAST = 8
 CONSTANT_PERCENT = 80
 SHINGLE_WORDS = 5
+#: Least shingle hashes kept of a document, and the resemblances from which on documents are copies: whole, and without the line.
+SKETCH = 64
+COPY_PERCENT, REST_PERCENT = 75, 50
 FIELD = "<*>"
 DIGIT = re.compile("[0-9]")
 BLANKS = re.compile("[\x20\x09-\x0D]+")
@@ -63,41 +70,126 @@ def path_of(words: list[str]) -> int:
     return hash_of(" ".join([str(len(words)), *words[:DEPTH]]))
 
 
-def family_of(text: str, known: dict[bytes, int]) -> int:
-    """Least shingle hash of a text."""
+def shingle_hashes(text: str, known: dict[bytes, int]) -> np.ndarray:
+    """Hash of each shingle of a text, the whole of a shorter one."""
     found = text.encode().split()
     if not found:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     h = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in found), dtype=np.uint64, count=len(found))
     n = max(1, len(h) - SHINGLE_WORDS + 1)
     value = np.zeros(n, dtype=np.uint64)
     for i in range(min(SHINGLE_WORDS, len(h))):
         value = blocks.mix(value + h[i:i + n])
-    return int(value.min() >> np.uint64(1))
+    return value
+
+
+def family_of(text: str, known: dict[bytes, int]) -> int:
+    """Least shingle hash of a text."""
+    value = shingle_hashes(text, known)
+    return int(value.min() >> np.uint64(1)) if len(value) else 0
+
+
+def sketch_of(value: np.ndarray, counts: list[int]) -> bytes:
+    """The least different shingle hashes of a text, each with the last line of its earliest and the first line of its latest place;
+    ``counts`` has the words of each line."""
+    line = np.repeat(np.arange(len(counts)), counts)
+    first, last = line[:len(value)], line[np.minimum(np.arange(len(value)) + SHINGLE_WORDS, len(line)) - 1]
+    value = (value >> np.uint64(32)).astype(np.uint32)
+    if len(value) > 4 * SKETCH:  # most places are above the least hashes, however often those repeat
+        few = np.flatnonzero(value <= np.partition(value, 4 * SKETCH)[4 * SKETCH])
+        if len(np.unique(value[few])) > SKETCH:
+            value, first, last = value[few], first[few], last[few]
+    order = np.argsort(value, kind="stable")
+    value = value[order]
+    start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+    lists = value[start], np.minimum.reduceat(last[order], start), np.maximum.reduceat(first[order], start)
+    return np.concatenate([x[:SKETCH].astype(np.uint32) for x in lists]).tobytes()
+
+
+def read_sketch(sketch: bytes, places: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of a document, those whose shingles stand clear of some lines, and the bound up to which they are complete."""
+    value, last, first = np.frombuffer(sketch, dtype=np.uint32).reshape(3, -1)
+    bound = int(value[-1]) if len(value) == SKETCH else 2 ** 32
+    lines = np.sort(np.array(places, dtype=np.uint32))
+    touched = np.searchsorted(lines, first) < np.searchsorted(lines, last, "right")  # one place, from its first to its last line
+    apart = np.isin(last, lines) & np.isin(first, lines)  # several places
+    return value, value[~np.where(first <= last, touched, apart)], bound
+
+
+def resemble(a: np.ndarray, b: np.ndarray, bound: int, percent: int) -> bool:
+    """Whether two sorted lists of hashes resemble so much, up to the bound of both; empty ones tell nothing."""
+    a, b = a[:np.searchsorted(a, bound, "right")], b[:np.searchsorted(b, bound, "right")]
+    if not len(a) or not len(b):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def copies(a: tuple, b: tuple) -> bool:
+    bound = min(a[2], b[2])
+    return resemble(a[0], b[0], bound, COPY_PERCENT) or resemble(a[1], b[1], bound, REST_PERCENT)
+
+
+def unrelated(least: int):
+    """Rows of each template in these batches whose documents are no copies of one before; a row without a sketch for a template
+    that has ``least`` of them."""
+
+    def run(batches):
+        kept: dict[int, list | None] = {}
+        rows: dict[int, list] = {}
+        for batch in batches:
+            for template, sketch, places in zip(*(batch.column(c).to_pylist() for c in ("template", "sketch", "places"))):
+                held = kept.setdefault(template, [])
+                if held is None:
+                    continue
+                if sketch is not None:
+                    new = read_sketch(sketch, places)
+                    if any(copies(new, x) for x in held):
+                        continue
+                    held.append(new)
+                    rows.setdefault(template, []).append((sketch, places))
+                if sketch is None or len(held) >= least:
+                    kept[template], rows[template] = None, [(None, None)]
+        out = [(t, *x) for t, found in rows.items() for x in found]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.binary(), pa.list_(pa.int32())))],
+                                             names=["template", "sketch", "places"])
+
+    return run
+
+
+UNRELATED = "template long, sketch binary, places array<int>"
 
 
 def parse(batches):
-    """Lines with words: row, place, leaf, line, family and copy (the text's hash)."""
+    """Lines with words: row, place, leaf, line, family, copy (the text's hash), and in each document's first one its sketch."""
     known: dict[bytes, int] = {}
     for whole in batches:
         for at in range(0, whole.num_rows, BATCH_DOCS):
             batch = whole.slice(at, BATCH_DOCS)
             out: list[tuple] = []
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-                family, copy = family_of(text, known), hash_of(text)
-                for place, line in enumerate(text.split("\n")):
-                    words = line_words(line)
+                value, copy = shingle_hashes(text, known), hash_of(text)
+                if not len(value):
+                    continue
+                family = int(value.min() >> np.uint64(1))
+                lines = [line_words(line) for line in text.split("\n")]
+                sketch = sketch_of(value, [len(words) for words in lines])
+                for place, words in enumerate(lines):
                     if words:
-                        out.append((row, place, path_of(words), hash_of(" ".join(words)), family, copy))
+                        out.append((row, place, path_of(words), hash_of(" ".join(words)), family, copy, sketch))
+                        sketch = None
             if len(known) > 500_000:
                 known.clear()
             if out:
-                row, place, *rest = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(place, pa.int32()), *(pa.array(x, pa.int64()) for x in rest)],
-                                                 names=["row", "place", "leaf", "line", "family", "copy"])
+                row, place, *rest, sketch = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(place, pa.int32()), *(pa.array(x, pa.int64()) for x in rest),
+                                                  pa.array(sketch, pa.binary())], names=["row", "place", "leaf", "line", "family", "copy", "sketch"])
 
 
-LINES = "row long, place int, leaf long, line long, family long, copy long"
+LINES = "row long, place int, leaf long, line long, family long, copy long, sketch binary"
 
 
 def spell(batches):
@@ -132,10 +224,13 @@ def recurring_lines(rows: DataFrame, lines: DataFrame, least: int = LEAST) -> Da
     enough = F.size("fields") * 100 >= F.col("total") * CONSTANT_PERCENT
     shape = F.flatten(F.transform("fields", lambda x: F.array(x["at"].cast("long"), x["word"])))
     templates = cut(fields.where(enough).select("line", F.xxhash64("leaf", shape).alias("template")))
-    votes = (held.join(templates, "line").groupBy("template", "family", "copy").agg(F.lit(1).alias("one"))
-             .groupBy("template", "family").agg(F.count(F.lit(1)).alias("texts"))
-             .groupBy("template").agg(F.count(F.lit(1)).alias("families"), F.sum("texts").alias("texts")))
-    recurring = votes.where((F.col("families") >= least) & (2 * F.col("families") >= F.col("texts"))).select("template")
+    # Different texts of each template, with the places of its lines; then those that are no copies of one another.
+    found = cut(lines.join(small(templates), "line").groupBy("template", "copy").agg(F.min("row").alias("row"), F.collect_set("place").alias("places")))
+    many = small(cut(found.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("template")))
+    sketches = lines.where(F.col("sketch").isNotNull()).groupBy("row").agg(F.first("sketch").alias("sketch"))
+    kept = found.join(many, "template").join(sketches, "row").select("template", "sketch", "places").mapInArrow(unrelated(least), UNRELATED)
+    recurring = kept.repartition("template").sortWithinPartitions("template", "sketch").mapInArrow(unrelated(least), UNRELATED)
+    recurring = recurring.where(F.col("sketch").isNull()).select("template")
     return cut(templates.join(recurring, "template").select("line"))
 
 

@@ -309,3 +309,23 @@ def test_filter_error_is_the_same_at_every_size():
     with pytest.raises(ValueError):  # too few bytes are an error, not a filter of false hits
         bloom_lm.fill_segment(seen, np.full(len(seen), 3), 1000)
     assert not hasattr(bloom_lm, "MAX_FILTER_BYTES")
+
+
+def made_words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+
+
+def test_near_copies_do_not_keep_a_recurring_line(spark):
+    # 40 unrelated documents and 300 near copies hold one line; the copies' own line stays.
+    rng = random.Random(3)
+    line = " ".join(made_words(rng, 10))
+    rows = [(i, line + "\n" + " ".join(made_words(rng, 160))) for i in range(40)]
+    base, own = made_words(rng, 160), " ".join(made_words(rng, 12))
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(160), 2):
+            copy[at] = made_words(rng, 1)[0]
+        rows.append((1000 + i, "\n".join([" ".join(copy[:80]), own, line, " ".join(copy[80:])])))
+    out = {r.doc_id: r.cleaned.split("\n") for r in line_templates.drop_recurring_lines(table(spark, rows)).collect()}
+    assert not any(line in x for x in out.values())
+    assert all(own in x and len(x) == 3 for d, x in out.items() if d >= 1000) and all(len(x) == 1 for d, x in out.items() if d < 1000)
