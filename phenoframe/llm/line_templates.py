@@ -6,7 +6,9 @@ number of words, the next ``DEPTH`` levels the leading words, and all lines
 with the same path share a leaf.
 
 Generalising.  In a leaf, a word is constant at its place when enough
-documents have it there; all others become ``<*>``.  What remains is the
+families of documents have it there; all others become ``<*>``.  A line's
+family is the least shingle hash of its document outside the line, so that a
+long line does not make its documents look alike.  What remains is the
 line's template, if at least ``CONSTANT_PERCENT`` of its words are constant.
 
 Recurrence.  A template recurs when its lines are found in at least
@@ -89,6 +91,18 @@ def family_of(text: str, known: dict[bytes, int]) -> int:
     return int(value.min() >> np.uint64(1)) if len(value) else 0
 
 
+def families_of(value: np.ndarray, counts: list[int]) -> list[int]:
+    """For each line, the least shingle hash of the text among those that do not touch it; where all do, of the whole text."""
+    value = value >> np.uint64(1)
+    edges = np.cumsum([0, *counts])
+    before = np.r_[value.max(), np.minimum.accumulate(value)]  # least of the first 0, 1, 2, ... shingles
+    after = np.r_[np.minimum.accumulate(value[::-1])[::-1], value.max()]
+    n_before = np.clip(edges[:-1] - SHINGLE_WORDS + 1, 0, len(value))
+    from_after = np.minimum(edges[1:], len(value))
+    alone = (n_before == 0) & (from_after == len(value))
+    return np.where(alone, value.min(), np.minimum(before[n_before], after[from_after])).tolist()
+
+
 def sketch_of(value: np.ndarray, counts: list[int]) -> bytes:
     """The least different shingle hashes of a text, each with the last line of its earliest and the first line of its latest place;
     ``counts`` has the words of each line."""
@@ -174,10 +188,10 @@ def parse(batches):
                 value, copy = shingle_hashes(text, known), hash_of(text)
                 if not len(value):
                     continue
-                family = int(value.min() >> np.uint64(1))
                 lines = [line_words(line) for line in text.split("\n")]
-                sketch = sketch_of(value, [len(words) for words in lines])
-                for place, words in enumerate(lines):
+                counts = [len(words) for words in lines]
+                sketch = sketch_of(value, counts)
+                for place, (words, family) in enumerate(zip(lines, families_of(value, counts))):
                     if words:
                         out.append((row, place, path_of(words), hash_of(" ".join(words)), family, copy, sketch))
                         sketch = None
@@ -193,12 +207,13 @@ LINES = "row long, place int, leaf long, line long, family long, copy long, sket
 
 
 def spell(batches):
-    """Masked words of the different lines of each batch."""
-    for batch in batches:
-        lines = {line for text in batch.column("text").to_pylist() for line in text.split("\n")}
-        words = {" ".join(w): w for w in map(line_words, lines) if w}
-        yield pa.RecordBatch.from_arrays([pa.array([path_of(w) for w in words.values()], pa.int64()), pa.array([hash_of(t) for t in words], pa.int64()),
-                                          pa.array(list(words.values()), pa.list_(pa.string()))], names=["leaf", "line", "words"])
+    """Masked words of the different lines of some documents at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH_DOCS):
+            lines = {line for text in whole.slice(at, BATCH_DOCS).column("text").to_pylist() for line in text.split("\n")}
+            words = {" ".join(w): w for w in map(line_words, lines) if w}
+            yield pa.RecordBatch.from_arrays([pa.array([path_of(w) for w in words.values()], pa.int64()), pa.array([hash_of(t) for t in words], pa.int64()),
+                                              pa.array(list(words.values()), pa.list_(pa.string()))], names=["leaf", "line", "words"])
 
 
 SPELLED = "leaf long, line long, words array<string>"

@@ -329,3 +329,28 @@ def test_near_copies_do_not_keep_a_recurring_line(spark):
     out = {r.doc_id: r.cleaned.split("\n") for r in line_templates.drop_recurring_lines(table(spark, rows)).collect()}
     assert not any(line in x for x in out.values())
     assert all(own in x and len(x) == 3 for d, x in out.items() if d >= 1000) and all(len(x) == 1 for d, x in out.items() if d < 1000)
+
+
+def test_long_passage_does_not_make_copies(spark):
+    # Unrelated documents of which a shared line is two thirds: few least shingles of the whole texts lie outside it.
+    rng = random.Random(6)
+    line = " ".join(made_words(rng, 200))
+    rows = [(i, line + "\n" + " ".join(made_words(rng, 100))) for i in range(16)]
+    assert len({line_templates.family_of(t, {}) for _, t in rows}) < line_templates.LEAST
+    out = line_templates.drop_recurring_lines(table(spark, rows)).collect()
+    assert len(out) == 16 and all(r.n_dropped == 1 and line not in r.cleaned for r in out)
+
+
+def test_families_outside_a_line():
+    rng = random.Random(7)
+    for counts in ([3], [1, 1], [4, 0, 3], [10, 5, 0, 20], [0, 6, 7]):
+        text = "\n".join(" ".join(made_words(rng, n)) for n in counts)
+        value = line_templates.shingle_hashes(text, {})
+        line = [i for i, n in enumerate(counts) for _ in range(n)]
+        for p, family in enumerate(line_templates.families_of(value, counts)):
+            clear = [int(v) >> 1 for i, v in enumerate(value) if p not in line[i:i + 5]]
+            if not counts[p]:
+                continue  # lines without a word are not counted
+            assert family == min(clear or [int(v) >> 1 for v in value])
+            got = line_templates.read_sketch(line_templates.sketch_of(value, counts), [p])[1]
+            assert sorted(got.tolist()) == sorted(int(v) >> 32 for i, v in enumerate(value) if p not in line[i:i + 5])
