@@ -2,7 +2,8 @@
 
 Documents are summed to cells of source, language and topic.  Raking scales
 the cells' token weights to each target marginal in turn until all three
-hold.  A document's probability is its cell's fitted weight over its tokens,
+hold to ``TOLERANCE``; targets that the cells cannot reach, or not in
+``MOST_SWEEPS``, are reported by a warning with the error left.  A document's probability is its cell's fitted weight over its tokens,
 times one factor for the whole corpus that makes the expected sample the
 wanted share of all tokens (cells that reach 1 stay there).  Each document
 is then kept or not by a number drawn from its id.
@@ -20,6 +21,7 @@ the empty text; equal ids get the same decision; an empty table stays empty.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import pandas as pd
@@ -37,10 +39,14 @@ CELL = "source string, lang string, topic string"
 FLATTEN = 0.7
 #: Share of all tokens that the sample is expected to hold.
 KEEP = 0.5
-SWEEPS = 12
+#: Fewest and most sweeps over the marginals, and the error of a value's share of all tokens at which they end.
+SWEEPS, MOST_SWEEPS = 12, 2_000
+TOLERANCE = 1e-5
+#: Sweeps between two tests on the executors, where each sweep is a pass.
+SWEEPS_BETWEEN = 4
 #: Cells up to which the driver rakes the table of cells; a larger one is raked by window sums on the executors, to the same weights.
 FEW_CELLS = 50_000
-#: Rounds of the search for the common factor; it ends when no further cell reaches 1.
+#: Rounds of the search for the common factor in the SQL oracle; here it goes on until no further cell reaches 1.
 FACTOR_ROUNDS = 12
 DRAW_SALT = ":mix"
 NONE = "(none)"
@@ -80,15 +86,32 @@ def target_shares(sums: DataFrame, name: str, target: Mapping[str, float] | None
     return sums.select(name, share.alias(f"{name}_share"))
 
 
-def rake(cells: pd.DataFrame, total: float, sweeps: int) -> pd.DataFrame:
+def report(error: float) -> None:
+    if error > TOLERANCE:
+        warnings.warn(f"raking stopped with a marginal share off by {error:.2g}; the targets may be out of reach of the cells", RuntimeWarning, stacklevel=3)
+
+
+def rake(cells: pd.DataFrame, total: float, sweeps: int, most: int = MOST_SWEEPS) -> pd.DataFrame:
     """Cells with their weights scaled to each marginal's shares in turn."""
-    for _ in range(sweeps):
+    error = 0.0
+    for i in range(max(sweeps, most)):
         for name in MARGINALS:
             held = cells.groupby(name)["weight"].transform("sum")
             cells["weight"] = (cells["weight"] * cells[f"{name}_share"] * total / held).where(held > 0, 0.0)
+        if i + 1 >= sweeps:
+            error = max(float((cells.groupby(c)["weight"].transform("sum") / total - cells[f"{c}_share"]).abs().max()) for c in MARGINALS)
+            if error <= TOLERANCE:
+                break
+    report(error)
     return cells[[*MARGINALS, "tokens", "weight"]]
 
 
+def largest_error(wide: DataFrame, total: float) -> float:
+    """Largest error of a value's share of all weights."""
+    return max(wide.groupBy(c).agg((F.sum("weight") / F.lit(total) - F.first(f"{c}_share")).alias("error"))
+               .agg(F.max(F.abs("error"))).first()[0] for c in MARGINALS)
+
+
 def fitted_cells(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """Cells with their ``tokens`` and fitted ``weight``; ``rows`` has the marginals and ``tokens``."""
     cells = cut(rows.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")))
@@ -102,12 +125,18 @@ def fitted_cells(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] | N
     wide = cut(wide.withColumn("weight", F.col("tokens").cast("double")))
     if wide.count() <= FEW_CELLS:
         return cells.sparkSession.createDataFrame(rake(wide.toPandas(), float(total), sweeps), f"{CELL}, tokens long, weight double")
-    for _ in range(sweeps):
+    error = 0.0
+    for i in range(max(sweeps, MOST_SWEEPS)):
         for name in MARGINALS:
             held = F.sum("weight").over(Window.partitionBy(name))
             scaled = F.col("weight") * F.col(f"{name}_share") * F.lit(float(total)) / held
             wide = wide.withColumn("weight", F.when(held > 0, scaled).otherwise(F.lit(0.0)))
         wide = cut(wide)
+        if i + 1 >= sweeps and (i + 1 - sweeps) % SWEEPS_BETWEEN == 0:
+            error = largest_error(wide, float(total))
+            if error <= TOLERANCE:
+                break
+    report(error)
     return cut(wide.select(*MARGINALS, "tokens", "weight"))
 
 
@@ -115,10 +144,10 @@ def probabilities(cells: DataFrame, keep: float = KEEP) -> DataFrame:
     """``cells`` with the probability of their documents."""
     wanted = keep * float(cells.agg(F.sum("tokens")).first()[0] or 0)
     factor, full = 0.0, -1
-    for _ in range(FACTOR_ROUNDS):
+    while True:  # each round but the last has more cells that reach 1
         whole = F.col("weight") * F.lit(factor) >= F.col("tokens")
         found = cells.agg(F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("weight"))), F.count(F.when(whole, 1))).first()
-        if found[2] == full or not found[1]:
+        if found[2] <= full or not found[1]:
             break
         full, factor = found[2], max(0.0, wanted - float(found[0] or 0)) / found[1]
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(factor) / F.col("tokens")))

@@ -175,3 +175,23 @@ def test_mixing_edges(spark):
     docs = table(spark, EDGES)
     assert mixing.mix_report(docs).count() == len(EDGES) and mixing.mix_report(table(spark, [])).count() == 0
     assert mixing.sample(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_raking_goes_on_until_the_marginals_hold(spark, monkeypatch, few):
+    # Nearly separable: each source has almost all of its tokens in its own language.
+    monkeypatch.setattr(mixing, "FEW_CELLS", few)
+    rows = [("a", "en", "x", 10_000), ("a", "de", "x", 10), ("b", "en", "x", 10), ("b", "de", "x", 10_000)]
+    docs = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": .6, "b": .4}, "lang": {"en": .45, "de": .55}}
+    cells = mixing.fitted_cells(docs, targets).toPandas()
+    total = cells.weight.sum()
+    for name, want in targets.items():
+        got = (cells.groupby(name).weight.sum() / total).to_dict()
+        assert all(abs(got[k] - share) < 2e-5 for k, share in want.items())
+
+
+def test_raking_reports_targets_out_of_reach(spark):
+    docs = spark.createDataFrame([("a", "en", "x", 10), ("b", "de", "x", 10)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(RuntimeWarning, match="marginal"):
+        mixing.fitted_cells(docs, {"source": {"a": .6, "b": .4}, "lang": {"en": .45, "de": .55}})
