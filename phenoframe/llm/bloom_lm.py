@@ -49,7 +49,7 @@ PRIOR = 200.0
 #: Counts up to this are kept as they are; above, each level is this factor over the last.
 EXACT, FACTOR = 8, 1.15
 #: Bits for each key in the filter, and probes of each key.
-BITS_PER_KEY, PROBES = 9, 5
+BITS_PER_KEY, PROBES = 10, 5
 #: Bytes that the probes' 32-bit places reach; segments of ``blocks.BUCKET_FACTS`` n-grams stay far below.
 REACH = 2 ** 29 - 8
 #: The end mark's hash; a word never hashes a space.

@@ -354,3 +354,10 @@ def test_families_outside_a_line():
             assert family == min(clear or [int(v) >> 1 for v in value])
             got = line_templates.read_sketch(line_templates.sketch_of(value, counts), [p])[1]
             assert sorted(got.tolist()) == sorted(int(v) >> 32 for i, v in enumerate(value) if p not in line[i:i + 5])
+
+
+def test_false_hits_of_a_probe_round():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2 ** 63, 400_000).astype(np.uint64))
+    bits = bloom_lm.fill_segment(keys[::2], np.full(len(keys[::2]), 2))
+    assert (bloom_lm.Filter(bits.tobytes(), [len(bits)]).levels(keys[1::2]) > 0).mean() < 0.012
