@@ -63,6 +63,54 @@ def crc_table() -> list[int]:
     return table
 
 
+def crc32(hex_text: str, n: str) -> str:
+    """Checksum of ``n`` bytes given in hex digits."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range({n}), lambda i: ('0x' || substr({hex_text}, 2 * i + 1, 2))::BIGINT)), "
+            f"lambda c, b: xor(c >> 8, {crc_table()}[xor(c & 255, b) + 1])), 4294967295::BIGINT)")
+
+
+def crc32_of_id(id_: str) -> str:
+    return crc32(f"hex(encode({id_}::VARCHAR))", f"length({id_}::VARCHAR)")
+
+
+def op13() -> str:
+    def field(x: str) -> str:
+        return f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(field(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def levels(name: str, start: str) -> str:
+        return f"""{name}(tree, level, place, n, digest) AS ({start}
+    UNION ALL
+    SELECT tree, level + 1, place // 8, max((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY place)) FROM {name} WHERE n > 1 GROUP BY tree, level, place // 8),
+{name}_runs AS MATERIALIZED (SELECT tree, level, place // 8 AS run, list(digest ORDER BY place) AS ds FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+    def climb(name: str, of: str, start: str) -> str:
+        others = "array_to_string(ds[:{p}], '') || {x} || array_to_string(ds[{p} + 2:], '')"
+        p = "(c.place % 8)"
+        return f"""{name}(row, tree, level, place, folded, path) AS ({start}
+    UNION ALL
+    SELECT c.row, c.tree, c.level + 1, c.place // 8, sha256({others.format(p=p, x='c.folded')}), c.path || {others.format(p=p, x="''")}
+    FROM {name} c JOIN {of}_runs r ON r.tree = c.tree AND r.level = c.level AND r.run = c.place // 8),
+{name}_end AS MATERIALIZED (SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY row ORDER BY level DESC) = 1)"""
+
+    return f"""
+WITH RECURSIVE leafs AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, doc_id, coalesce('=' || lang, '') AS tree, {leaf('text')} AS leaf,
+        CASE WHEN {crc32_of_id('doc_id')} % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS told FROM documents),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, told) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM leafs),
+{levels('nodes', "SELECT tree, 0, place, n, leaf FROM ranked")},
+subroots AS MATERIALIZED (SELECT tree, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{levels('tops', "SELECT '', 0, place, n, digest FROM subroots")},
+{climb('inside', 'nodes', "SELECT row, tree, 0, place, told, '' FROM ranked")},
+{climb('outside', 'tops', "SELECT row, '', 0, s.place, folded, path FROM inside_end e JOIN subroots s USING (tree)")}
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(path) AS proof_sha256, folded AS folded_root, folded = t.digest AS verified
+FROM ranked JOIN outside_end USING (row) JOIN subroots s ON s.tree = ranked.tree, (SELECT digest FROM tops WHERE n = 1) t"""
+
+
 def op5() -> str:
     def shard(n: int) -> str:
         # Equal weights: the smallest -ln(u) is the largest u.
@@ -73,8 +121,7 @@ def op5() -> str:
     return f"""
 WITH bytes AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
 crc AS (
-    SELECT doc_id, n + 1 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
-        lambda c, b: xor(c >> 8, {crc_table()}[xor(c & 255, b) + 1])), 4294967295::BIGINT) AS text_crc32 FROM bytes),
+    SELECT doc_id, n + 1 AS size, {crc32('h', 'n')} AS text_crc32 FROM bytes),
 dealt AS (SELECT *, [{us}] AS us FROM crc),
 placed AS (SELECT doc_id, size, text_crc32, ({shard(n)})::INTEGER AS shard, ({shard(n + 1)})::INTEGER AS grown_shard FROM dealt)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
@@ -115,4 +162,4 @@ FROM based"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": op1(), "op5_sharding": op5(), "op8_source_mixing": op8()}
+    return {"op1_quality_rules": op1(), "op5_sharding": op5(), "op8_source_mixing": op8(), "op13_merkle_manifest": op13()}

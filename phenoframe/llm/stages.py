@@ -39,3 +39,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (narrow, and already cut) marked for broadcast when it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+class Scratch:
+    """Tables of one run in the checkpoint folder, removed together once the run's result is written."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.folder = f"{shared_folder(df).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.written = 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as Parquet to the run's folder and read back."""
+        self.written += 1
+        path = f"{self.folder}/{self.written}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def finish(self, result: DataFrame, name: str) -> DataFrame:
+        """The result, written beside the run's folder; the folder goes."""
+        kept = stored(result, name)
+        self.remove()
+        return kept
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
