@@ -104,7 +104,7 @@ def linked(runs: DataFrame, tops: DataFrame, *columns: str) -> DataFrame:
     inside = F.col("n") > width
     above = (F.col("tree") != TOP) & (F.col("subroots") > 1)
     place = F.when(inside, F.col("run")).when(above, F.col("top_place"))
-    return runs.join(small(tops), "tree", "left").select(
+    return runs.join(tops, "tree", "left").select(
         "tree", "level", "run", "digests", *columns,
         F.when(inside, F.col("tree")).when(above, F.lit(TOP)).alias("up_tree"),
         F.when(inside, F.col("level") + 1).when(above, F.lit(0)).cast("int").alias("up_level"),
@@ -157,7 +157,8 @@ def manifest(docs: DataFrame) -> DataFrame:
     # NULL's tree first ("-" sorts before "="), the others by the language's bytes.
     ordered = running(subroots.withColumn("all", F.lit(0)), "all", ["tree"], scratch).drop("all")
     count = subroots.count()
-    tops = scratch.keep(ordered.select("tree", F.col("digest").alias("subroot"), F.col("run_place").alias("top_place"), F.lit(count).cast("long").alias("subroots")), "tops")
+    tops = small(scratch.keep(ordered.select("tree", F.col("digest").alias("subroot"), F.col("run_place").alias("top_place"),
+                                             F.lit(count).cast("long").alias("subroots")), "tops"))
     top_nodes = tops.select(F.lit(TOP).alias("tree"), F.col("subroots").alias("n"), F.col("top_place").alias("place"), F.col("subroot").alias("digest"))
     top_levels, root = raised(scratch.keep(in_runs(top_nodes), "top"), 0, scratch)
     root = [bytes(r.digest) for r in root.collect()]  # one digest, none of an empty table
@@ -176,7 +177,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     with any_number_of_rows(spark):
         climbed = scratch.keep(spark.sql(CLIMB, starts=starts, above=above), "climbed")
     # A leaf's siblings are the others of its run, then those of the path.
-    met = base.join(climbed, ["tree", "run"]).join(small(tops.select("tree", "subroot")), "tree")
+    met = base.join(climbed, ["tree", "run"]).join(tops.select("tree", "subroot"), "tree")
     each = met.select("subroot", "digests", "path", F.posexplode(F.arrays_zip("doc_id", "digests", "folded")).alias("i", "own"))
     siblings = F.concat(F.expr(hexes("filter(digests, (d, j) -> j != i)")), F.lower(F.hex("path")))
     text = lambda c: F.lower(F.hex(c))
