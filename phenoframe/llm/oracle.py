@@ -73,6 +73,44 @@ def crc32_of_id(id_: str) -> str:
     return crc32(f"hex(encode({id_}::VARCHAR))", f"length({id_}::VARCHAR)")
 
 
+def op11() -> str:
+    return f"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM texts),
+shingles AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, least(doc_id, coalesce(b, doc_id)) = doc_id AS kept
+FROM sets LEFT JOIN least ON a = doc_id"""
+
+
+def op12() -> str:
+    # The root's parent is NULL; readers of the two results then see doubles in either.
+    shared = f"({crc32_of_id('conv')} % 9)"
+    return f"""
+WITH said AS (SELECT conv_id AS conv, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS own
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+sized AS (SELECT *, {shared} AS h FROM said),
+rebuilt AS MATERIALIZED (SELECT c.conv, list_concat(coalesce(b.own, [])[:c.h], c.own[c.h + 1:]) AS chain FROM sized c LEFT JOIN said b ON b.conv = c.conv - c.conv % 5),
+paths AS (SELECT conv, chain, unnest(range(len(chain) + 1)) AS depth FROM rebuilt),
+members AS MATERIALIZED (SELECT depth, chain[:depth] AS key, conv, len(chain) = depth AS ends FROM paths),
+nodes AS MATERIALIZED (
+    SELECT depth, key, min(conv) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM members GROUP BY depth, key),
+children AS (SELECT depth - 1 AS depth, key[:depth - 1] AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+linked AS MATERIALIZED (SELECT n.*, coalesce(c.n, 0) AS n_children, CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(n.key[n.depth].text) END AS own_saved
+    FROM nodes n LEFT JOIN children c USING (depth, key)),
+upward AS (SELECT n_children = 0 AS leaf, own_saved, key AS chain, unnest(range(depth + 1)) AS depth FROM linked),
+totals AS (SELECT depth, chain[:depth] AS key, sum(leaf::BIGINT) AS n_leaves, sum(own_saved) AS saved_tokens FROM upward GROUP BY ALL)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id::DOUBLE AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children, t.n_leaves::BIGINT AS n_leaves,
+    t.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM linked n JOIN totals t USING (depth, key) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.key = n.key[:n.depth - 1]"""
+
+
 def op13() -> str:
     def field(x: str) -> str:
         return f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
@@ -162,4 +200,5 @@ FROM based"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": op1(), "op5_sharding": op5(), "op8_source_mixing": op8(), "op13_merkle_manifest": op13()}
+    return {"op1_quality_rules": op1(), "op5_sharding": op5(), "op8_source_mixing": op8(), "op11_bayes_minhash": op11(),
+            "op12_conversation_trie": op12(), "op13_merkle_manifest": op13()}

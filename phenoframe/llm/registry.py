@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from phenoframe.llm import bloom_lm, fingerprints, jaccard_groups, line_templates, merkle, mixing, oracle, prefix_free, quality, sharding, token_counts, viterbi
-from phenoframe.llm.text import documents
+from phenoframe.llm import bayes_minhash, bloom_lm, fingerprints, jaccard_groups, line_templates, merkle, mixing, oracle, prefix_free, prefix_trie, quality, sharding, token_counts, viterbi
+from phenoframe.llm.text import conversations, documents
 
 
 MODEL = "piece_bpe_32k.model"
@@ -54,13 +54,22 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.document_components(documents(spark, sf_dir))
 
 
+def op11_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes_minhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(conversations(spark, sf_dir))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_quality_rules, op2_line_templates, op3_bloom_scores, op4_token_counts, op5_sharding, op6_repeated_spans,
-             op7_piece_viterbi, op8_source_mixing, op9_fingerprints, op10_jaccard_components, op13_merkle_manifest)
+             op7_piece_viterbi, op8_source_mixing, op9_fingerprints, op10_jaccard_components, op11_bayes_minhash,
+             op12_conversation_trie, op13_merkle_manifest)
     return {f.__name__: f for f in every}
 
 

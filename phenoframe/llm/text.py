@@ -28,6 +28,10 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def conversations(spark, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 def own(df: DataFrame, *names: str) -> str:
     """A column name that ``df`` does not use: the joined names, with underscores put before them until free."""
     name = "_".join(names)
