@@ -15,11 +15,15 @@ all of theirs.  The result is each document's component under the links.
    ``MISS``, else the pair is dropped.  Survivors are compared by their full sets.
 4. In two rounds the members of a bucket are candidates of one member (the
    first, then the last), each confirmed with the one it matches best:
-   rows in proportion to members, which gather most of every large group.
-   Then buckets whose members still differ in component are opened: their
-   members outside the largest component ask bounded chunks of all members,
-   and every survivor from another component is confirmed.  So no
-   candidate pair between components is left out, and no pair within one is listed.
+   rows in proportion to members.  Then buckets whose members still differ
+   in component are opened: their members outside the largest component
+   compare signatures with bounded chunks of all members.  In one round only
+   the best match of each is confirmed, which gathers most of what is left
+   of large groups.  In the last one a member that has a survivor in another
+   component is compared by full sets with that component, in bounded
+   chunks of which its overlap with the union allows a link.  So no
+   candidate pair between components is left out, none within one is
+   compared, and pairs are never listed: a row says which component to open.
 
 Shingles are compared by 64-bit hashes, equal sets found by their size and 128 bits.
 
@@ -48,10 +52,15 @@ from phenoframe.llm.stages import Scratch
 PERCENT = 80
 BANDS, ROWS = 40, 5
 #: Signature places compared before each look at the posterior, and the posterior below which a pair is dropped.
-BATCH, MISS = 25, 1e-9
+BATCH, MISS = 25, 1e-6
 #: Text bytes hashed at once; members of a bucket that a query asks at once; queries that ask them; pairs of a text in one task.
 PIECE_BYTES, CHUNK, QUERIES, PAIRS = 2_000_000, 256, 1024, 200
 
+#: Rounds of candidates: a bucket's first member, its last one, each query's best match, then all that is left.
+STEPS = ("first", "last", "best", "all")
+#: Members of a component that a query opens at once, and queries that open them.
+OPEN_CHUNK, OPEN_QUERIES = 128, 256
+
 PLACES = BANDS * ROWS
 
 
@@ -198,46 +207,81 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own, _ = shingles([text])
                 flat, edges = shingles(part.column("text_b").take(pa.array(mine)).to_pylist())
                 n = np.diff(edges)
-                where = np.searchsorted(own, flat)
-                where[where == len(own)] = 0
-                shared = np.add.reduceat((own[where] == flat).astype(np.int64), edges[:-1])
+                shared = np.add.reduceat(contained(flat, own).astype(np.int64), edges[:-1])
                 found.append(mine[100 * shared >= PERCENT * (len(own) + n - shared)])
             taken = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a[taken]), pa.array(b[taken])], names=["a", "b"])
 
 
-def ask_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step of ``mapInArrow`` over rows sorted by ``key, chunk, block``: pairs of a query with the chunk's members of
-    other components that their signatures do not rule out.  One chunk with its block of queries is in memory at a time."""
-    held: list[pa.RecordBatch] = []
-
-    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        asks = rows.column("asks").to_numpy()
-        if asks.all() or not asks.any():
-            return
-        signed = matrix(rows.column("signature").combine_chunks())
-        node, label, n = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
-        members = np.flatnonzero(~asks)
-        a, b = [], []
-        for q in np.flatnonzero(asks):
-            near = members[label[members] != label[q]]
-            left, _ = survivors(signed[q:q + 1], signed[near], n[q], n[near])
-            a.append(np.minimum(node[near[left]], node[q]))
-            b.append(np.maximum(node[near[left]], node[q]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
+def by_group(told, keys: tuple[str, ...]):
+    """Step of ``mapInArrow`` over rows sorted by the long ``keys``: ``told`` of each group, one group in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            group = np.stack([rows.column(c).to_numpy() for c in keys])
+            edges = np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(axis=0), True])
+            for p, q in zip(edges[:-2], edges[1:-1]):
+                yield from told(rows.slice(p, q - p))
+            held = rows.slice(edges[-2]).to_batches()
+        if held:
+            yield from told(pa.Table.from_batches(held))
+
+    return run
+
+
+def matches_in_chunk(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """For each query of a bucket's chunk and each other component: the member that it matches best, of those that the signatures do not rule out."""
+    asks = rows.column("asks").to_numpy()
+    if asks.all() or not asks.any():
+        return
+    signed = matrix(rows.column("signature").combine_chunks())
+    node, label, n = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
+    members = np.flatnonzero(~asks)
+    found = []
+    for q in np.flatnonzero(asks):
+        near = members[label[members] != label[q]]
+        left, matches = survivors(signed[q:q + 1], signed[near], n[q], n[near])
+        order = np.lexsort((-matches, label[near[left]]))
+        hit = near[left][order]
+        first = np.r_[True, label[hit[1:]] != label[hit[:-1]]] if len(hit) else np.zeros(0, bool)
+        found.append(np.stack([np.full(first.sum(), node[q]), node[hit[first]], label[hit[first]], matches[order][first]]))
+    yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(found, axis=1))), names=["a", "b", "label", "matches"])
+
+
+def links_in_chunk(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """For each query of a component's chunk a member whose full set links with its own, if there is one.
+
+    The query's overlap with the union of the members' sets bounds its overlap with any of them."""
+    asks = rows.column("asks").to_numpy()
+    if asks.all() or not asks.any():
+        return
+    node, texts = rows.column("node").to_numpy(), rows.column("text").combine_chunks()
+    members = node[~asks]
+    flat, edges = shingles(texts.filter(pa.array(~asks)).to_pylist())
+    union, sizes = np.unique(flat), np.diff(edges)
+    a, b = [], []
+    for q in np.flatnonzero(asks):
+        own, _ = shingles([texts[q].as_py()])
+        if 100 * contained(own, union).sum() < PERCENT * len(own):
             continue
-        held.append(batch)
-        rows = pa.Table.from_batches(held)
-        group = np.stack([rows.column(c).to_numpy() for c in ("key", "chunk", "block")])
-        edges = np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(axis=0), True])
-        for p, q in zip(edges[:-2], edges[1:-1]):
-            yield from told(rows.slice(p, q - p))
-        held = rows.slice(edges[-2]).to_batches()
-    if held:
-        yield from told(pa.Table.from_batches(held))
+        shared = np.add.reduceat(contained(flat, own).astype(np.int64), edges[:-1])
+        hit = np.flatnonzero(100 * shared >= PERCENT * (len(own) + sizes - shared))
+        if len(hit):
+            a.append(node[q])
+            b.append(members[hit[0]])
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def contained(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted, non-empty known ones."""
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values
 
 
 def judged(pairs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -269,20 +313,43 @@ def differing(placed: DataFrame, total: int) -> DataFrame:
     return join_hot(placed, buckets.where("low <> high").drop("low", "high"), ["key"], "size", total)
 
 
-def all_others(rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Surviving pairs of all members of a bucket that are of different components.
+def in_chunks(members: DataFrame, asking: DataFrame, chunk: int, block: int, columns: list[str], key: str) -> DataFrame:
+    """Members and queries of each ``key`` (with its numbers of either in ``size`` and ``asking``), so that every query meets
+    every member in one group of ``key, chunk, block`` of bounded size."""
+    chunks, blocks = F.ceil(F.col("size") / chunk), F.ceil(F.col("asking") / block)
+    zero, spread = F.lit(0).cast("long"), F.xxhash64("node")
+    here = members.select(key, *columns, F.pmod(spread, chunks).alias("chunk"), F.explode(F.sequence(zero, blocks - 1)).alias("block"), F.lit(False).alias("asks"))
+    there = asking.select(key, *columns, F.explode(F.sequence(zero, chunks - 1)).alias("chunk"), F.pmod(spread, blocks).alias("block"), F.lit(True).alias("asks"))
+    return here.unionByName(there)
 
-    Of each bucket the members outside its largest component are the queries."""
+
+def grouped(rows: DataFrame, key: str) -> DataFrame:
+    return rows.repartition(key, "chunk", "block").sortWithinPartitions(key, "chunk", "block")
+
+
+def others(rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """For each query of a bucket and each other component in it: the best match ``b`` of ``a`` by signature, among those not
+    ruled out (a row for each chunk).  Of each bucket the members outside its largest component are the queries."""
     each = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("many"))
-    largest = each.groupBy("key").agg(F.max_by("label", "many").alias("main"), F.sum("many").alias("size"), (F.sum("many") - F.max("many")).alias("asking"))
+    largest = each.groupBy("key").agg(F.max_by("label", "many").alias("largest"), F.sum("many").alias("size"), (F.sum("many") - F.max("many")).alias("asking"))
     told = join_hot(rows.select("key", "node", "label"), scratch.keep(largest, "largest"), ["key"], "size", rows.count())
-    chunks, blocks = F.ceil(F.col("size") / CHUNK), F.ceil(F.col("asking") / QUERIES)
-    zero, spread = F.lit(0).cast("long"), F.xxhash64("node")
-    members = told.select("key", "node", "label", F.pmod(spread, chunks).alias("chunk"), F.explode(F.sequence(zero, blocks - 1)).alias("block"), F.lit(False).alias("asks"))
-    asking = told.where("label <> main").select("key", "node", "label", F.explode(F.sequence(zero, chunks - 1)).alias("chunk"), F.pmod(spread, blocks).alias("block"), F.lit(True).alias("asks"))
-    signed = members.unionByName(asking).join(nodes.select("node", "n", "signature"), "node")
-    placed = signed.repartition("key", "chunk", "block").sortWithinPartitions("key", "chunk", "block")
-    return placed.mapInArrow(ask_chunks, "a long, b long").distinct()
+    met = in_chunks(told, told.where("label <> largest"), CHUNK, QUERIES, ["node", "label"], "key").join(nodes.select("node", "n", "signature"), "node")
+    keys = ("key", "chunk", "block")
+    return grouped(met, "key").mapInArrow(by_group(matches_in_chunk, keys), "a long, b long, label long, matches long")
+
+
+def opened(asked: DataFrame, equal: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links of queries ``a`` with components ``label``: each query is compared, by full sets, with all members of the component, in chunks."""
+    asked = scratch.keep(asked.select("a", "label").distinct(), "asked")
+    sizes = asked.groupBy("label").agg(F.count(F.lit(1)).alias("asking"))
+    members = equal.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sizes, "label")
+    members = scratch.keep(members, "members")
+    number = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.first("asking").alias("asking"))
+    number = scratch.keep(number, "sizes")
+    members = join_hot(members.select("label", "node"), number, ["label"], "size", members.count())
+    asking = join_hot(asked.withColumnRenamed("a", "node"), number, ["label"], "asking", asked.count())
+    rows = in_chunks(members, asking, OPEN_CHUNK, OPEN_QUERIES, ["node"], "label").join(sets.select(F.col("row").alias("node"), "text"), "node")
+    return scratch.keep(grouped(rows, "label").mapInArrow(by_group(links_in_chunk, ("label", "chunk", "block")), "a long, b long"), "links")
 
 
 def components(nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -291,16 +358,20 @@ def components(nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame
     total = bands.count()
     open_ = scratch.keep(differing(bands.withColumn("label", F.col("node")), total), "buckets")
     links, labels = None, None
-    for head in ("first", "last", None):
-        if head:
-            pairs = open_.where(f"node <> {head}").select(F.col(head).alias("a"), F.col("node").alias("b")).distinct()
+    for step in STEPS:
+        if step in ("first", "last"):
+            pairs = open_.where(f"node <> {step}").select(F.col(step).alias("a"), F.col("node").alias("b")).distinct()
             left = judged(pairs, nodes, scratch).groupBy("b").agg(F.max_by("a", "matches").alias("a"))
+            found = confirmed(left, sets, scratch)
         else:
-            left = all_others(open_, nodes, scratch)
-        found = confirmed(left, sets, scratch)
+            near = others(open_, nodes, scratch)
+            if step == "best":
+                found = confirmed(near.groupBy("a").agg(F.max_by("b", "matches").alias("b")), sets, scratch)
+            else:
+                found = opened(near, nodes, labels, sets, scratch)
         links = found if links is None else links.unionByName(found)
         labels = connected(links)
-        if head:
+        if step != "all":
             placed = open_.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             open_ = scratch.keep(differing(scratch.keep(placed, "placed"), total), "buckets")
     return labels

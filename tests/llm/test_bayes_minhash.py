@@ -5,6 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from phenoframe.llm import bayes_minhash, oracle, registry
 from phenoframe.llm.stages import Scratch
@@ -97,22 +98,31 @@ def test_opened_buckets_find_all_links_without_stars(spark, monkeypatch):
     """The exact way for what the rounds leave: every pair of a bucket that links and differs in component."""
     monkeypatch.setattr(bayes_minhash, "CHUNK", 10)
     monkeypatch.setattr(bayes_minhash, "QUERIES", 4)
+    monkeypatch.setattr(bayes_minhash, "OPEN_CHUNK", 6)
+    monkeypatch.setattr(bayes_minhash, "OPEN_QUERIES", 5)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     texts = [" ".join(edited(rng, base, 0.03)) for _ in range(60)]
     value, edges = bayes_minhash.shingles(texts)
     signed = bayes_minhash.signatures(value, edges[:-1])
     nodes = spark.createDataFrame([(i, int(n), row.tobytes()) for i, (n, row) in enumerate(zip(np.diff(edges), signed))], "node long, n long, signature binary")
-    rows = spark.createDataFrame([(key, i, i if i > 20 else 0) for key in (1, 2) for i in range(60)], "key long, node long, label long")
+    keys = nodes.mapInArrow(bayes_minhash.band_keys, "key long, node long").withColumn("label", F.when(F.col("node") > 20, F.col("node")).otherwise(0))
+    rows = bayes_minhash.differing(keys, 60 * bayes_minhash.BANDS).select("key", "node", "label")
+    sets = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(1, 21)] + [(0, 0)], "node long, label long")
     scratch = Scratch(nodes)
-    got = {(r.a, r.b) for r in bayes_minhash.all_others(rows, nodes, scratch).collect()}
+    near = bayes_minhash.others(rows, nodes, scratch)
+    found = {tuple(sorted((r.a, r.b))) for r in bayes_minhash.opened(near, nodes, labels, sets, scratch).collect()}
     scratch.remove()
+    label = [0 if i <= 20 else i for i in range(60)]
+    got = {tuple(sorted((label[a], label[b]))) for a, b in found}
+    want = set()
     for a in range(60):
         for b in range(a + 1, 60):
             one, other = set(value[edges[a]:edges[a + 1]]), set(value[edges[b]:edges[b + 1]])
-            if 100 * len(one & other) >= 80 * len(one | other) and b > 20:
-                assert (a, b) in got
-    assert all(b > 20 for _, b in got)
+            if label[a] != label[b] and 100 * len(one & other) >= 80 * len(one | other):
+                want.add((label[a], label[b]))
+    assert got == want and len(want) > 100
 
 
 def test_posterior_bound():
