@@ -48,6 +48,12 @@ def open_closed(v: Column, lo, hi) -> Column:
     return (v > lo) & (v <= hi)
 
 
+def by_code(code: Column, values: dict[str, tuple]) -> Column:
+    """Array of a code's numbers, from a constant map; NULL for other codes."""
+    entries = [x for key, numbers in values.items() for x in (F.lit(key), F.array(*[F.lit(float(n)) for n in numbers]))]
+    return F.try_element_at(F.create_map(*entries), code)
+
+
 def null_or_zero(v: Column) -> Column:
     return v.isNull() | (v == 0)
 
@@ -194,6 +200,10 @@ SYS_MIN, SYS_MAX = 70, 190
 DIA_MIN, DIA_MAX = 40, 100
 
 
+# Break points of ``bp_value_rules``, systolic and diastolic.
+BP_BREAKS = ([70, 90, 120, 140, 190], [40, 60, 80, 90, 100])
+
+
 def bp_label(level: str, part: str = "") -> str:
     """'High Blood Pressure', 'High Systolic Blood Pressure', ..."""
     return f"{level} {part + ' ' if part else ''}Blood Pressure"
@@ -254,6 +264,8 @@ def bp_combined_rules(breakdown="INITIAL_BREAKDOWN", kind="TYPE_OF_JOURNAL",
 
 GLUCOSE_INDETERMINABLE = "INDETERMINABLE"
 GLUCOSE_CATEGORIES = ["LOW", "NORMAL", "PRE-DIABETES", "DIABETES", "MORE-TESTING-NEEDED"]
+# Break points of ``glucose_fasting_rules``, fasting and two-hour value.
+GLUCOSE_BREAKS = ([3.9, 4, 5.4, 5.5, 6.9, 7, 150], [4, 7.8, 11.1, 150])
 SPECIMEN_TYPES = ["BLOOD", "PLASMA", "SERUM"]
 
 
@@ -347,8 +359,9 @@ def smoking_rules(category="CATEGORY", code="CODE", value="VALUE1_CONDITION") ->
         ((cat == "Microtest_Error") & null_or_zero(v), "Non-Smoker"),
         ((cat == "Value_Finding_Smoker") & empty, "Smoker"),
     ]
-    vfs = cat == "Value_Finding_Smoker"
-    rules += [(vfs & (c == code_) & closed(v, lo, hi), "Smoker") for code_, lo, hi in SMOKER_VALUE_RANGES]
+    # The ranges of codes are looked up rather than compared one by one, which keeps the generated method small.
+    vfs, own = cat == "Value_Finding_Smoker", by_code(c, {code_: (lo, hi) for code_, lo, hi in SMOKER_VALUE_RANGES})
+    rules.append((vfs & closed(v, own[0], own[1]), "Smoker"))
     rules.append(((cat == "Value_Finding_Non_Smoker") & empty, "Non-Smoker"))
     obs = cat == "Observable_Entities"
     rules += [
@@ -356,9 +369,8 @@ def smoking_rules(category="CATEGORY", code="CODE", value="VALUE1_CONDITION") ->
         (obs & c.isin(OBSERVABLE_NON_SMOKER_IF_NON_NEGATIVE) & (v >= 0), "Non-Smoker"),
         (obs & c.isin(OBSERVABLE_NON_SMOKER_IF_ZERO) & (v == 0), "Non-Smoker"),
     ]
-    for code_, lo, hi, lo_in in OBSERVABLE_SMOKER_RANGES:
-        rng = closed(v, lo, hi) if lo_in else open_closed(v, lo, hi)
-        rules.append((obs & (c == code_) & rng, "Smoker"))
+    seen = by_code(c, {code_: (lo, hi, float(lo_in)) for code_, lo, hi, lo_in in OBSERVABLE_SMOKER_RANGES})
+    rules.append((obs & (open_closed(v, seen[0], seen[1]) | ((seen[2] == 1) & (v == seen[0]))), "Smoker"))
     rules.append((obs & c.isin(OBSERVABLE_SMOKER_IF_EMPTY) & empty, "Smoker"))
     return rules
 

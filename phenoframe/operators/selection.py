@@ -2,11 +2,10 @@
 modal category, de-duplication, living patients, unknown codes.
 
 Every operator here is a partial (map-side) aggregation to at most one row
-per patient, followed by a semi join back to the rows.  No patient's rows
-are ever gathered into one task or one group: a patient holding a third of
-the data is combined map-side, and the semi join that brings the rows back
-is an ordinary shuffle join, which adaptive execution splits when a key is
-skewed.
+per patient, followed by a join that brings the rows back.  No patient's
+rows are ever gathered into one task or one group: a patient holding a third
+of the data is combined map-side, and with ``salted`` that patient's rows are
+dealt over salts (``operators.heavy``), as the pipelines do with their stages.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.codelists import UNKNOWN_ETHNIC_VALUES
+from .day_classes import agreeing_days
+from .heavy import bring_back
 
 KEY = "PATIENT_ID"
 
@@ -28,22 +29,27 @@ def _not_null(*cols: str) -> Column:
     return cond
 
 
-def latest_per_patient(df: DataFrame, key: str = KEY, date: str = "DATE") -> DataFrame:
+def _back(df: DataFrame, found: DataFrame, on: list[str], salted: bool) -> DataFrame:
+    """Rows of ``df`` whose ``on`` columns are in ``found``.  ``salted`` reads ``df`` once more to find heavy patients
+    and deals their rows over salts: for stored tables.  Otherwise a semi join, which adaptive execution may split."""
+    return bring_back(df, found, on) if salted else df.join(found.select(*on), on, "left_semi")
+
+
+def latest_per_patient(df: DataFrame, key: str = KEY, date: str = "DATE", salted: bool = False) -> DataFrame:
     """All rows on each patient's latest date.
 
     Rows with a NULL patient or date never qualify (they cannot equal a
     maximum), so they are dropped first; ties on the latest date are all kept.
+    ``salted``: see ``_back``.
     """
     clean = df.filter(_not_null(key, date))
-    latest = clean.groupBy(key).agg(F.max(date).alias(date))
-    return clean.join(latest, [key, date], "left_semi")
+    return _back(clean, clean.groupBy(key).agg(F.max(date).alias(date)), [key, date], salted)
 
 
-def best_priority(df: DataFrame, key: str = KEY, priority: str = "PRIORITY") -> DataFrame:
-    """All rows of each patient's best (lowest) priority number."""
+def best_priority(df: DataFrame, key: str = KEY, priority: str = "PRIORITY", salted: bool = False) -> DataFrame:
+    """All rows of each patient's best (lowest) priority number.  ``salted``: see ``_back``."""
     clean = df.filter(_not_null(key, priority))
-    best = clean.groupBy(key).agg(F.min(priority).alias(priority))
-    return clean.join(best, [key, priority], "left_semi")
+    return _back(clean, clean.groupBy(key).agg(F.min(priority).alias(priority)), [key, priority], salted)
 
 
 def category_index(cat: str, categories: list[str]) -> Column:
@@ -56,7 +62,7 @@ def category_index(cat: str, categories: list[str]) -> Column:
 
 
 def drop_conflicts(df: DataFrame, key: str = KEY, cat: str = "CATEGORY",
-                   categories: list[str] | None = None) -> DataFrame:
+                   categories: list[str] | None = None, salted: bool = False) -> DataFrame:
     """Keep patients whose rows show exactly one distinct (non-NULL)
     category; their rows are returned unchanged.
 
@@ -67,14 +73,14 @@ def drop_conflicts(df: DataFrame, key: str = KEY, cat: str = "CATEGORY",
     hashes instead of sorting.
     """
     v = category_index(cat, categories) if categories else F.col(cat)
-    stats = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    single = stats.filter(F.col("_lo") == F.col("_hi")).select(key)
-    return df.join(single, key, "left_semi")
+    known = df.filter(F.col(key).isNotNull())
+    stats = known.groupBy(key).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    return _back(known, stats.filter(F.col("_lo") == F.col("_hi")), [key], salted)
 
 
 def latest_consistent(df: DataFrame, key: str = KEY, date: str = "DATE", cat: str = "CATEGORY",
-                      categories: list[str] | None = None) -> DataFrame:
-    """``drop_conflicts(latest_per_patient(df))`` in one aggregation.
+                      categories: list[str] | None = None, salted: bool = False) -> DataFrame:
+    """``drop_conflicts(latest_per_patient(df))`` in one aggregation.  ``salted``: see ``_back``.
 
     Per patient the aggregation finds the latest date and the greatest and
     least non-NULL category on that date; they agree exactly when the latest
@@ -85,31 +91,24 @@ def latest_consistent(df: DataFrame, key: str = KEY, date: str = "DATE", cat: st
     have) date and label position are packed into one long --
     ``day * W + position`` for the greatest and ``-day * W + position`` for
     the least, ``W`` = labels + 1 -- so ``max``/``min`` over longs order by
-    date first and label second, and the aggregation is a hash aggregation.
+    date first and label second, and the aggregation is a hash aggregation
+    (``agreeing_days``).
     Otherwise ``max``/``min`` over structs give the same answer for any
     category type.
     """
     clean = df.filter(_not_null(key, date))
-    day = F.unix_date(F.col(date)).cast("long")
     if categories:
-        w = len(categories) + 1
-        pos = category_index(cat, categories)
-        stats = clean.groupBy(key).agg(
-            F.max(day).alias("_day"),
-            F.max(day * w + F.coalesce(pos, F.lit(0))).alias("_hi"),
-            F.min(-day * w + F.coalesce(pos, F.lit(w))).alias("_lo"))
-        hi = F.col("_hi") - F.col("_day") * w
-        lo = F.col("_lo") + F.col("_day") * w
-        good = stats.filter((hi == lo) & (hi >= 1) & (hi < w)).select(
-            key, F.date_from_unix_date("_day").alias(date))
+        at = category_index(cat, categories)
+        # A row without a category counts for the latest date only.
+        pos = clean.select(key, date, F.coalesce(at, F.lit(len(categories) + 1)).alias("_lo"), F.coalesce(at, F.lit(0)).alias("_hi"))
+        good = agreeing_days(pos, len(categories) + 1, key, date)
     else:
-        d, c = F.col(date), F.col(cat)
+        day, d, c = F.unix_date(F.col(date)).cast("long"), F.col(date), F.col(cat)
         stats = clean.groupBy(key).agg(
             F.max(F.struct(d.alias("d"), c.alias("c"))).alias("_hi"),
-            F.min(F.struct((-day).alias("nd"), c.isNull().alias("n"), c.alias("c"))).alias("_lo"),
-        )
+            F.min(F.struct((-day).alias("nd"), c.isNull().alias("n"), c.alias("c"))).alias("_lo"))
         good = stats.filter(F.col("_hi.c") == F.col("_lo.c")).select(key, F.col("_hi.d").alias(date))
-    return clean.join(good, [key, date], "left_semi")
+    return _back(clean, good, [key, date], salted)
 
 
 def dedupe_observations(df: DataFrame, key: str = KEY, date: str = "DATE", cat: str = "ETHNICITY",

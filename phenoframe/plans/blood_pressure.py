@@ -12,14 +12,17 @@ numeric; all unions are by column name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ages import age_by_year
-from ..functions.banding import (BP_CATEGORIES, BP_INDETERMINABLE, band, bp_combined_rules, bp_text_rules,
-                                 bp_value_rules)
+from ..functions.banding import (BP_BREAKS, BP_CATEGORIES, BP_INDETERMINABLE, BP_LEVELS, band, bp_combined_rules, bp_label,
+                                 bp_text_rules, bp_value_rules)
+from ..operators.day_classes import (Table, agreeing_days, band_index, bit, extremes, inner_values, known_keys, pair_table,
+                                     piece, shifted)
+from ..operators.heavy import bring_back
 from ..operators.pairing import PAIR_KEYS, pair_same_day
-from ..operators.selection import KEY, latest_consistent
+from ..operators.selection import KEY
 from ..operators.staging import materialise
 from ..operators.tagging import tag_codes
 from ..operators.union import union_sources
@@ -91,19 +94,58 @@ def readings(tagged: DataFrame, distinct_partners: bool = False) -> tuple[DataFr
     return numeric, text
 
 
+def _tables(spark: SparkSession) -> Table:
+    """Categories of pairs: of values by their pieces, of findings by their levels, in one table."""
+    values = pair_table(spark, bp_value_rules(), BP_CATEGORIES, *map(inner_values, BP_BREAKS), ("VALUE1_CONDITION", "VALUE2_CONDITION"), "DOUBLE")
+    parts = [[bp_label(level, part) for level in BP_LEVELS] for part in ("Systolic", "Diastolic")]
+    findings = bp_combined_rules(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double"))
+    texts = pair_table(spark, findings, BP_CATEGORIES, *parts, ("SBP_CATS", "DBP_CATS"), "STRING")
+    return values | shifted(texts, FINDING_BITS, FINDING_BITS)
+
+
+#: First bit of the findings' levels in a side's mask, above the pieces of values.
+FINDING_BITS = 16
+
+
+def day_statuses(tagged: DataFrame) -> DataFrame:
+    """Least and greatest status position of each patient-day, by one aggregation on the pairing keys.
+
+    A side's readings of a day become a mask: the pieces of its values and
+    the levels of its findings; values pair with values and findings with findings."""
+    V1, V2, PART = _cols()
+
+    def mask(side: str, part: str, breaks: list) -> Column:
+        level = band_index(bp_text_rules(part), [bp_label(lvl, part) for lvl in BP_LEVELS]) + F.lit(FINDING_BITS - 1)
+        own = F.when(V1.isNotNull(), piece(V1, breaks)).otherwise(level)
+        return F.bit_or(F.when((PART == side) & known_keys(PAIR_KEYS), bit(own)))
+
+    both = V1.isNotNull() & V2.isNotNull()
+    none = F.lit(None).cast("string")
+    whole = F.when(PART == "ALL", F.when(both, band_index(bp_value_rules(), BP_CATEGORIES))
+                   .when(V1.isNull() & V2.isNull(), band_index(bp_combined_rules(sbp=none, dbp=none), BP_CATEGORIES)))
+    days = tagged.withColumn("_whole", whole).groupBy(*PAIR_KEYS).agg(
+        mask("SBP", "Systolic", BP_BREAKS[0]).alias("_s"), mask("DBP", "Diastolic", BP_BREAKS[1]).alias("_d"),
+        F.min("_whole").alias("_least"), F.max("_whole").alias("_most"))
+    low, high = extremes(_tables(tagged.sparkSession), F.col("_s"), F.col("_d"))
+    return days.select(KEY, "DATE", F.least("_least", low).alias("_lo"), F.greatest("_most", high).alias("_hi"))
+
+
 def blood_pressure(journal: DataFrame | None, codes: DataFrame | None, stage: bool = True,
                    tagged: DataFrame | None = None) -> DataFrame:
     """Distinct rows on each patient's latest date with a known status, for
     patients whose rows on that date agree, with the age by calendar year.
-    ``stage`` checkpoints the tagged rows (read by four branches) and the
-    status rows (read twice)."""
+
+    Statuses are found first on narrow rows (``day_statuses``); the wide rows
+    of the surviving patient-days, one a patient, are then brought back and
+    paired.  ``stage`` stores the tagged rows (read for either step) and
+    those of the surviving days (read by four branches)."""
     require(journal if tagged is None else tagged, "blood_pressure")
     # ``tagged``: rows already tagged with this list (see plans.combined).
     tagged = materialise(tag_codes(journal, codes), stage) if tagged is None else tagged
-    num, txt = readings(tagged, distinct_partners=True)
+    days = agreeing_days(day_statuses(tagged), len(BP_CATEGORIES))
+    latest = materialise(bring_back(tagged, days, [KEY, "DATE"]), stage)
+    num, txt = readings(latest, distinct_partners=True)
     cols = list(tagged.columns) + ["SBP_CATS", "DBP_CATS", CAT]
-    status = materialise(union_sources([num.filter(F.col(CAT) != BP_INDETERMINABLE),
-                                        txt.filter(F.col(CAT) != BP_INDETERMINABLE)],
-                                       distinct=False, columns=cols), stage)
-    latest = latest_consistent(status, KEY, "DATE", CAT, BP_CATEGORIES).distinct()
-    return latest.withColumn("AGE_AT_TIME_OF_JOURNAL", age_by_year("DATE", "YEAR_OF_BIRTH"))
+    status = union_sources([num.filter(F.col(CAT) != BP_INDETERMINABLE),
+                            txt.filter(F.col(CAT) != BP_INDETERMINABLE)], columns=cols)
+    return status.withColumn("AGE_AT_TIME_OF_JOURNAL", age_by_year("DATE", "YEAR_OF_BIRTH"))

@@ -13,6 +13,8 @@ added (only centile results and centile codes are), as published.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,11 @@ from ..functions.banding import (BMI_CATEGORIES, INDETERMINABLE_BMI, KNOWN_CHILD
                                  Z_ERROR_LABEL, adult_bmi_rules, band, child_bmi_rules, child_code_rules,
                                  computed_bmi_rules, zscore_rules)
 from ..functions.measures import bmi_from_hw, height_to_cm, lms_interpolate, lms_zscore
+from ..operators.day_classes import agreeing_days
+from ..operators.heavy import bring_back
 from ..operators.lms import lms_lookup
-from ..operators.pairing import pair_same_day
-from ..operators.selection import KEY, latest_consistent
+from ..operators.pairing import day_pairs, pair_same_day
+from ..operators.selection import KEY, category_index
 from ..operators.staging import materialise
 from ..operators.tagging import tag_codes
 from ..operators.union import union_sources
@@ -60,7 +64,11 @@ def height_weight_pairs(height: DataFrame, weight: DataFrame, distinct_partners:
     child branches split one join by age."""
     h = height.filter(F.col("VALUE1_CONDITION").isNotNull())
     w = weight.filter(F.col("VALUE1_CONDITION").isNotNull())
-    pairs = pair_same_day(h, w, dict(_WEIGHT_TAKE), distinct_partners=distinct_partners)
+    return measured(pair_same_day(h, w, dict(_WEIGHT_TAKE), distinct_partners=distinct_partners))
+
+
+def measured(pairs: DataFrame) -> DataFrame:
+    """Age, height in cm and BMI of height and weight pairs."""
     pairs = pairs.withColumn(AGE, _age()).withColumn("H_VALUE", height_to_cm("VALUE1_CONDITION"))
     return pairs.withColumn("BMI", bmi_from_hw("W_VALUE", "H_VALUE"))
 
@@ -139,24 +147,51 @@ def tag_bmi_lists(journal: DataFrame, bmi_codes: DataFrame, height_codes: DataFr
     return tag_codes(journal, lists, tags=["BMI_CAT", "LIST"])
 
 
+def day_statuses(tagged: DataFrame, lms: DataFrame) -> DataFrame:
+    """Category positions (``_lo`` = ``_hi``) of the BMI rows and of the distinct height and weight pairs of each
+    patient-day, from narrow rows."""
+    lst, V1 = F.col("LIST"), F.col("VALUE1_CONDITION")
+    value = V1.isNotNull()
+    pairs = measured(day_pairs(tagged, (lst == "height") & value, (lst == "weight") & value,
+                               {"VALUE1_CONDITION": V1, "DATE_OF_BIRTH": F.col("DATE_OF_BIRTH"), "SEX": F.col("SEX")}, {"W_VALUE": V1}))
+    bmi_j = tagged.filter(lst == "bmi")
+    known = F.col("CENTILE_CLINICAL_BMI_CAT").isin(KNOWN_CHILD_CATEGORIES)
+
+    def status(df: DataFrame, cat: str) -> DataFrame:
+        at = category_index(cat, BMI_CATEGORIES)
+        return df.select(KEY, "DATE", at.alias("_lo"), at.alias("_hi"))
+
+    return reduce(DataFrame.unionByName, [
+        status(adult_height_weight(None, None, pairs=pairs), CAT),
+        status(centile_score(split_height_weight(pairs, True), lms, "BMI").filter(known), "CENTILE_CLINICAL_BMI_CAT"),
+        status(adult_coded(bmi_j), CAT),
+        status(child_bmi_centiles(bmi_j, lms).filter(known), "CENTILE_CLINICAL_BMI_CAT"),
+        status(child_centile_codes(bmi_j).filter(F.col(CAT).isin(KNOWN_CHILD_CATEGORIES)), CAT),
+    ])
+
+
 def bmi(journal: DataFrame | None, bmi_codes: DataFrame | None, height_codes: DataFrame | None,
         weight_codes: DataFrame | None, lms: DataFrame, stage: bool = True,
         tagged: DataFrame | None = None) -> DataFrame:
     """Distinct 14-column rows on each patient's latest date, for patients
     whose rows on that date agree on ``BMI_CATEGORY``.
 
-    The journal is scanned once for all three code lists; ``stage``
-    checkpoints those rows (read by seven branches) and the combined rows
-    (read twice).  ``tagged``: rows already tagged with ``BMI_CAT`` and
-    ``LIST`` (see ``plans.combined``).
+    The journal is scanned once for all three code lists.  Categories are
+    found first on narrow rows (``day_statuses``); the wide rows of the
+    surviving patient-days, one a patient, are then brought back and paired.
+    ``stage`` stores the tagged rows (read for either step) and those of the
+    surviving days (read by seven branches).  ``tagged``: rows already tagged
+    with ``BMI_CAT`` and ``LIST`` (see ``plans.combined``).
     """
     require(journal if tagged is None else tagged, "bmi")
     if tagged is None:
         tagged = materialise(tag_bmi_lists(journal, bmi_codes, height_codes, weight_codes), stage)
+    days = agreeing_days(day_statuses(tagged, lms), len(BMI_CATEGORIES))
+    latest = materialise(bring_back(tagged, days, [KEY, "DATE"]), stage)
     lst = F.col("LIST")
-    bmi_j = tagged.filter(lst == "bmi").drop("LIST")
-    height = tagged.filter(lst == "height").drop("LIST", "BMI_CAT")
-    weight = tagged.filter(lst == "weight").drop("LIST", "BMI_CAT")
+    bmi_j = latest.filter(lst == "bmi").drop("LIST")
+    height = latest.filter(lst == "height").drop("LIST", "BMI_CAT")
+    weight = latest.filter(lst == "weight").drop("LIST", "BMI_CAT")
     known = F.col("CENTILE_CLINICAL_BMI_CAT").isin(KNOWN_CHILD_CATEGORIES)
     pairs = height_weight_pairs(height, weight, distinct_partners=True)
 
@@ -175,5 +210,4 @@ def bmi(journal: DataFrame | None, bmi_codes: DataFrame | None, height_codes: Da
         shape(child_centile_codes(bmi_j).filter(F.col(CAT).isin(KNOWN_CHILD_CATEGORIES)),
               "VALUE1_CONDITION", CAT, "BMI - CENTILE"),
     ]
-    combined = materialise(union_sources(parts, distinct=False), stage)
-    return latest_consistent(combined, KEY, "DATE", "BMI_CATEGORY", BMI_CATEGORIES).distinct()
+    return union_sources(parts)

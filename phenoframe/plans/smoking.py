@@ -44,5 +44,5 @@ def smoking(journal: DataFrame | None, codes: DataFrame | None, dedupe_codes: bo
     # the projection with the rule chain inlined, and the dictionary rules
     # would inline the smoking chain five times (once per reference).
     known = materialise(cats.filter(F.col("SMOKING_CATS") != SMOKING_INDETERMINABLE), stage)
-    latest = latest_consistent(known, KEY, "DATE", "DATA_DICTIONARY_CATS", SMOKING_CATEGORIES)
+    latest = latest_consistent(known, KEY, "DATE", "DATA_DICTIONARY_CATS", SMOKING_CATEGORIES, salted=True)
     return latest.withColumn("AGE_AT_TIME_OF_JOURNAL", age_years("DATE", "DATE_OF_BIRTH", whole=True))
