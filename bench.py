@@ -52,6 +52,7 @@ from phenoframe.plans.glucose import fasting_status, non_fasting_status  # noqa:
 from phenoframe.session import get_session  # noqa: E402
 from phenoframe.sources import fixtures  # noqa: E402
 from phenoframe.sources.codelists import codelist_df  # noqa: E402
+from phenoframe.sources.shards import YearPartitions  # noqa: E402
 
 
 def prepare(spark, sf: str, scratch: str) -> dict:
@@ -72,9 +73,7 @@ def pipelines(spark, paths: dict) -> dict:
         return spark.read.parquet(paths["journal"])
 
     def hospital():
-        names = {"admitted": "admitted", "emergency": "emergency", "outpatient": "outpatient"}
-        return {k: (spark.read.parquet(paths["hospital"][v][0]), spark.read.parquet(paths["hospital"][v][1]))
-                for k, v in names.items()}
+        return {k: tuple(YearPartitions(spark, folder=p) for p in halves) for k, halves in paths["hospital"].items()}
 
     def c(name):
         return codelist_df(spark, name)

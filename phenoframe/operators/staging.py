@@ -16,21 +16,63 @@ aggregation reads three of them).  A session on a cluster must name that
 folder; without one a pipeline would scan its journal once per branch, so
 ``materialise`` raises.
 
-Stages stay until they are removed: run pipelines inside ``staged_run`` and
-write their results there; the stages written meanwhile go at its end.
+Every stage is in the ledger of a run.  Inside ``staged_run`` that is the
+block's own ledger, whatever other threads or sessions do meanwhile: write
+the results there, and the block's stages go at its end.  Outside any run
+the stages back DataFrames that the caller may still read; they go when the
+application ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Stages written in the present ``staged_run``.
-_written: list[str] = []
+
+class Ledger:
+    """Stages, and what else a run leaves behind, with how to remove it."""
+
+    def __init__(self) -> None:
+        self._removals: list[Callable[[], None]] = []
+
+    def add(self, removal: Callable[[], None]) -> None:
+        self._removals.append(removal)
+
+    def remove(self) -> None:
+        while self._removals:
+            self._removals.pop()()
+
+
+_run: ContextVar[Ledger | None] = ContextVar("run", default=None)
+_application = Ledger()
+
+
+@atexit.register
+def _end() -> None:
+    with suppress(Exception):  # the session may be gone
+        _application.remove()
+
+
+def on_end(removal: Callable[[], None]) -> None:
+    """Have something removed at the end of the present run, or of the application."""
+    (_run.get() or _application).add(removal)
+
+
+def new_folder(df: DataFrame, name: str) -> str:
+    """A fresh folder under the checkpoint folder, in the ledger (its files may go after the session has stopped)."""
+    folder, spark = checkpoint_folder(df), df.sparkSession
+    if not folder:
+        raise ValueError("stages need spark.checkpoint.dir, a folder that all executors share (or stage=False)")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/phenoframe-{name}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    on_end(lambda: files.delete(path, True))
+    return path.toString()
 
 
 def checkpoint_folder(df: DataFrame) -> str | None:
@@ -47,16 +89,15 @@ def checkpoint_folder(df: DataFrame) -> str | None:
 
 
 @contextmanager
-def staged_run(spark: SparkSession) -> Iterator[None]:
-    """Remove the stages written inside the block when it ends."""
-    before = len(_written)
+def staged_run(spark: SparkSession) -> Iterator[Ledger]:
+    """A run with a ledger of its own: what is staged inside the block goes when it ends."""
+    ledger = Ledger()
+    token = _run.set(ledger)
     try:
-        yield
+        yield ledger
     finally:
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        while len(_written) > before:
-            path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-            path.getFileSystem(conf).delete(path, True)
+        _run.reset(token)
+        ledger.remove()
 
 
 def materialise(df: DataFrame, enabled: bool = True, name: str = "stage",
@@ -67,11 +108,7 @@ def materialise(df: DataFrame, enabled: bool = True, name: str = "stage",
     filter on them read only their part."""
     if not enabled:
         return df
-    folder = checkpoint_folder(df)
-    if not folder:
-        raise ValueError("stages need spark.checkpoint.dir, a folder that all executors share (or stage=False)")
-    path = f"{folder.rstrip('/')}/phenoframe-{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_folder(df, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     out = df.sparkSession.read.parquet(path)

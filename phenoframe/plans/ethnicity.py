@@ -9,11 +9,10 @@ tie the best-priority source; if that still leaves more than one category
 the patient is dropped; finally only living patients are kept.  Because the
 latest date over a union equals the latest over each source's own latest
 rows, the per-source "latest" steps need no separate pass: one aggregation
-per patient over the union computes
-``max(struct(date, -priority, category, source))`` and
-``min(struct(-date, priority, category))``, and the patient is kept when the
-two agree on the category.  That is a single partial aggregation (map-side
-combine), whatever the number of records a patient has.
+per patient over the union finds the greatest and least of records packed
+into longs, and the patient is kept when the two agree on the category.
+That is a single hash aggregation, combined map-side, whatever the number
+of records a patient has.
 
 Modal: each source votes once for each category it holds for the patient;
 the category with most votes wins and ties drop the patient.
@@ -28,10 +27,12 @@ from pyspark.sql import functions as F
 
 from ..operators.hospital import join_halves, shard_years
 from ..operators.joins import lookup_join
+from ..operators.packed import both_votes, code_of, day_of, gathered, pack_record, priority_of, unique_winner, unpack_code, vote
 from ..operators.selection import KEY, drop_unknown_codes, fallback_source, keep_living, no_death
 from ..operators.tagging import tag_codes
 from ..schemas import require
 from ..sources.codelists import UNKNOWN_ETHNIC_VALUES
+from ..sources.shards import Shards
 
 # Source labels and priorities (lower wins).  Labels are parameters of the
 # pipelines; these are the defaults.
@@ -57,18 +58,24 @@ def patient_ethnicity(journal: DataFrame) -> DataFrame:
     return drop_unknown_codes(journal, "ETHNIC")
 
 
-def hospital_ethnicity(ident: DataFrame, clinical: DataFrame, shards: int = 6, names: dict | None = None) -> DataFrame:
+def hospital_ethnicity(ident: DataFrame | Shards, clinical: DataFrame | Shards, shards: int = 6, names: dict | None = None) -> DataFrame:
     """(PATIENT_ID, EVENT_DATE, ETHNIC_CODE) of the newest ``shards`` years of
     one hospital dataset, excluded practices and unknown categories
     removed.  The years are taken from the identifying half and become a
-    filter on both halves, so both are pruned.  ``names`` gives the dataset's
-    own column names as arguments of ``join_halves`` (key, patient, date,
-    ethnic, practice, year)."""
+    filter on both halves, so both are pruned; of ``Shards`` they are read
+    from names.  ``names`` gives a DataFrame's own column names as arguments
+    of ``join_halves`` (key, patient, date, ethnic, practice, year); ``Shards`` have theirs."""
     names = {"key": "EPISODE_KEY", "patient": "PATIENT_ID", "date": "EVENT_DATE", "ethnic": "ETHNIC_CODE",
              "practice": "PRACTICE_CODE", "year": "YEAR"} | (names or {})
-    chosen = F.col(names["year"]).isin(shard_years(ident, names["year"], shards))
-    known = drop_unknown_codes(clinical.filter(chosen), names["ethnic"])
-    return join_halves(ident.filter(chosen), known, **names)
+    years = shard_years(ident, names["year"], shards)
+
+    def chosen(half: DataFrame | Shards) -> DataFrame:
+        # A half of tables may lack a year that the other one has.
+        if isinstance(half, Shards):
+            return half.read([y for y in half.years() if y in years])
+        return half.filter(F.col(names["year"]).isin(years))
+
+    return join_halves(chosen(ident), drop_unknown_codes(chosen(clinical), names["ethnic"]), **names)
 
 
 def _records(df: DataFrame, date: str, cat: str, source: str, labels: dict) -> DataFrame:
@@ -112,99 +119,59 @@ def recent_category(records: DataFrame) -> DataFrame:
 # One-pass forms used by the pipelines
 # ---------------------------------------------------------------------------
 
-SOURCE_BIT = {JOURNAL: 1, PATIENT: 2, ADMITTED: 4, EMERGENCY: 8, OUTPATIENT: 16}
+#: Bit of each source in a category's votes.
+SOURCE_BIT = {source: PRIORITY[source] - 1 for source in PRIORITY}
+# FIXED VALUES: known ethnic category codes.
+CATEGORIES = list("ABCDEFGHJKLMNPRSTW")
 
 
 def _known(c):
-    return c.isNotNull() & ~c.isin(UNKNOWN_ETHNIC_VALUES)
-
-
-def _rec(date, cat, source: str, labels: dict):
-    return F.struct(date.alias("DATE"), cat.alias("ETHNICITY"), F.lit(labels[source]).alias("SOURCE"),
-                    F.lit(PRIORITY[source]).alias("PRIORITY"), F.lit(SOURCE_BIT[source]).alias("BIT"))
+    return F.when(c.isNotNull() & ~c.isin(UNKNOWN_ETHNIC_VALUES), c)
 
 
-def primary_care_rows(journal: DataFrame, codes: DataFrame, labels: dict, dated: bool = True) -> DataFrame:
+def primary_care_rows(journal: DataFrame, codes: DataFrame) -> DataFrame:
     """One pass over the journal: per row the patient, whether the row has no
-    death date (``_alive``) and an array of its 0-2 ethnicity records (from
-    an ethnicity code and from the ethnic field; NULL when it has none).
-
-    The array is chosen by a plain CASE rather than built and filtered with
-    a higher-order function: CASE is code-generated, lambdas are
-    interpreted per element.  With ``dated=False`` (the modal method, which
-    ignores dates) rows are first reduced by a hash aggregation to distinct
-    (patient, code category, field category) -- combined map-side -- so the
-    records are built for a handful of rows per patient, not for every
-    journal row."""
+    death date (``_alive``), and the known categories of its ethnicity code
+    (``_code``) and of its ethnic field (``_field``)."""
     lookup = codes.select(F.col("code").cast("string").alias("CODE"), "PrimaryCode")
     j = lookup_join(journal, lookup, "CODE", "left", checked=codes).filter(F.col(KEY).isNotNull())
-    pc_raw, ef_raw = F.col("PrimaryCode"), F.col("ETHNIC")
-    alive = no_death(journal)
-    if dated:
-        rows = j.select(KEY, alive.alias("_alive"), F.when(_known(pc_raw), pc_raw).alias("_pc"),
-                        F.when(_known(ef_raw), ef_raw).alias("_ef"), F.col("RECORD_DATE").alias("_dc"),
-                        F.col("REPORTING_PERIOD_END_DATE").alias("_df"))
-    else:
-        none = F.lit(None).cast("date")
-        rows = (j.groupBy(KEY, F.when(_known(pc_raw), pc_raw).alias("_pc"), F.when(_known(ef_raw), ef_raw).alias("_ef"))
-                .agg(F.max(alive).alias("_alive"))
-                .withColumn("_dc", none).withColumn("_df", none))
-    pc, ef = F.col("_pc"), F.col("_ef")
-    rec_code = _rec(F.col("_dc"), pc, JOURNAL, labels)
-    rec_field = _rec(F.col("_df"), ef, PATIENT, labels)
-    recs = (F.when(pc.isNotNull() & ef.isNotNull(), F.array(rec_code, rec_field))
-            .when(pc.isNotNull(), F.array(rec_code))
-            .when(ef.isNotNull(), F.array(rec_field)))
-    return rows.select(KEY, "_alive", recs.alias("_recs"))
-
-
-def hospital_rows(hospital: dict | None, labels: dict, shards: int) -> list[DataFrame]:
-    out = []
-    for source in (ADMITTED, EMERGENCY, OUTPATIENT):
-        if hospital and source in hospital:
-            h = hospital_ethnicity(*hospital[source][:2], shards, *hospital[source][2:])
-            out.append(h.select(KEY, F.lit(None).cast("boolean").alias("_alive"), F.array(
-                _rec(F.col("EVENT_DATE"), F.col("ETHNIC_CODE"), source, labels)).alias("_recs")))
-    return out
-
-
-def _all_rows(journal, codes, hospital, labels, shards, dated: bool = True) -> DataFrame:
-    parts = [primary_care_rows(journal, codes, labels, dated)] + hospital_rows(hospital, labels, shards)
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.select(KEY, "_alive", F.explode_outer("_recs").alias("r"))
-
-
-def recent_living(rows: DataFrame) -> DataFrame:
-    """Latest date, best priority, single category and at least one
-    journal row without a death date, per patient.
-
-    Two aggregations: a hash aggregation reduces the records to distinct
-    (patient, date, priority, category, source) -- map-side, so repeated
-    records of a busy patient collapse before any shuffle -- and a second
-    one per patient takes ``max``/``min`` of (date, priority, category)
-    structs over those few distinct records.
-    """
-    r = F.col("r")
-    flat = rows.select(KEY, "_alive", r["DATE"].alias("d"), r["PRIORITY"].alias("p"),
-                       r["ETHNICITY"].alias("c"), r["SOURCE"].alias("s"))
-    distinct_recs = flat.groupBy(KEY, "d", "p", "c", "s").agg(F.max("_alive").alias("_alive"))
-    d, p, c, s_ = F.col("d"), F.col("p"), F.col("c"), F.col("s")
-    dated = d.isNotNull() & c.isNotNull()
-    per = distinct_recs.groupBy(KEY).agg(
-        F.max(F.when(dated, F.struct(d.alias("d"), (-p).alias("p"), c.alias("c"), s_.alias("s")))).alias("_hi"),
-        F.min(F.when(dated, F.struct((-F.unix_date(d)).alias("d"), p.alias("p"), c.alias("c")))).alias("_lo"),
-        F.max("_alive").alias("_alive"))
-    return per.filter((F.col("_hi.c") == F.col("_lo.c")) & F.col("_alive")).select(
-        KEY, F.col("_hi.c").alias("ETHNIC_CATEGORY_CODE"), F.col("_hi.d").alias("DATE_OF_ATTRIBUTION"),
-        F.col("_hi.s").alias("DATA_SOURCE"))
-
-
-def ethnicity_recent_primary(journal: DataFrame, codes: DataFrame, labels: dict | None = None) -> DataFrame:
+    return j.select(KEY, "RECORD_DATE", "REPORTING_PERIOD_END_DATE", no_death(journal).alias("_alive"),
+                    _known(F.col("PrimaryCode")).alias("_code"), _known(F.col("ETHNIC")).alias("_field"))
+
+
+def hospital_rows(hospital: dict | None, shards: int) -> list[tuple[str, DataFrame]]:
+    """(source, rows) of the hospital datasets that there are."""
+    return [(source, hospital_ethnicity(*hospital[source][:2], shards, *hospital[source][2:]))
+            for source in (ADMITTED, EMERGENCY, OUTPATIENT) if hospital and source in hospital]
+
+
+def recent_living(journal: DataFrame, codes: DataFrame, hospital: dict | None, labels: dict, shards: int) -> DataFrame:
+    """Latest date, best priority, single category and at least one journal
+    row without a death date, per patient.
+
+    Every record is packed into two longs (see ``operators.packed``); a
+    journal row gives the better of its two.  One hash aggregation per
+    patient, combined map-side, then finds the best record and whether
+    another one as good has another category."""
+    primary = primary_care_rows(journal, codes)
+    by_code = pack_record(F.col("RECORD_DATE"), PRIORITY[JOURNAL], F.col("_code"))
+    by_field = pack_record(F.col("REPORTING_PERIOD_END_DATE"), PRIORITY[PATIENT], F.col("_field"))
+    parts = [primary.select(KEY, "_alive", F.greatest(by_code[0], by_field[0]).alias("_top"), F.least(by_code[1], by_field[1]).alias("_low"))]
+    for source, rows in hospital_rows(hospital, shards):
+        top, low = pack_record(F.col("EVENT_DATE"), PRIORITY[source], F.col("ETHNIC_CODE"))
+        parts.append(rows.filter(F.col(KEY).isNotNull()).select(KEY, F.lit(None).cast("boolean").alias("_alive"), top.alias("_top"), low.alias("_low")))
+    per = reduce(DataFrame.unionByName, parts).groupBy(KEY).agg(F.max("_top").alias("_top"), F.min("_low").alias("_low"), F.max("_alive").alias("_alive"))
+    best = per.filter((code_of(F.col("_top")) == code_of(F.col("_low"))) & F.col("_alive"))
+    source = reduce(lambda e, s: e.when(priority_of(F.col("_top")) == PRIORITY[s], labels[s]), PRIORITY, F)
+    return best.select(KEY, unpack_code(code_of(F.col("_top"))).alias("ETHNIC_CATEGORY_CODE"), day_of(F.col("_top")).alias("DATE_OF_ATTRIBUTION"),
+                       source.alias("DATA_SOURCE"))
+
+
+def ethnicity_recent_primary(journal: DataFrame, codes: DataFrame, labels: dict | None = None, long_codes: bool = False) -> DataFrame:
     """Most recent category from the primary-care journal codes and ethnic
-    field, living patients only.  One journal scan; two aggregations, both
-    combined map-side."""
-    require(journal, "ethnicity")
-    return recent_living(_all_rows(journal, codes, None, labels or RECENT_LABELS, 6))
+    field, living patients only.  One journal scan, one aggregation.
+    ``long_codes``: see ``ethnicity_recent_all``."""
+    return ethnicity_recent_all(journal, codes, None, labels, long_codes=long_codes)
 
 
 def ethnicity_with_fallback(journal: DataFrame, codes: DataFrame, hospital: dict, labels: dict | None = None,
@@ -224,36 +191,41 @@ def ethnicity_with_fallback(journal: DataFrame, codes: DataFrame, hospital: dict
     return keep_living(both, journal)
 
 
-def ethnicity_recent_all(journal: DataFrame, codes: DataFrame, hospital: dict, labels: dict | None = None,
-                         shards: int = 6) -> DataFrame:
+def ethnicity_recent_all(journal: DataFrame, codes: DataFrame, hospital: dict | None, labels: dict | None = None,
+                         shards: int = 6, long_codes: bool = False) -> DataFrame:
     """Most recent category over primary care and hospital sources, living
-    patients only (so hospital-only patients are dropped)."""
+    patients only (so hospital-only patients are dropped).
+
+    Codes of more than five ASCII characters, which no published list has,
+    fail the job unless ``long_codes`` is set; records are then compared as
+    they are, which costs a sort."""
     require(journal, "ethnicity")
-    return recent_living(_all_rows(journal, codes, hospital, labels or RECENT_LABELS, shards))
+    labels = labels or RECENT_LABELS
+    if long_codes:
+        return keep_living(recent_category(source_records(journal, codes, hospital, labels, shards)), journal)
+    return recent_living(journal, codes, hospital, labels, shards)
 
 
 def ethnicity_modal(journal: DataFrame, codes: DataFrame, hospital: dict, labels: dict | None = None,
-                    shards: int = 6, living_only: bool = False) -> DataFrame:
+                    shards: int = 6, living_only: bool = False, categories: list[str] | None = None) -> DataFrame:
     """Modal category per patient (PATIENT_ID, ETHNIC_CATEGORY_CODE).
     Deceased patients are kept unless ``living_only``.
 
-    Each source votes once per category: the sources holding a category for
-    a patient are OR-ed into a 5-bit mask (one partial aggregation), the
-    votes are its bit count, and a second partial aggregation per patient
-    keeps the unique top category."""
+    Each source votes once per category: a patient's votes are a vector of
+    five bits for each of ``categories`` (by default the known ones), merged
+    by one hash aggregation with ``bit_or`` and read once for the category
+    with most bits; ties drop the patient.  A patient may have one code
+    outside ``categories``, which counts like them; two fail the job."""
     require(journal, "ethnicity")
-    rows = _all_rows(journal, codes, hospital, labels or MODAL_LABELS, shards, dated=False)
-    r = F.col("r")
+    categories = categories or CATEGORIES
+    primary = primary_care_rows(journal, codes)
+    votes = both_votes(vote(F.col("_code"), SOURCE_BIT[JOURNAL], categories), vote(F.col("_field"), SOURCE_BIT[PATIENT], categories))
     if not living_only:
-        rows = rows.filter(r.isNotNull())   # rows without a record only carry the alive flag
-    per_cat = (rows.groupBy(KEY, r["ETHNICITY"].alias("ETHNICITY"))
-               .agg(F.bit_or(r["BIT"]).alias("_mask"), F.max("_alive").alias("_alive")))
-    has = F.col("ETHNICITY").isNotNull()
-    n = F.bit_count("_mask")
-    per = per_cat.groupBy(KEY).agg(
-        F.max(F.when(has, F.struct(n.alias("n"), F.col("ETHNICITY").alias("c")))).alias("_hi"),
-        F.min(F.when(has, F.struct((-n).alias("n"), F.col("ETHNICITY").alias("c")))).alias("_lo"),
-        F.max("_alive").alias("_alive"))
-    keep = F.col("_hi.c") == F.col("_lo.c")
-    out = per.filter(keep & F.col("_alive") if living_only else keep)
-    return out.select(KEY, F.col("_hi.c").alias("ETHNIC_CATEGORY_CODE"))
+        primary = primary.filter(F.col("_code").isNotNull() | F.col("_field").isNotNull())  # the others only carry the alive flag
+    parts = [primary.select(KEY, "_alive", *[v.alias(n) for n, v in votes.items()])]
+    for source, rows in hospital_rows(hospital, shards):
+        own = vote(F.col("ETHNIC_CODE"), SOURCE_BIT[source], categories)
+        parts.append(rows.filter(F.col(KEY).isNotNull()).select(KEY, F.lit(None).cast("boolean").alias("_alive"), *[v.alias(n) for n, v in own.items()]))
+    per = reduce(DataFrame.unionByName, parts).groupBy(KEY).agg(*gathered(categories), F.max("_alive").alias("_alive"))
+    winner, unique = unique_winner(categories)
+    return per.filter(unique & F.col("_alive") if living_only else unique).select(KEY, winner.alias("ETHNIC_CATEGORY_CODE"))

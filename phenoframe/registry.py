@@ -10,7 +10,6 @@ on Spark's result and on the DuckDB oracle's agree.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +21,13 @@ from .functions.banding import (BP_INDETERMINABLE, GLUCOSE_INDETERMINABLE, INDET
                                 bp_text_rules, child_bmi_rules, child_code_rules, computed_bmi_rules,
                                 adult_bmi_rules)
 from .functions.measures import height_to_cm, lms_interpolate
-from .operators.hospital import catalog_shard_years, join_halves, latest_shards, read_catalog_shards, shard_years
+from .operators.hospital import catalog_shard_years, join_halves, latest_shards, read_catalog_shards
 from .operators.lms import lms_lookup
 from .operators.pairing import pair_same_day
 from .operators.selection import (best_priority, dedupe_observations, drop_conflicts, drop_indeterminable,
                                   drop_unknown_codes, keep_living, latest_per_patient,
                                   modal_category)
-from .operators.staging import checkpoint_folder
+from .operators.staging import materialise, new_folder
 from .operators.tagging import label_category, tag_codes
 from .operators.union import union_sources
 from .plans import body_mass as bmi_plan
@@ -36,6 +35,7 @@ from .plans import ethnicity as eth
 from .plans.blood_pressure import blood_pressure, numeric_readings, text_readings
 from .plans.glucose import blood_glucose, fasting_matched, fasting_status, non_fasting_status
 from .plans.smoking import categorise_smoking, smoking
+from .schemas import normalise_journal
 from .sources import fixtures
 from .sources.codelists import codelist_df, codelist_path, read_codelist
 
@@ -291,7 +291,7 @@ def _glucose_status(spark, sf):
 
 
 def q_latest_per_patient(spark, sf):
-    out = latest_per_patient(_glucose_status(spark, sf), KEY, "DATE")
+    out = latest_per_patient(materialise(_glucose_status(spark, sf)), KEY, "DATE", salted=True)
     return out.select(KEY, "DATE", "LINKS", "CATEGORISED_BLOOD_GLUCOSE")
 
 
@@ -347,30 +347,56 @@ def q_join_halves(spark, sf):
 
 
 def q_latest_shards(spark, sf):
-    """Both halves of all three datasets, each cut to its own newest years."""
+    """Both halves of all three datasets, stored in folders partitioned by year, each cut to its own newest years."""
+    folder = new_folder(spark.range(0), "partitions")
     parts = []
     for d in fixtures.HOSPITAL_DATASETS:
-        for half, df in zip(("identifying", "clinical"), fixtures.hospital_halves(spark, sf, d)):
-            parts.append(latest_shards(df, "YEAR", 6).select("EPISODE_KEY", "YEAR", F.lit(d).alias("DATASET"), F.lit(half).alias("HALF")))
+        for half, shards in zip(("identifying", "clinical"), fixtures.hospital_partitions(spark, sf, d, folder)):
+            parts.append(latest_shards(shards, n=6).select("EPISODE_KEY", "YEAR", F.lit(d).alias("DATASET"), F.lit(half).alias("HALF")))
     return union_sources(parts, distinct=False)
 
 
+def _year_tables(spark, sf, read):
+    """Result of ``read(dataset, identifying, clinical)`` over the yearly tables of each dataset.  The tables leave the
+    catalog at once (the result's plan knows their files), the files with the stages."""
+    name = f"phenoframe_{uuid.uuid4().hex}"
+    databases, folder = (f"{name}_sensitive", name), new_folder(spark.range(0), "year-tables")
+    for database in databases:
+        spark.sql(f"CREATE DATABASE {database}")
+    try:
+        parts = [read(d, *fixtures.year_tables(spark, sf, d, databases, folder)).withColumn("DATASET", F.lit(d)) for d in fixtures.HOSPITAL_DATASETS]
+        return union_sources(parts, distinct=False)
+    finally:
+        for database in databases:
+            spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
 def q_catalog_shards(spark, sf):
     """Yearly shard tables in the catalog: found by name per dataset, and the
-    distinct rows of the newest six read back."""
-    database = f"phenoframe_{zlib.crc32(sf.encode())}"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    folder = f"{checkpoint_folder(spark.range(0))}/phenoframe-shards-{uuid.uuid4().hex}"
-    parts = []
-    for dataset in fixtures.HOSPITAL_DATASETS:
-        _, clinical = fixtures.hospital_halves(spark, sf, dataset)
-        for year in shard_years(clinical, n=100):
-            shard = clinical.filter(F.col("YEAR") == year).select("EVENT_DATE", "ETHNIC_CODE")
-            spark.sql(f"DROP TABLE IF EXISTS {database}.hes_{dataset}_{year}")
-            shard.write.option("path", f"{folder}/{dataset}/{year}").saveAsTable(f"{database}.hes_{dataset}_{year}")
-        years = catalog_shard_years(spark, database, 6, dataset)
-        parts.append(read_catalog_shards(spark, database, dataset, years, "hes_").withColumn("DATASET", F.lit(dataset)))
-    return union_sources(parts, distinct=False)
+    distinct rows of the newest six read back, their columns by the published names."""
+    def read(_, ident, clinical):
+        years = catalog_shard_years(spark, clinical.database, 6, clinical.kind)
+        rows = read_catalog_shards(spark, clinical.database, clinical.kind, years, clinical.prefix, clinical.columns)
+        return rows.select("EVENT_DATE", "ETHNIC_CODE", "YEAR").distinct()
+
+    return _year_tables(spark, sf, read)
+
+
+def q_catalog_episodes(spark, sf):
+    """Distinct episodes with a known category, from the yearly tables of both halves, by their published names."""
+    return _year_tables(spark, sf, lambda _, ident, clinical: eth.hospital_ethnicity(ident, clinical, 6).select(
+        KEY, "EVENT_DATE", "ETHNIC_CODE", "YEAR").distinct())
+
+
+def q_journal_by_name(spark, sf):
+    """Blood pressure from a journal that is read by its name in the catalog."""
+    database, folder = f"phenoframe_{uuid.uuid4().hex}", new_folder(spark.range(0), "journal")
+    spark.sql(f"CREATE DATABASE {database}")
+    try:
+        _journal(spark, sf).write.option("path", folder).saveAsTable(f"{database}.journal")
+        return blood_pressure(normalise_journal(spark.table(f"{database}.journal")), _codes(spark, "bp"))
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
 
 
 def q_fallback_source(spark, sf):
@@ -427,6 +453,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "join_halves": q_join_halves,
     "latest_shards": q_latest_shards,
     "catalog_shards": q_catalog_shards,
+    "catalog_episodes": q_catalog_episodes,
+    "journal_by_name": q_journal_by_name,
     "fallback_source": q_fallback_source,
     "label_category": q_label_category,
 }

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import codelists
+from .shards import YearPartitions, YearTables
 
 # Values drawn for the free-text ethnic field: known categories, then every
 # "unknown" spelling, then NULL (25 in all).
@@ -243,6 +244,42 @@ def hospital_halves(spark: SparkSession, sf_dir: str, dataset: str) -> tuple[Dat
     return ident, clinical
 
 
+# FIXED VALUES: names of the published yearly tables and of their columns:
+# kind of table, episode key and date of each dataset; the others are common.
+PUBLISHED_TABLES = {"outpatient": ("op", "ATTENDKEY", "APPTDATE"), "emergency": ("ae", "AEKEY", "ARRIVALDATE"), "admitted": ("apc", "EPIKEY", "EPIEND")}
+PUBLISHED_PATIENT, PUBLISHED_ETHNIC, PUBLISHED_PRACTICE = "NEWNHSNO", "ETHNOS", "CR_GP_PRACTICE"
+
+
+def published_columns(dataset: str) -> tuple[dict, dict]:
+    """The library's names and the published ones, of the identifying and of the clinical half."""
+    _, key, date = PUBLISHED_TABLES[dataset]
+    return ({"EPISODE_KEY": key, "PATIENT_ID": PUBLISHED_PATIENT},
+            {"EPISODE_KEY": key, "EVENT_DATE": date, "ETHNIC_CODE": PUBLISHED_ETHNIC, "PRACTICE_CODE": PUBLISHED_PRACTICE})
+
+
+def year_tables(spark: SparkSession, sf_dir: str, dataset: str, databases: tuple[str, str], folder: str) -> tuple[YearTables, YearTables]:
+    """Both halves of a dataset as yearly tables ``hes_<kind>_<year>`` with the published
+    columns, the identifying ones in a database of their own."""
+    kind, out = PUBLISHED_TABLES[dataset][0], []
+    for half, columns, database in zip(hospital_halves(spark, sf_dir, dataset), published_columns(dataset), databases):
+        path = f"{folder}/{dataset}-{database}"
+        half.select("YEAR", *[F.col(name).alias(own) for name, own in columns.items()]).write.partitionBy("YEAR").parquet(path)
+        for year in YearPartitions(spark, folder=path).years():
+            spark.catalog.createTable(f"{database}.hes_{kind}_{year}", path=f"{path}/YEAR={year}", source="parquet")
+        out.append(YearTables(spark, database, kind, "hes_", columns))
+    return tuple(out)
+
+
+def hospital_partitions(spark: SparkSession, sf_dir: str, dataset: str, folder: str) -> tuple[YearPartitions, YearPartitions]:
+    """Both halves of a dataset, each stored in a folder partitioned by year."""
+    out = []
+    for name, half in zip(("identifying", "clinical"), hospital_halves(spark, sf_dir, dataset)):
+        path = f"{folder}/{dataset}-{name}"
+        half.write.partitionBy("YEAR").parquet(path)
+        out.append(YearPartitions(spark, folder=path))
+    return tuple(out)
+
+
 # ---------------------------------------------------------------------------
 # Growth reference (LMS)
 # ---------------------------------------------------------------------------
