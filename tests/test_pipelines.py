@@ -97,11 +97,12 @@ def test_hospital_only_patients(spark):
 
 def test_smoking_fan_out_with_duplicated_list(spark):
     j = fixtures.journal(spark, SF_SMALL, ["smoking"])
-    codes = codelist_df(spark, "smoking")
+    codes = codelist_df(spark, "smoking")  # the published list repeats rows itself
     doubled = codes.unionByName(codes)
     single = smoking(j, codes).count()
     assert smoking(j, doubled).count() == 2 * single
-    assert smoking(j, doubled, dedupe_codes=True).count() == single
+    once = smoking(j, codes, dedupe_codes=True).count()
+    assert smoking(j, doubled, dedupe_codes=True).count() == once < single
 
 
 @pytest.mark.parametrize("name", PIPELINES)
