@@ -38,6 +38,7 @@ from .plans.smoking import categorise_smoking, smoking
 from .schemas import normalise_journal
 from .sources import fixtures
 from .sources.codelists import codelist_df, codelist_path, read_codelist
+from .sources.shards import write_bucketed
 
 KEY = "PATIENT_ID"
 
@@ -356,6 +357,23 @@ def q_latest_shards(spark, sf):
     return union_sources(parts, distinct=False)
 
 
+def q_bucketed_halves(spark, sf):
+    """All three datasets, each half stored in buckets of (year, key), joined without a shuffle."""
+    database, folder = f"phenoframe_{uuid.uuid4().hex}", new_folder(spark.range(0), "buckets")
+    spark.sql(f"CREATE DATABASE {database}")
+    try:
+        parts = []
+        for d in fixtures.HOSPITAL_DATASETS:
+            halves = []
+            for name, half in zip(("identifying", "clinical"), fixtures.hospital_halves(spark, sf, d)):
+                table = write_bucketed(half, f"{database}.{d}_{name}", 8, path=f"{folder}/{d}-{name}")
+                halves.append(table.read(table.years()))
+            parts.append(join_halves(*halves).withColumn("DATASET", F.lit(d)))
+        return union_sources(parts, distinct=False)
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
 def _year_tables(spark, sf, read):
     """Result of ``read(dataset, identifying, clinical)`` over the yearly tables of each dataset.  The tables leave the
     catalog at once (the result's plan knows their files), the files with the stages."""
@@ -451,6 +469,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keep_living": q_keep_living,
     "drop_unknown_codes": q_drop_unknown_codes,
     "join_halves": q_join_halves,
+    "bucketed_halves": q_bucketed_halves,
     "latest_shards": q_latest_shards,
     "catalog_shards": q_catalog_shards,
     "catalog_episodes": q_catalog_episodes,

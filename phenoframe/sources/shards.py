@@ -93,4 +93,37 @@ class YearPartitions:
         return adapt(rows, {**self.columns, "YEAR": self.year} if self.columns else None)
 
 
-Shards = YearTables | YearPartitions
+@dataclass(frozen=True)
+class BucketedTable:
+    """A half of a dataset stored in buckets of (year, episode key), see ``write_bucketed``; both halves are then joined where they are."""
+    spark: SparkSession
+    table: str
+    columns: dict[str, str] | None = None
+
+    def years(self, n: int | None = None) -> list[int]:
+        listed = self.spark.sql(f"SHOW TBLPROPERTIES {self.table} ('{YEARS}')").first()[1]
+        return newest((int(y) for y in listed.split(",") if y), n)
+
+    def read(self, years: list[int]) -> DataFrame:
+        """Rows of the years (rows are sorted by year in each bucket, so others are skipped by their statistics)."""
+        rows = self.spark.table(self.table)
+        return adapt(rows.filter(F.col("YEAR").isin(years)), {**self.columns, "YEAR": "YEAR"} if self.columns else None)
+
+
+#: Table property that lists the years of a bucketed half.
+YEARS = "phenoframe.years"
+
+
+def write_bucketed(half: DataFrame, table: str, buckets: int, key: str = "EPISODE_KEY", path: str | None = None) -> BucketedTable:
+    """Store a half (with an INT ``YEAR``) in ``buckets`` buckets of (``YEAR``, ``key``), once; every later join of two halves
+    with as many buckets needs no shuffle.  The years are noted with the table, so that they are read from the catalog."""
+    spark = half.sparkSession
+    rows = half.repartition(buckets, "YEAR", key)  # the buckets' own partitioning: a file for each
+    writer = rows.write.bucketBy(buckets, "YEAR", key).sortBy("YEAR", key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    years = spark.table(table).select("YEAR").where("YEAR is not null").distinct().collect()
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{YEARS}' = '{','.join(str(r[0]) for r in years)}')")
+    return BucketedTable(spark, table)
+
+
+Shards = YearTables | YearPartitions | BucketedTable

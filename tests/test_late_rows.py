@@ -188,6 +188,26 @@ def test_years_come_from_names_without_a_job(spark, tmp_path):
         spark.sql("DROP DATABASE years_db CASCADE")
 
 
+def test_bucketed_halves_join_without_a_shuffle(spark, tmp_path):
+    from phenoframe.operators.hospital import join_halves
+    from phenoframe.sources.shards import write_bucketed
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS bucket_db")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        halves = fixtures.hospital_halves(spark, SMALL, "admitted")
+        tables = [write_bucketed(h, f"bucket_db.half_{i}", 4, path=str(tmp_path / str(i))) for i, h in enumerate(halves)]
+        years, jobs = jobs_of(spark, "buckets", lambda: tables[0].years(3))
+        assert len(years) == 3 and not jobs
+        got = join_halves(*[t.read(years) for t in tables])
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        want = join_halves(*halves).where(F.col("YEAR").isin(years))
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE bucket_db CASCADE")
+
+
 def test_runs_have_their_own_ledgers(spark):
     folder = staging.checkpoint_folder(spark.range(1))
 
