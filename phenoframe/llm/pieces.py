@@ -70,6 +70,8 @@ class Vocabulary:
     ids: np.ndarray  # in the order of the hashes
     byte_ids: np.ndarray  # id of each byte's piece
     longest: int  # characters of the longest normal piece
+    beginnings: np.ndarray  # hashes of all beginnings of normal pieces, sorted
+    whole: np.ndarray  # id of the piece that each beginning is, -1 if it is only a part of some
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes; -1 where there is none."""
@@ -77,6 +79,13 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, self.ids[at], -1)
 
 
+    def find_beginning(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces with these hashes (-1 where there is none), and which hashes begin a piece (or are one)."""
+        at = np.minimum(np.searchsorted(self.beginnings, hashes), len(self.beginnings) - 1)
+        begins = self.beginnings[at] == hashes
+        return np.where(begins, self.whole[at], -1), begins
+
+
 def read_vocabulary(path: str) -> Vocabulary:
     with open(path, "rb") as f:
         model = f.read()
@@ -94,16 +103,25 @@ def read_vocabulary(path: str) -> Vocabulary:
     order = np.argsort(hashes)
     if (hashes[order][1:] == hashes[order][:-1]).any():
         raise ValueError("two pieces share a hash")
+    beginnings = np.unique(np.concatenate([prefix_hashes(texts[i]) for i in normal]))
+    whole = np.full(len(beginnings), -1, dtype=np.int64)
+    whole[np.searchsorted(beginnings, hashes)] = normal
     byte_ids = {int(texts[i][3:5], 16): i for i, kind in enumerate(kinds) if kind == BYTE}
     return Vocabulary(texts, np.array(scores), hashes[order], np.array(normal, dtype=np.int64)[order],
-                      np.array([byte_ids[b] for b in range(256)], dtype=np.int64), max(len(texts[i]) for i in normal))
+                      np.array([byte_ids[b] for b in range(256)], dtype=np.int64), max(len(texts[i]) for i in normal), beginnings, whole)
 
 
-def hash_of(text: str) -> int:
-    value = np.zeros(1, dtype=np.uint64)
+def prefix_hashes(text: str) -> np.ndarray:
+    """Hashes of the first character, the first two, and so on."""
+    value, out = np.zeros(1, dtype=np.uint64), []
     for point in code_points(text):
         value = extend(value, point[None])
-    return int(value[0])
+        out.append(value)
+    return np.concatenate(out) if out else value[:0]
+
+
+def hash_of(text: str) -> int:
+    return int(prefix_hashes(text)[-1])
 
 
 def utf8_length(points: np.ndarray) -> np.ndarray:

@@ -50,31 +50,42 @@ def best_pieces(points: np.ndarray, vocabulary: Vocabulary, fallback: float) ->
     A character covered by its bytes has the id -1 - (its code point).
     """
     n, size = points.shape
-    score = np.full((n, size + 1), -np.inf)
-    score[:, 0] = 0
-    start = np.zeros((n, size + 1), dtype=np.int32)
-    piece = np.zeros((n, size + 1), dtype=np.int64)
+    columns = np.ascontiguousarray(points.T)
+    score = np.full((size + 1, n), -np.inf)
+    score[0] = 0
+    start = np.zeros((size + 1, n), dtype=np.int32)
+    piece = np.zeros((size + 1, n), dtype=np.int64)
+    every = np.arange(n)
     for i in range(size):
-        hashes = np.zeros(n, dtype=np.uint64)
+        # Rows drop out when their substring begins no piece.
+        rows, hashes = every, np.zeros(n, dtype=np.uint64)
         for j in range(i, min(size, i + vocabulary.longest)):
-            hashes = extend(hashes, points[:, j])
-            found = vocabulary.find(hashes)
-            value = score[:, i] + np.where(found >= 0, vocabulary.scores[found], -np.inf)
+            hashes = extend(hashes, columns[j][rows])
+            found, begins = vocabulary.find_beginning(hashes)
             if j == i:
-                value = np.where(found >= 0, value, score[:, i] + fallback)
-                found = np.where(found >= 0, found, -1 - points[:, j].astype(np.int64))
-            better = value > score[:, j + 1]
-            score[:, j + 1] = np.where(better, value, score[:, j + 1])
-            start[:, j + 1] = np.where(better, i, start[:, j + 1])
-            piece[:, j + 1] = np.where(better, found, piece[:, j + 1])
-    rows = np.arange(n)
+                value = score[i] + np.where(found >= 0, vocabulary.scores[found], fallback)
+                found = np.where(found >= 0, found, -1 - columns[j].astype(np.int64))
+                to = rows
+            else:
+                hit = np.flatnonzero(found >= 0)
+                to, found = rows[hit], found[hit]
+                value = score[i][to] + vocabulary.scores[found]
+            better = value > score[j + 1][to]
+            to = to[better]
+            score[j + 1][to] = value[better]
+            start[j + 1][to] = i
+            piece[j + 1][to] = found[better]
+            rows, hashes = rows[begins], hashes[begins]
+            if not rows.size:
+                break
+    rows = every
     end = np.full(n, size)
     taken = np.zeros((n, size), dtype=bool)
     while rows.size:
         taken[rows, end - 1] = True
-        end = start[rows, end]
+        end = start[end, rows]
         rows, end = rows[end > 0], end[end > 0]
-    return piece[:, 1:][taken], taken.sum(axis=1)
+    return piece[1:].T[taken], taken.sum(axis=1)
 
 
 class Encoder:
