@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from phenoframe.llm import blocks
 from phenoframe.llm.components import connected
-from phenoframe.llm.stages import cut
+from phenoframe.llm.stages import Scratch
 from phenoframe.llm.text import BLANKS
 
 SHINGLE_WORDS = 5
@@ -214,9 +214,9 @@ def least_shingle(round_: int):
     return run
 
 
-def clusters(sets: DataFrame) -> DataFrame:
+def clusters(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """``node`` and ``head`` of the sets that may link: heads stand for themselves and those that joined them."""
-    heads = cut(sets.select("node", F.col("node").alias("head")))
+    heads = scratch.keep(sets.select("node", F.col("node").alias("head")), "heads")
     for round_ in range(ROUNDS):
         firsts = sets.join(heads.where("node = head").select("node"), "node").select("node", "size", "shingles")
         marked = firsts.mapInArrow(least_shingle(round_), "node long, size int, shingles binary, least long")
@@ -225,8 +225,8 @@ def clusters(sets: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / GROUP_SETS))
         parted = marked.join(many, "least").select("node", "size", "shingles", "least", part.alias("part")).repartition("least", "part")
         joined = parted.groupBy("least", "part").applyInArrow(gather, "node long, head long")
-        joined = cut(joined.select(F.col("node").alias("head"), F.col("head").alias("to")))
-        heads = cut(heads.join(joined, "head", "left").select("node", F.coalesce("to", "head").alias("head")))
+        joined = scratch.keep(joined.select(F.col("node").alias("head"), F.col("head").alias("to")), "joined")
+        heads = scratch.keep(heads.join(joined, "head", "left").select("node", F.coalesce("to", "head").alias("head")), "heads")
     return heads
 
 
@@ -259,56 +259,60 @@ def opened_links(sets: DataFrame, placed: DataFrame, asked: DataFrame) -> DataFr
     return members.groupBy("head", "chunk").cogroup(queries.groupBy("of", "part")).applyInArrow(open_chunks, "a long, b long")
 
 
-def set_labels(sets: DataFrame) -> DataFrame:
+def set_labels(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """``node`` and the ``label`` of its component, for sets that may link.
 
     Two rounds compare sets with the lowest cluster of one of their frequent
     rows, which gathers what is left of large groups in proportion to their
     sets; the last one compares all clusters that still share any row.  No chunk is queried twice by a set.
     """
-    heads = clusters(sets)
+    heads = clusters(sets, scratch)
     many = heads.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).alias("chunks"))
-    placed = cut(heads.join(many, "head").select("node", "head", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.col("head").alias("label")))
+    placed = heads.join(many, "head").select("node", "head", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.col("head").alias("label"))
+    placed = scratch.keep(placed, "placed")
     before = None
     for star in (1, 2, None):
         asked = ask(sets, placed, star)
-        asked = cut(asked if before is None else asked.join(before, ["node", "head", "chunk"], "left_anti"))
-        found = cut(opened_links(sets, placed, asked))
+        asked = scratch.keep(asked if before is None else asked.join(before, ["node", "head", "chunk"], "left_anti"), "asked")
+        found = scratch.keep(opened_links(sets, placed, asked), "links")
         before = asked if before is None else before.union(asked)
         if found.limit(1).count():
             label = placed.select("node", "label")
             ends = (found.join(label.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
                     .join(label.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
             moved = connected(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
-            placed = cut(placed.join(moved, "label", "left").select("node", "head", "chunk", F.coalesce("to", "label").alias("label")))
+            placed = placed.join(moved, "label", "left").select("node", "head", "chunk", F.coalesce("to", "label").alias("label"))
+            placed = scratch.keep(placed, "placed")
     return placed.select("node", "label")
 
 
 def labelled(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, text hashes ``t1`` and ``t2``, ``n_shingles``, ``component_id`` and ``label`` of its component."""
+    scratch = Scratch(docs)
     total = blocks.text_bytes(docs)
     buckets = blocks.n_buckets(total // 6)  # a shingle for about six bytes
     placed = blocks.in_blocks(docs, total)
     equal = placed.select("doc_id", "row", "block", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     chosen = equal.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "row", "block")).alias("one"), F.min("doc_id").alias("least_id"))
-    chosen = cut(chosen.select("t1", "t2", "least_id", F.col("one.row").alias("row"), F.col("one.block").alias("block")))
+    chosen = scratch.keep(chosen.select("t1", "t2", "least_id", F.col("one.row").alias("row"), F.col("one.block").alias("block")), "chosen")
     picked = chosen.select("row", "block").groupBy("block").applyInArrow(pack_chosen, blocks.ANSWERS)
     by_block = placed.groupBy("block")
     asked = by_block.cogroup(picked.groupBy("block")).applyInArrow(ask_frequencies(buckets), blocks.FACTS)
     told = asked.groupBy("bucket").applyInArrow(tell_frequent, blocks.ANSWERS).unionByName(picked)
-    ordered = cut(by_block.cogroup(told.groupBy("block")).applyInArrow(order_sets, SETS))
+    ordered = scratch.keep(by_block.cogroup(told.groupBy("block")).applyInArrow(order_sets, SETS), "ordered")
     sets = ordered.where("shingles is not null")
-    labels = set_labels(sets)
+    labels = set_labels(sets, scratch)
     # Every text: its size, label and the least id in its component.
     texts = (ordered.select(F.col("node").alias("row"), "size").join(labels.withColumnRenamed("node", "row"), "row", "left")
              .join(chosen.select("t1", "t2", "row", "least_id"), "row")
              .select("t1", "t2", F.col("size").cast("long").alias("n_shingles"), F.coalesce("label", "row").alias("label"), "least_id"))
-    texts = cut(texts)
+    texts = scratch.keep(texts, "texts")
     least = texts.groupBy("label").agg(F.min("least_id").alias("component_id"))
     known = texts.join(least, "label")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return equal.select("doc_id", "t1", "t2").join(known, ["t1", "t2"]).select(
+    result = equal.select("doc_id", "t1", "t2").join(known, ["t1", "t2"]).select(
         "doc_id", "t1", "t2", "n_shingles", own.alias("component_id"), "label")
+    return scratch.finish(result, "components")
 
 
 def document_components(docs: DataFrame) -> DataFrame:
@@ -319,7 +323,7 @@ def document_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the least id, in the columns of ``docs``; empty texts all stay."""
     names = docs.columns
-    found = cut(labelled(docs).select("doc_id", "t1", "t2", "n_shingles", "label"))
+    found = labelled(docs).select("doc_id", "t1", "t2", "n_shingles", "label")
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2")
     heads = found.where("n_shingles > 0").groupBy("label").agg(F.min(key).alias("head")).select("head.doc_id", "head.t1", "head.t2")
     heads = heads.union(found.where("n_shingles = 0").select("doc_id", "t1", "t2").distinct())
