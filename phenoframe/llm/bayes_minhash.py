@@ -15,13 +15,13 @@ all of theirs.  The result is each document's component under the links.
    ``MISS``, else the pair is dropped.  Survivors are compared by their full sets.
 4. In two rounds the members of a bucket are candidates of one member (the
    first, then the last), each confirmed with the one it matches best:
-   rows in proportion to members.  Then buckets whose members still differ
-   in component are opened: their members outside the largest component
-   compare signatures with bounded chunks of all members.  In one round only
-   the best match of each is confirmed, which gathers most of what is left
-   of large groups.  In the last one a member that has a survivor in another
-   component is compared by full sets with that component, in bounded
-   chunks of which its overlap with the union allows a link.  So no
+   rows in proportion to members.  In buckets whose members still differ in
+   component, the members outside the largest one compare signatures with
+   bounded chunks of all members.  First only the best match of each is
+   confirmed, which gathers most of what is left of large groups.  Then a
+   member that has a survivor in a component that is still another one is
+   compared by full sets with all of that component, in bounded chunks, of
+   which those are opened whose union its overlap allows to link.  So no
    candidate pair between components is left out, none within one is
    compared, and pairs are never listed: a row says which component to open.
 
@@ -56,8 +56,6 @@ BATCH, MISS = 25, 1e-6
 #: Text bytes hashed at once; members of a bucket that a query asks at once; queries that ask them; pairs of a text in one task.
 PIECE_BYTES, CHUNK, QUERIES, PAIRS = 2_000_000, 256, 1024, 200
 
-#: Rounds of candidates: a bucket's first member, its last one, each query's best match, then all that is left.
-STEPS = ("first", "last", "best", "all")
 #: Members of a component that a query opens at once, and queries that open them.
 OPEN_CHUNK, OPEN_QUERIES = 128, 256
 
@@ -235,16 +233,17 @@ def by_group(told, keys: tuple[str, ...]):
 
 
 def matches_in_chunk(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """For each query of a bucket's chunk and each other component: the member that it matches best, of those that the signatures do not rule out."""
+    """For each query of a bucket's chunk and each component that it asks: the member that it matches best, of those that the signatures do not rule out."""
     asks = rows.column("asks").to_numpy()
     if asks.all() or not asks.any():
         return
     signed = matrix(rows.column("signature").combine_chunks())
-    node, label, n = (rows.column(c).to_numpy() for c in ("node", "label", "n"))
+    node, label, n, main = (rows.column(c).to_numpy() for c in ("node", "label", "n", "main"))
     members = np.flatnonzero(~asks)
     found = []
     for q in np.flatnonzero(asks):
-        near = members[label[members] != label[q]]
+        # Of two queries the one of the higher component asks.
+        near = members[main[members] | (label[members] < label[q])]
         left, matches = survivors(signed[q:q + 1], signed[near], n[q], n[near])
         order = np.lexsort((-matches, label[near[left]]))
         hit = near[left][order]
@@ -333,7 +332,8 @@ def others(rows: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     each = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("many"))
     largest = each.groupBy("key").agg(F.max_by("label", "many").alias("largest"), F.sum("many").alias("size"), (F.sum("many") - F.max("many")).alias("asking"))
     told = join_hot(rows.select("key", "node", "label"), scratch.keep(largest, "largest"), ["key"], "size", rows.count())
-    met = in_chunks(told, told.where("label <> largest"), CHUNK, QUERIES, ["node", "label"], "key").join(nodes.select("node", "n", "signature"), "node")
+    told = told.withColumn("main", F.col("label") == F.col("largest"))
+    met = in_chunks(told, told.where("not main"), CHUNK, QUERIES, ["node", "label", "main"], "key").join(nodes.select("node", "n", "signature"), "node")
     keys = ("key", "chunk", "block")
     return grouped(met, "key").mapInArrow(by_group(matches_in_chunk, keys), "a long, b long, label long, matches long")
 
@@ -358,22 +358,27 @@ def components(nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame
     total = bands.count()
     open_ = scratch.keep(differing(bands.withColumn("label", F.col("node")), total), "buckets")
     links, labels = None, None
-    for step in STEPS:
-        if step in ("first", "last"):
-            pairs = open_.where(f"node <> {step}").select(F.col(step).alias("a"), F.col("node").alias("b")).distinct()
-            left = judged(pairs, nodes, scratch).groupBy("b").agg(F.max_by("a", "matches").alias("a"))
-            found = confirmed(left, sets, scratch)
-        else:
-            near = others(open_, nodes, scratch)
-            if step == "best":
-                found = confirmed(near.groupBy("a").agg(F.max_by("b", "matches").alias("b")), sets, scratch)
-            else:
-                found = opened(near, nodes, labels, sets, scratch)
+
+    def gathered(found: DataFrame) -> None:
+        nonlocal links, labels
         links = found if links is None else links.unionByName(found)
         labels = connected(links)
-        if step != "all":
-            placed = open_.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            open_ = scratch.keep(differing(scratch.keep(placed, "placed"), total), "buckets")
+
+    def label_of(node: str, label: str) -> DataFrame:
+        return labels.select(F.col("node").alias(node), F.col("label").alias(label))
+
+    for head in ("first", "last"):
+        pairs = open_.where(f"node <> {head}").select(F.col(head).alias("a"), F.col("node").alias("b")).distinct()
+        left = judged(pairs, nodes, scratch).groupBy("b").agg(F.max_by("a", "matches").alias("a"))
+        gathered(confirmed(left, sets, scratch))
+        placed = open_.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = scratch.keep(differing(scratch.keep(placed, "placed"), total), "buckets")
+    near = scratch.keep(others(open_, nodes, scratch), "near")
+    gathered(confirmed(near.groupBy("a").agg(F.max_by("b", "matches").alias("b")), sets, scratch))
+    # Components only grow: what is in another one now was in another one when it was found.
+    apart = near.select("a", "b").join(label_of("a", "own"), "a", "left").join(label_of("b", "label"), "b", "left")
+    apart = apart.select("a", F.coalesce("own", "a").alias("own"), F.coalesce("label", "b").alias("label")).where("own <> label")
+    gathered(opened(apart, nodes, labels, sets, scratch))
     return labels
 
 
