@@ -99,8 +99,9 @@ def agreeing_days(days: DataFrame, width: int, key: str = "PATIENT_ID", date: st
     none.  Day and position are packed in one long, so this is a hash aggregation.
     """
     w = width + 1
-    day = F.unix_date(F.col(date)).cast("long")
-    stats = days.where(F.col(key).isNotNull() & F.col("_lo").isNotNull()).groupBy(key).agg(
+    # No filter on ``_lo``: pushed down, it would repeat the rules that made it in the generated code.
+    day = F.when(F.col("_lo").isNotNull(), F.unix_date(F.col(date)).cast("long"))
+    stats = days.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.max(day).alias("_day"), F.max(day * w + F.col("_hi")).alias("_top"), F.min(-day * w + F.col("_lo")).alias("_low"))
     same = F.col("_top") - F.col("_day") * w == F.col("_low") + F.col("_day") * w
     return stats.where(same).select(key, F.date_from_unix_date(F.col("_day").cast("int")).alias(date))

@@ -69,15 +69,24 @@ def n_words(categories: list[str]) -> int:
     return -(-len(categories) // SLOTS)
 
 
-def vote(code: Column, source: int, categories: list[str]) -> dict[str, Column]:
+def slot_of(code: Column, categories: list[str]) -> Column:
+    """Place of a code among the categories, -1 for another one, NULL for NULL."""
+    known = reduce(lambda e, i: e.when(code == categories[i], i), range(len(categories)), F)
+    return known.when(code.isNotNull(), -1)
+
+
+def vote(code: Column, source: int, categories: list[str], slot: Column | None = None) -> dict[str, Column]:
     """Columns of one vote of a ``source`` (its bit's number): a long for each ``SLOTS`` of the categories, and for a code
-    that is none of them the source's bit and the packed code.  All NULL for a NULL code."""
-    slot = F.array_position(F.array(*map(F.lit, categories)), code) - 1
-    listed, one = slot >= 0, 1 << source
-    own = F.when(listed, shl(F.lit(one).cast("long"), (slot % SLOTS * SOURCES).cast("int")))
-    words = {f"_v{w}": F.when(F.floor(slot / SLOTS) == w, own) for w in range(n_words(categories))}
+    that is none of them the source's bit and the packed code.  All NULL for a NULL code.  ``slot``: a column with ``slot_of`` the code."""
+    slot = slot_of(code, categories) if slot is None else slot
+    one = 1 << source
+
+    def word(w: int) -> Column:
+        own = (slot >= w * SLOTS) & (slot < (w + 1) * SLOTS)
+        return F.when(own, shl(F.lit(one).cast("long"), (slot - w * SLOTS) * SOURCES))
+
     other = F.when(slot < 0, pack_code(code))
-    return words | {"_rest": F.when(slot < 0, F.lit(one)), "_first": other, "_last": other}
+    return {f"_v{w}": word(w) for w in range(n_words(categories))} | {"_rest": F.when(slot < 0, F.lit(one)), "_first": other, "_last": other}
 
 
 def both_votes(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
@@ -97,12 +106,18 @@ def gathered(categories: list[str]) -> list[Column]:
 def unique_winner(categories: list[str]) -> tuple[Column, Column]:
     """Of gathered votes: the category with most votes, and whether it is the only one.
 
-    One code outside ``categories`` is counted like them; a patient with two different such codes fails the job."""
-    counts = [F.bit_count(low_bits(shr(F.coalesce(f"_v{i // SLOTS}", F.lit(0).cast("long")), i % SLOTS * SOURCES), SOURCES)) for i in range(len(categories))]
+    One code outside ``categories`` is counted like them; a patient with two
+    different such codes fails the job.  The vector is read by one fold over
+    its slots, small in generated code however many categories there are."""
+    words = F.array(*[F.coalesce(f"_v{w}", F.lit(0).cast("long")) for w in range(n_words(categories))])
+    places = F.sequence(F.lit(0), F.lit((SLOTS - 1) * SOURCES), F.lit(SOURCES))
+    counts = F.flatten(F.transform(words, lambda w: F.transform(places, lambda at: F.bit_count(low_bits(shr(w, at), SOURCES)))))
     two = F.raise_error(F.concat(F.lit("a patient has two categories that are not listed; pass them in categories: "),
                                  unpack_code(F.col("_first")), F.lit(", "), unpack_code(F.col("_last")))).cast("int")
     rest = F.when(F.col("_first").isNull(), 0).when(F.col("_first") == F.col("_last"), F.bit_count("_rest")).otherwise(two)
-    every = F.array(*counts, rest)
-    most = F.array_max(every)
-    names = F.array(*map(F.lit, categories), F.when(F.col("_first").isNotNull(), unpack_code(F.col("_first"))))
-    return F.element_at(names, F.array_position(every, most).cast("int")), (most > 0) & (F.size(F.array_remove(every, most)) == len(categories))
+    # Votes, place (from 1, the code outside the list last) and whether another has as many, in one number.
+    ranked = F.transform(F.concat(counts, F.array(rest)), lambda n, i: n * 2048 + (i + 1) * 2)
+    best = F.aggregate(ranked, F.lit(0), lambda top, x: F.when(shr(x, 11) > shr(top, 11), x).when(shr(x, 11) == shr(top, 11), top.bitwiseOR(F.lit(1))).otherwise(top))
+    place = low_bits(shr(best, 1).cast("long"), 10).cast("int")
+    listed = F.element_at(F.array(*map(F.lit, categories), *[F.lit(None).cast("string")] * (n_words(categories) * SLOTS - len(categories) + 1)), place)
+    return F.coalesce(listed, unpack_code(F.col("_first"))), (shr(best, 11) > 0) & (low_bits(best.cast("long"), 1) == 0)

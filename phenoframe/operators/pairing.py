@@ -47,20 +47,16 @@ def pair_same_day(left: DataFrame, right: DataFrame, take: dict[str, str], how:
 
 def day_pairs(rows: DataFrame, left: Column, right: Column, left_values: dict[str, Column], right_values: dict[str, Column],
               keys: list[str] | None = None) -> DataFrame:
-    """Distinct pairs of the values of two kinds of row of one table, with one shuffle for both.
+    """Distinct pairs of the values of two kinds of row of one table, from narrow rows.
 
-    ``left`` and ``right`` say which rows are of either kind.  One
-    aggregation on the pairing keys reduces both to their distinct values,
-    map-side first, and the pairs are made from those: a day's row holds its
-    distinct values, not its rows.  NULL keys never pair.
+    ``left`` and ``right`` say which rows are of either kind.  Each side is
+    reduced to its distinct keys and values, map-side first, before they
+    meet.  NULL keys never pair.
     """
     keys = keys or PAIR_KEYS
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
-    def values(side: Column, columns: dict[str, Column]) -> Column:
-        return F.collect_set(F.when(side, F.struct(*[c.alias(n) for n, c in columns.items()])))
+    def narrow(side: Column, columns: dict[str, Column]) -> DataFrame:
+        return rows.where(known & side).select(*keys, *[c.alias(n) for n, c in columns.items()]).distinct()
 
-    days = rows.where(known & (left | right)).groupBy(*keys).agg(values(left, left_values).alias("_left"), values(right, right_values).alias("_right"))
-    both = days.where((F.size("_left") > 0) & (F.size("_right") > 0))
-    each = both.select(*keys, "_right", F.inline("_left")).select(*keys, *left_values, F.explode("_right").alias("_r"))
-    return each.select(*keys, *left_values, *[F.col(f"_r.{n}").alias(n) for n in right_values])
+    return narrow(left, left_values).join(narrow(right, right_values), keys)

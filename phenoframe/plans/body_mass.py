@@ -23,11 +23,11 @@ from ..functions.banding import (BMI_CATEGORIES, INDETERMINABLE_BMI, KNOWN_CHILD
                                  Z_ERROR_LABEL, adult_bmi_rules, band, child_bmi_rules, child_code_rules,
                                  computed_bmi_rules, zscore_rules)
 from ..functions.measures import bmi_from_hw, height_to_cm, lms_interpolate, lms_zscore
-from ..operators.day_classes import agreeing_days
+from ..operators.day_classes import agreeing_days, band_index
 from ..operators.heavy import bring_back
 from ..operators.lms import lms_lookup
 from ..operators.pairing import day_pairs, pair_same_day
-from ..operators.selection import KEY, category_index
+from ..operators.selection import KEY
 from ..operators.staging import materialise
 from ..operators.tagging import tag_codes
 from ..operators.union import union_sources
@@ -107,15 +107,18 @@ def child_centile_codes(bmi_journal: DataFrame) -> DataFrame:
 
 
 def centile_score(df: DataFrame, lms: DataFrame, value: str) -> DataFrame:
+    """``centile_z`` and its category ``CENTILE_CLINICAL_BMI_CAT``."""
+    return centile_z(df, lms, value).withColumn("CENTILE_CLINICAL_BMI_CAT", band(zscore_rules(), Z_ERROR_LABEL))
+
+
+def centile_z(df: DataFrame, lms: DataFrame, value: str) -> DataFrame:
     """Months of age, growth-reference L/M/S at the bracketing months,
-    interpolated L/M/S, the z-score of ``value`` and its category
-    ``CENTILE_CLINICAL_BMI_CAT``."""
+    interpolated L/M/S and the z-score of ``value``."""
     out = df.withColumn("AGE_MONTHS", age_months("DATE", "DATE_OF_BIRTH"))
     out = out.withColumns(age_months_bracket("AGE_MONTHS"))
     out = lms_lookup(out, lms)
     out = out.withColumns(lms_interpolate("AGE_DIFF"))
-    out = out.withColumn("BMI_Z_SCORE", lms_zscore(value))
-    return out.withColumn("CENTILE_CLINICAL_BMI_CAT", band(zscore_rules(), Z_ERROR_LABEL))
+    return out.withColumn("BMI_Z_SCORE", lms_zscore(value))
 
 
 def child_bmi_centiles(bmi_journal: DataFrame, lms: DataFrame) -> DataFrame:
@@ -154,19 +157,21 @@ def day_statuses(tagged: DataFrame, lms: DataFrame) -> DataFrame:
     value = V1.isNotNull()
     pairs = measured(day_pairs(tagged, (lst == "height") & value, (lst == "weight") & value,
                                {"VALUE1_CONDITION": V1, "DATE_OF_BIRTH": F.col("DATE_OF_BIRTH"), "SEX": F.col("SEX")}, {"W_VALUE": V1}))
-    bmi_j = tagged.filter(lst == "bmi")
-    known = F.col("CENTILE_CLINICAL_BMI_CAT").isin(KNOWN_CHILD_CATEGORIES)
+    bmi_j = tagged.filter(lst == "bmi").withColumn(AGE, _age())
+    adult, child = F.col(AGE) >= ADULT_YEARS, F.col(AGE) < ADULT_YEARS
 
-    def status(df: DataFrame, cat: str) -> DataFrame:
-        at = category_index(cat, BMI_CATEGORIES)
-        return df.select(KEY, "DATE", at.alias("_lo"), at.alias("_hi"))
+    def status(df: DataFrame, rules: list, default: str | None = None) -> DataFrame:
+        at = band_index(rules, BMI_CATEGORIES)
+        at = F.coalesce(at, F.lit(BMI_CATEGORIES.index(default) + 1)) if default else at
+        return df.withColumn("_lo", at).select(KEY, "DATE", "_lo", F.col("_lo").alias("_hi"))
 
+    need = bmi_j.filter(child).withColumn(CAT, band(child_bmi_rules(), INDETERMINABLE_BMI)).filter(F.col(CAT) == "CENTILE")
     return reduce(DataFrame.unionByName, [
-        status(adult_height_weight(None, None, pairs=pairs), CAT),
-        status(centile_score(split_height_weight(pairs, True), lms, "BMI").filter(known), "CENTILE_CLINICAL_BMI_CAT"),
-        status(adult_coded(bmi_j), CAT),
-        status(child_bmi_centiles(bmi_j, lms).filter(known), "CENTILE_CLINICAL_BMI_CAT"),
-        status(child_centile_codes(bmi_j).filter(F.col(CAT).isin(KNOWN_CHILD_CATEGORIES)), CAT),
+        status(pairs.filter(adult), computed_bmi_rules()),
+        status(centile_z(split_height_weight(pairs, True), lms, "BMI"), zscore_rules()),
+        status(bmi_j.filter(adult), adult_bmi_rules()),
+        status(centile_z(need, lms, "VALUE1_CONDITION"), zscore_rules()),
+        status(bmi_j.filter(child & (F.col("BMI_CAT") == "CHILD")), child_code_rules("CODE"), "IDEAL"),
     ])
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.hospital import join_halves, shard_years
 from ..operators.joins import lookup_join
-from ..operators.packed import both_votes, code_of, day_of, gathered, pack_record, priority_of, unique_winner, unpack_code, vote
+from ..operators.packed import both_votes, code_of, day_of, gathered, pack_record, priority_of, slot_of, unique_winner, unpack_code, vote
 from ..operators.selection import KEY, drop_unknown_codes, fallback_source, keep_living, no_death
 from ..operators.tagging import tag_codes
 from ..schemas import require
@@ -219,13 +219,18 @@ def ethnicity_modal(journal: DataFrame, codes: DataFrame, hospital: dict, labels
     require(journal, "ethnicity")
     categories = categories or CATEGORIES
     primary = primary_care_rows(journal, codes)
-    votes = both_votes(vote(F.col("_code"), SOURCE_BIT[JOURNAL], categories), vote(F.col("_field"), SOURCE_BIT[PATIENT], categories))
+    slots = {"_code_slot": slot_of(F.col("_code"), categories), "_field_slot": slot_of(F.col("_field"), categories)}
+    votes = both_votes(vote(F.col("_code"), SOURCE_BIT[JOURNAL], categories, F.col("_code_slot")),
+                       vote(F.col("_field"), SOURCE_BIT[PATIENT], categories, F.col("_field_slot")))
     if not living_only:
         primary = primary.filter(F.col("_code").isNotNull() | F.col("_field").isNotNull())  # the others only carry the alive flag
-    parts = [primary.select(KEY, "_alive", *[v.alias(n) for n, v in votes.items()])]
+    # A patient's rows hold few different categories: the vectors are built from those.
+    primary = primary.groupBy(KEY, "_code", "_field").agg(F.max("_alive").alias("_alive"))
+    parts = [primary.withColumns(slots).select(KEY, "_alive", *[v.alias(n) for n, v in votes.items()])]
     for source, rows in hospital_rows(hospital, shards):
-        own = vote(F.col("ETHNIC_CODE"), SOURCE_BIT[source], categories)
-        parts.append(rows.filter(F.col(KEY).isNotNull()).select(KEY, F.lit(None).cast("boolean").alias("_alive"), *[v.alias(n) for n, v in own.items()]))
+        own = vote(F.col("ETHNIC_CODE"), SOURCE_BIT[source], categories, F.col("_slot"))
+        rows = rows.filter(F.col(KEY).isNotNull()).withColumn("_slot", slot_of(F.col("ETHNIC_CODE"), categories))
+        parts.append(rows.select(KEY, F.lit(None).cast("boolean").alias("_alive"), *[v.alias(n) for n, v in own.items()]))
     per = reduce(DataFrame.unionByName, parts).groupBy(KEY).agg(*gathered(categories), F.max("_alive").alias("_alive"))
     winner, unique = unique_winner(categories)
     return per.filter(unique & F.col("_alive") if living_only else unique).select(KEY, winner.alias("ETHNIC_CATEGORY_CODE"))
