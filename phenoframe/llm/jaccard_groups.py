@@ -14,12 +14,15 @@ all of theirs.  The result is each document's component under the links.
    random order; the links within a group of bounded size make clusters.
    A second round with a new order deals only the first set of each.
 4. Matrix: the first shingles of all members make the rows, bounded chunks of
-   clusters the columns.  A set queries the chunks of other clusters with
-   which it shares a row.  A chunk keeps the union of its members' shingles;
-   the query's overlap with the union bounds its overlap with any member,
-   and only chunks where the bound qualifies are opened and their members
-   compared.  No pair of sets is skipped otherwise, so every link between
-   clusters is found.
+   labels (clusters, then what has been joined so far) the columns.  A set
+   queries chunks of other labels with which it shares a row.  A chunk keeps
+   the union of its members' shingles; the query's overlap with the union
+   bounds its overlap with any member, and only chunks where the bound
+   qualifies are opened and their members compared.  First each row answers
+   with one chunk, so that queries are in proportion to the matrix and not to
+   its pairs; then all labels that still share a row are compared where the
+   places of the shared shingle leave room for enough others.  No pair of
+   sets is skipped otherwise, so every link between labels is found.
 5. Components of the links.
 
 Shingles and texts are compared by 64-bit and 128-bit hashes.
@@ -33,21 +36,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenoframe.llm import blocks
 from phenoframe.llm.components import connected
-from phenoframe.llm.stages import Scratch
+from phenoframe.llm.stages import Scratch, small
 from phenoframe.llm.text import BLANKS
 
 SHINGLE_WORDS = 5
 PERCENT = 75
 #: Sets that one task compares with each other, and that a chunk of a cluster holds.
 GROUP_SETS, CHUNK_SETS = 300, 200
-#: Rounds of grouping before the matrix.
-ROUNDS = 2
+#: Sets that one task compares with a chunk.
+QUERY_SETS = 1_000
+#: Rounds of grouping before the matrix, and at most of stars over all rows of the matrix.
+ROUNDS, STARS = 2, 8
 COUNT = np.dtype([("count", np.uint32)])
 FREQUENT, CHOSEN = 0, 1
 
@@ -120,7 +126,7 @@ def tell_frequent(rows: pa.Table) -> pa.Table:
                          for a, b in zip(edges[:-1], edges[1:])), blocks.ANSWER_ROWS)
 
 
-SETS = "node long, size int, firsts array<long>, shingles binary"
+SETS = "node long, size int, firsts array<long>, places array<int>, shingles binary"
 
 
 def order_sets(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -136,11 +142,14 @@ def order_sets(docs: pa.Table, told: pa.Table) -> pa.Table:
     order = np.lexsort((value, often, text))
     firsts = sizes - (sizes * PERCENT + 99) // 100 + 1
     place = np.arange(len(value)) - np.repeat(edges[:-1], sizes)
-    taken = order[(place < firsts[text]) & (often[order] >= 2)]
+    shared = (place < firsts[text]) & (often[order] >= 2)
+    taken = order[shared]
     per = np.bincount(text[taken], minlength=len(sizes))
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)], pa.int32()), pa.array(value[taken].view(np.int64)))
+    parts = pa.array(np.r_[0, np.cumsum(per)], pa.int32())
+    lists = pa.ListArray.from_arrays(parts, pa.array(value[taken].view(np.int64)))
+    places = pa.ListArray.from_arrays(parts, pa.array(place[shared], pa.int32()))
     blobs = [value[a:b].tobytes() if p else None for a, b, p in zip(edges[:-1], edges[1:], per)]
-    return pa.table({"node": pa.array(nodes.view(np.int64)), "size": pa.array(sizes, pa.int32()), "firsts": lists, "shingles": pa.array(blobs, pa.binary())})
+    return pa.table({"node": pa.array(nodes.view(np.int64)), "size": pa.array(sizes, pa.int32()), "firsts": lists, "places": places, "shingles": pa.array(blobs, pa.binary())})
 
 
 def sets_of(rows: pa.Table, column: str = "shingles") -> list[np.ndarray]:
@@ -183,23 +192,22 @@ def gather(rows: pa.Table) -> pa.Table:
                      "head": pa.array(np.concatenate(heads) if heads else node[:0], pa.int64())})
 
 
-def open_chunks(members: pa.Table, queries: pa.Table) -> pa.Table:
-    """Links of the queries with the members of a chunk whose union they overlap enough."""
-    found_a, found_b = [], []
+def open_chunk(rows: pa.Table) -> pa.Table:
+    """Pairs (``a``, ``b``) of labels: sets that ask (``own`` is their label) and link with a member of the chunk of another label."""
+    asks = rows.column("own").is_valid()
+    members, queries = rows.filter(pc.invert(asks)), rows.filter(asks)
+    found = set()
     if members.num_rows and queries.num_rows:
-        node, size = members.column("node").to_numpy(), members.column("size").to_numpy().astype(np.int64)
-        sets = sets_of(members)
-        flat, edges = np.concatenate(sets), np.r_[0, np.cumsum(size)]
+        label, size = members.column("label")[0].as_py(), members.column("size").to_numpy().astype(np.int64)
+        flat, edges = np.concatenate(sets_of(members)), np.r_[0, np.cumsum(size)]
         union = np.unique(flat)
-        for q, one in zip(queries.column("query").to_numpy(), sets_of(queries, "asked")):
-            _, held = blocks.look_up(one, union)
-            if 100 * held.sum() < PERCENT * len(one):
+        for own, one in zip(queries.column("own").to_pylist(), sets_of(queries)):
+            if (own, label) in found:  # members of a chunk are of one label: one link joins it
                 continue
-            hit = np.flatnonzero(links(overlaps(one, flat, edges), len(one), size))
-            if len(hit):  # members of a chunk are of one cluster: one link joins it
-                found_a.append(q)
-                found_b.append(node[hit[0]])
-    return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+            _, held = blocks.look_up(one, union)
+            if 100 * held.sum() >= PERCENT * len(one) and links(overlaps(one, flat, edges), len(one), size).any():
+                found.add((own, label))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
 
 def least_shingle(round_: int):
@@ -230,60 +238,84 @@ def clusters(sets: DataFrame, scratch: Scratch) -> DataFrame:
     return heads
 
 
-def ask(sets: DataFrame, placed: DataFrame, star: int | None) -> DataFrame:
-    """Queries ``node`` for each chunk (``head``, ``chunk``) of another label that shares a row of the matrix.
+def fits(size: Column, place: Column, other: Column) -> Column:
+    """Whether a set of one size may link with one of the other, their first common shingle at that place: what follows must be enough."""
+    return 100 * size - (100 + PERCENT) * place >= PERCENT * other
+
+
+def ask(sets: DataFrame, placed: DataFrame, round_: int, star: int | None) -> DataFrame:
+    """Sets ``node`` of label ``own`` and the chunks (``label``, ``chunk``) of other labels that they query.
 
-    ``placed`` has the chunk and the present label of each set.  Queries go
-    from the higher to the lower label.  With ``star`` a set queries by one
-    of its rows only (1: the most frequent, 2: the one before, ...), and only the lowest label there.
+    ``placed`` has the label and the chunk of each set.  With ``star`` each
+    row of the matrix answers with one member, drawn by the round's hash, and
+    the sets of other labels query its chunk: by one of their rows only (1:
+    the most frequent, 2: the one before) or by all (0).  Without, sets query
+    every chunk of a lower label that may hold a set they link with.
     """
-    firsts = sets.select("node", "size", F.explode("firsts").alias("shingle")).join(placed, "node")
-    columns = firsts.groupBy("shingle", "head", "chunk", "label").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    shared = columns.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", "low")
-    columns = columns.join(shared, "shingle")
-    if star:
-        firsts = sets.select("node", "size", F.try_element_at("firsts", F.lit(-star)).alias("shingle")).join(placed, "node")
-    rows = firsts.join(shared.select("shingle"), "shingle", "left_semi").select("shingle", "node", F.col("label").alias("own"), "size")
-    fits = (F.col("own") > F.col("label")) & (100 * F.col("size") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("size"))
-    if star:
-        columns = columns.where("label = low")
-    return rows.join(columns, "shingle").where(fits).select("node", "head", "chunk").distinct()
-
-
-def opened_links(sets: DataFrame, placed: DataFrame, asked: DataFrame) -> DataFrame:
-    """Links (``a``, ``b``) that the queries find in their chunks."""
-    members = sets.select("node", "size", "shingles").join(placed.select("node", "head", "chunk"), "node")
-    members = members.join(asked.select("head", "chunk").distinct(), ["head", "chunk"])
-    texts = sets.select(F.col("node").alias("query"), F.col("shingles").alias("asked"))
-    queries = asked.select(F.col("node").alias("query"), F.col("head").alias("of"), F.col("chunk").alias("part")).join(texts, "query")
-    return members.groupBy("head", "chunk").cogroup(queries.groupBy("of", "part")).applyInArrow(open_chunks, "a long, b long")
+    sets = sets.withColumn("size", F.col("size").cast("long"))
+    rows = sets.select("node", "size", F.explode(F.arrays_zip("firsts", "places")).alias("first")).join(placed, "node")
+    rows = rows.select("node", "size", "label", "chunk", F.col("first.firsts").alias("shingle"), F.col("first.places").cast("long").alias("place"))
+    sized = (100 * F.col("size") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("size"))
+    near = fits(F.col("size"), F.col("place"), F.col("least"))
+    if star is None:
+        reach = F.max(100 * F.col("size") - (100 + PERCENT) * F.col("place")).alias("reach")
+        columns = rows.groupBy("shingle", "label", "chunk").agg(F.min("size").alias("least"), F.max("size").alias("most"), reach)
+        shared = columns.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+        columns = columns.join(shared, "shingle", "left_semi")
+        rows = rows.join(shared, "shingle", "left_semi").select("shingle", "node", F.col("label").alias("own"), "size", "place")
+        wanted = (F.col("own") > F.col("label")) & sized & near & (F.col("reach") >= PERCENT * F.col("size"))
+    else:
+        one = F.min(F.struct(F.xxhash64("node", F.lit(round_)), "label", "chunk", F.col("size").alias("least"), F.col("place").alias("at"))).alias("one")
+        drawn = rows.groupBy("shingle").agg(one, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        columns = drawn.select("shingle", "one.label", "one.chunk", "one.least", F.col("one.least").alias("most"), "one.at")
+        wanted = (F.col("own") != F.col("label")) & sized
+        if star:
+            rows = sets.select("node", "size", F.try_element_at("firsts", F.lit(-star)).alias("shingle"), F.lit(0).cast("long").alias("place")).join(placed, "node")
+        else:
+            wanted = wanted & near & fits(F.col("least"), F.col("at"), F.col("size"))
+        rows = rows.select("shingle", "node", F.col("label").alias("own"), "size", "place")
+    return rows.join(columns, "shingle").where(wanted).select("node", "own", "label", "chunk").distinct()
+
+
+def opened_links(sets: DataFrame, placed: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels (``a``, ``b``) that the queries find linked; a chunk that many sets query is opened by several tasks."""
+    parts = asked.groupBy("label", "chunk").agg(F.ceil(F.count(F.lit(1)) / QUERY_SETS).alias("parts"))
+    members = placed.join(parts, ["label", "chunk"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    queries = asked.join(parts, ["label", "chunk"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    names = ["node", "label", "chunk", "part"]
+    opened = scratch.keep(members.select(*names, F.lit(None).cast("long").alias("own")).union(queries.select(*names, "own")), "opened")
+    rows = sets.select("node", "size", "shingles").join(small(opened), "node")
+    return rows.groupBy("label", "chunk", "part").applyInArrow(open_chunk, "a long, b long").distinct()
+
+
+def in_chunks(labels: DataFrame) -> DataFrame:
+    """``labels`` with the ``chunk`` of each set."""
+    many = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).alias("chunks")).where("chunks > 1")
+    chunk = F.coalesce(F.pmod(F.xxhash64("node"), F.col("chunks")), F.lit(0).cast("long"))
+    return labels.join(many, "label", "left").select("node", "label", chunk.alias("chunk"))
 
 
 def set_labels(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """``node`` and the ``label`` of its component, for sets that may link.
 
-    Two rounds compare sets with the lowest cluster of one of their frequent
-    rows, which gathers what is left of large groups in proportion to their
-    sets; the last one compares all clusters that still share any row.  No chunk is queried twice by a set.
+    Star rounds query one chunk a row, so that their rows are in proportion
+    to the matrix, and join what they find linked; by another member each
+    time, until they find nothing.  The last round compares all labels that still
+    share a row, so no link is lost whatever the stars left.
     """
-    heads = clusters(sets, scratch)
-    many = heads.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).alias("chunks"))
-    placed = heads.join(many, "head").select("node", "head", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.col("head").alias("label"))
-    placed = scratch.keep(placed, "placed")
-    before = None
-    for star in (1, 2, None):
-        asked = ask(sets, placed, star)
-        asked = scratch.keep(asked if before is None else asked.join(before, ["node", "head", "chunk"], "left_anti"), "asked")
-        found = scratch.keep(opened_links(sets, placed, asked), "links")
-        before = asked if before is None else before.union(asked)
-        if found.limit(1).count():
-            label = placed.select("node", "label")
-            ends = (found.join(label.select(F.col("node").alias("a"), F.col("label").alias("x")), "a")
-                    .join(label.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-            moved = connected(ends).select(F.col("node").alias("label"), F.col("label").alias("to"))
-            placed = placed.join(moved, "label", "left").select("node", "head", "chunk", F.coalesce("to", "label").alias("label"))
-            placed = scratch.keep(placed, "placed")
-    return placed.select("node", "label")
+    labels = scratch.keep(clusters(sets, scratch).select("node", F.col("head").alias("label")), "labels")
+    idle = False
+    for round_, star in enumerate([1, 2, *[0] * STARS, None]):
+        if star == 0 and idle:
+            continue
+        placed = scratch.keep(in_chunks(labels), "placed")
+        asked = scratch.keep(ask(sets, placed, round_, star), "asked")
+        found = scratch.keep(opened_links(sets, placed, asked, scratch), "links")
+        idle = not found.limit(1).count()
+        if not idle:
+            moved = connected(found).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            labels = scratch.keep(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    return labels
 
 
 def labelled(docs: DataFrame) -> DataFrame:

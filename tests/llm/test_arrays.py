@@ -281,6 +281,34 @@ def test_keep_one(spark):
     assert jaccard_groups.document_components(table(spark, [])).count() == 0 and jaccard_groups.keep_one(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("stars,queries", [(0, 2), (3, 1)])
+def test_components_whatever_the_stars_leave(spark, monkeypatch, stars, queries):
+    for name, value in {"GROUP_SETS": 3, "CHUNK_SETS": 2, "ROUNDS": 0, "STARS": stars, "QUERY_SETS": queries}.items():
+        monkeypatch.setattr(jaccard_groups, name, value)
+    rows = near_copies(seed=8, groups=4, size=30)
+    got = sorted(str(tuple(r)) for r in jaccard_groups.document_components(table(spark, rows)).collect())
+    assert got == sorted(map(str, slow_components(rows)[0]))
+
+
+def test_queries_do_not_grow_with_the_pairs_of_a_group(spark, monkeypatch):
+    # Texts of which four fifths are one passage: each pair shares rows of the matrix and does not link.
+    rng = random.Random(4)
+    passage = made_words(rng, 160)
+    rows = [(i, " ".join(passage + made_words(rng, 36))) for i in range(60)]
+    asked, keep = [], jaccard_groups.Scratch.keep
+
+    def count(self, df, name):
+        kept = keep(self, df, name)
+        if name == "asked":
+            asked.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(jaccard_groups.Scratch, "keep", count)
+    got = {r.doc_id: r.component_id for r in jaccard_groups.document_components(table(spark, rows)).collect()}
+    assert got == {i: i for i, _ in rows}
+    assert sum(asked) <= 3 * len(rows)
+
+
 def test_connected(spark):
     links = [(i, i + 1) for i in range(10, 40)] + [(50, 3), (3, 4), (60, 60)]
     got = {r.node: r.label for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
