@@ -32,6 +32,8 @@ all of its lines.  Lines, words and documents are compared by 64-bit hashes.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,41 +52,61 @@ SHINGLE_WORDS = 5
 #: Least shingle hashes kept of a document, and the resemblances from which on documents are copies: whole, and without the line.
 SKETCH = 64
 COPY_PERCENT, REST_PERCENT = 75, 50
-FIELD = "<*>"
-DIGIT = re.compile("[0-9]")
-BLANKS = re.compile("[\x20\x09-\x0D]+")
-#: Documents taken from a batch at a time.
-BATCH_DOCS = 1_000
+MASK = b"<*>"
+DIGIT = re.compile(b"[0-9]")
+#: Documents taken from a batch at a time, and characters after which no more are.
+BATCH_DOCS, BATCH_CHARS = 1_000, 2_000_000
 BLANK = " \t\x0b\x0c\r"
 
 
-def hash_of(text: str) -> int:
+def hash_of(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text) - 2 ** 63
 
 
 def line_words(line: str) -> list[str]:
     """Words of a line, variable fields masked."""
-    found = [w for w in BLANKS.split(line) if w]
-    return [FIELD if DIGIT.search(w) else w for w in found] if DIGIT.search(line) else found
+    return [w.decode() for w in masked_words(line.encode())]
 
 
-def path_of(words: list[str]) -> int:
-    return hash_of(" ".join([str(len(words)), *words[:DEPTH]]))
+def masked_words(line: bytes) -> list[bytes]:
+    return masked(line, line.split())
 
 
-def shingle_hashes(text: str, known: dict[bytes, int]) -> np.ndarray:
-    """Hash of each shingle of a text, the whole of a shorter one."""
-    found = text.encode().split()
-    if not found:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in found), dtype=np.uint64, count=len(found))
-    n = max(1, len(h) - SHINGLE_WORDS + 1)
-    value = np.zeros(n, dtype=np.uint64)
+def masked(line: bytes, found: list[bytes]) -> list[bytes]:
+    return [MASK if DIGIT.search(w) else w for w in found] if DIGIT.search(line) else found
+
+
+def path_of(words: list[bytes]) -> int:
+    return hash_of(b" ".join([b"%d" % len(words), *words[:DEPTH]]))
+
+
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64)
+
+
+def windows(h: np.ndarray) -> np.ndarray:
+    """For each word, the hash of the shingle that begins there; of the words left near the end."""
+    value = np.zeros(len(h), dtype=np.uint64)
     for i in range(min(SHINGLE_WORDS, len(h))):
-        value = blocks.mix(value + h[i:i + n])
+        value[:len(h) - i] = blocks.mix(value[:len(h) - i] + h[i:])
     return value
 
 
+def shingle_hashes(text: str, known: dict[bytes, int]) -> np.ndarray:
+    """Hash of each shingle of a text, the whole of a shorter one; ``known`` is not used."""
+    return text_shingles([word_hashes(text.encode().split())])[0]
+
+
+def text_shingles(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Hash of each shingle of some texts, from those of their words."""
+    value, end = windows(np.concatenate(words)), 0
+    out = []
+    for h in words:
+        begin, end = end, end + len(h)
+        out.append(value[begin:end - SHINGLE_WORDS + 1] if len(h) >= SHINGLE_WORDS else windows(h)[:1])
+    return out
+
+
 def family_of(text: str, known: dict[bytes, int]) -> int:
     """Least shingle hash of a text."""
     value = shingle_hashes(text, known)
@@ -94,29 +116,37 @@ def family_of(text: str, known: dict[bytes, int]) -> int:
 def families_of(value: np.ndarray, counts: list[int]) -> list[int]:
     """For each line, the least shingle hash of the text among those that do not touch it; where all do, of the whole text."""
     value = value >> np.uint64(1)
+    n = len(value)
     edges = np.cumsum([0, *counts])
-    before = np.r_[value.max(), np.minimum.accumulate(value)]  # least of the first 0, 1, 2, ... shingles
-    after = np.r_[np.minimum.accumulate(value[::-1])[::-1], value.max()]
-    n_before = np.clip(edges[:-1] - SHINGLE_WORDS + 1, 0, len(value))
-    from_after = np.minimum(edges[1:], len(value))
-    alone = (n_before == 0) & (from_after == len(value))
-    return np.where(alone, value.min(), np.minimum(before[n_before], after[from_after])).tolist()
+    before, after = np.empty(n + 1, dtype=np.uint64), np.empty(n + 1, dtype=np.uint64)
+    before[0] = after[n] = value.max()
+    np.minimum.accumulate(value, out=before[1:])  # least of the first 0, 1, 2, ... shingles
+    np.minimum.accumulate(value[::-1], out=after[:n][::-1])
+    n_before = np.minimum(np.maximum(edges[:-1] - SHINGLE_WORDS + 1, 0), n)
+    from_after = np.minimum(edges[1:], n)
+    alone = (n_before == 0) & (from_after == n)
+    return np.where(alone, before[n], np.minimum(before[n_before], after[from_after])).tolist()
+
+
+def least_places(value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some places in the order of their hashes, and where each different hash begins among them."""
+    at = at[np.argsort(value[at], kind="stable")]
+    held = value[at]
+    return at, np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
 
 
 def sketch_of(value: np.ndarray, counts: list[int]) -> bytes:
     """The least different shingle hashes of a text, each with the last line of its earliest and the first line of its latest place;
     ``counts`` has the words of each line."""
     line = np.repeat(np.arange(len(counts)), counts)
-    first, last = line[:len(value)], line[np.minimum(np.arange(len(value)) + SHINGLE_WORDS, len(line)) - 1]
     value = (value >> np.uint64(32)).astype(np.uint32)
+    at = None
     if len(value) > 4 * SKETCH:  # most places are above the least hashes, however often those repeat
-        few = np.flatnonzero(value <= np.partition(value, 4 * SKETCH)[4 * SKETCH])
-        if len(np.unique(value[few])) > SKETCH:
-            value, first, last = value[few], first[few], last[few]
-    order = np.argsort(value, kind="stable")
-    value = value[order]
-    start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-    lists = value[start], np.minimum.reduceat(last[order], start), np.maximum.reduceat(first[order], start)
+        at, start = least_places(value, np.flatnonzero(value <= np.partition(value, 4 * SKETCH)[4 * SKETCH]))
+    if at is None or len(start) <= SKETCH:
+        at, start = least_places(value, np.arange(len(value)))
+    value, first, last = value[at], line[at], line[np.minimum(at + SHINGLE_WORDS, len(line)) - 1]
+    lists = value[start], np.minimum.reduceat(last, start), np.maximum.reduceat(first, start)
     return np.concatenate([x[:SKETCH].astype(np.uint32) for x in lists]).tobytes()
 
 
@@ -177,46 +207,57 @@ def unrelated(least: int):
 UNRELATED = "template long, sketch binary, places array<int>"
 
 
+def in_parts(batches, columns: list[str]):
+    """Values of the columns, of a bounded number of documents and of text at a time."""
+    for whole in batches:
+        part, size = [], 0
+        for row in zip(*(whole.column(c).to_pylist() for c in columns)):
+            part.append(row)
+            size += len(row[-1])
+            if len(part) == BATCH_DOCS or size > BATCH_CHARS:
+                yield part
+                part, size = [], 0
+        if part:
+            yield part
+
+
 def parse(batches):
     """Lines with words: row, place, leaf, line, family, copy (the text's hash), and in each document's first one its sketch."""
-    known: dict[bytes, int] = {}
-    for whole in batches:
-        for at in range(0, whole.num_rows, BATCH_DOCS):
-            batch = whole.slice(at, BATCH_DOCS)
-            out: list[tuple] = []
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-                value, copy = shingle_hashes(text, known), hash_of(text)
-                if not len(value):
-                    continue
-                lines = [line_words(line) for line in text.split("\n")]
-                counts = [len(words) for words in lines]
-                sketch = sketch_of(value, counts)
-                for place, (words, family) in enumerate(zip(lines, families_of(value, counts))):
-                    if words:
-                        out.append((row, place, path_of(words), hash_of(" ".join(words)), family, copy, sketch))
-                        sketch = None
-            if len(known) > 500_000:
-                known.clear()
-            if out:
-                row, place, *rest, sketch = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(place, pa.int32()), *(pa.array(x, pa.int64()) for x in rest),
-                                                  pa.array(sketch, pa.binary())], names=["row", "place", "leaf", "line", "family", "copy", "sketch"])
+    for part in in_parts(batches, ["row", "text"]):
+        out: list[tuple] = []
+        texts = [text.encode() for _, text in part]
+        split = [[(line, line.split()) for line in text.split(b"\n")] for text in texts]
+        shingles = text_shingles([word_hashes(chain.from_iterable(words for _, words in lines)) for lines in split])
+        for (row, _), text, found, value in zip(part, texts, split, shingles):
+            if not len(value):
+                continue
+            copy = hash_of(text)
+            lines = [masked(line, words) for line, words in found]
+            counts = [len(words) for words in lines]
+            sketch = sketch_of(value, counts)
+            for place, (words, family) in enumerate(zip(lines, families_of(value, counts))):
+                if words:
+                    out.append((row, place, path_of(words), hash_of(b" ".join(words)), family, copy, sketch))
+                    sketch = None
+        if out:
+            row, place, *rest, sketch = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(place, pa.int32()), *(pa.array(x, pa.int64()) for x in rest),
+                                              pa.array(sketch, pa.binary())], names=["row", "place", "leaf", "line", "family", "copy", "sketch"])
 
 
 LINES = "row long, place int, leaf long, line long, family long, copy long, sketch binary"
 
 
 def spell(batches):
-    """Masked words of the different lines of some documents at a time."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, BATCH_DOCS):
-            lines = {line for text in whole.slice(at, BATCH_DOCS).column("text").to_pylist() for line in text.split("\n")}
-            words = {" ".join(w): w for w in map(line_words, lines) if w}
-            yield pa.RecordBatch.from_arrays([pa.array([path_of(w) for w in words.values()], pa.int64()), pa.array([hash_of(t) for t in words], pa.int64()),
-                                              pa.array(list(words.values()), pa.list_(pa.string()))], names=["leaf", "line", "words"])
+    """Masked words of the different lines of some documents at a time, one blank between them."""
+    for part in in_parts(batches, ["text"]):
+        lines = {line for text, in part for line in text.encode().split(b"\n")}
+        words = {b" ".join(w): path_of(w) for w in map(masked_words, lines) if w}
+        yield pa.RecordBatch.from_arrays([pa.array(list(words.values()), pa.int64()), pa.array(list(map(hash_of, words)), pa.int64()),
+                                          pa.array(list(words), pa.binary()).cast(pa.string())], names=["leaf", "line", "words"])
 
 
-SPELLED = "leaf long, line long, words array<string>"
+SPELLED = "leaf long, line long, words string"
 
 
 def with_row(docs: DataFrame) -> DataFrame:
@@ -228,7 +269,7 @@ def recurring_lines(rows: DataFrame, lines: DataFrame, least: int = LEAST) -> Da
     leaves = lines.select("leaf", "family").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     leaves = small(cut(leaves.select("leaf")))
     held = cut(lines.join(leaves, "leaf").select("leaf", "line", "family", "copy").distinct())
-    spelled = cut(rows.mapInArrow(spell, SPELLED).join(leaves, "leaf").groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("words").alias("words")))
+    spelled = cut(rows.mapInArrow(spell, SPELLED).join(leaves, "leaf").groupBy("line").agg(F.first("leaf").alias("leaf"), F.split(F.first("words"), " ").alias("words")))
     words = spelled.select("line", "leaf", F.size("words").alias("total"), F.posexplode("words").alias("at", "word")).withColumn("word", F.xxhash64("word"))
     # Constant words: held at their place by enough unrelated documents.
     families = held.select("line", "family").distinct()

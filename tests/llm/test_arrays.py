@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -389,3 +390,14 @@ def test_false_hits_of_a_probe_round():
     keys = np.unique(rng.integers(0, 2 ** 63, 400_000).astype(np.uint64))
     bits = bloom_lm.fill_segment(keys[::2], np.full(len(keys[::2]), 2))
     assert (bloom_lm.Filter(bits.tobytes(), [len(bits)]).levels(keys[1::2]) > 0).mean() < 0.012
+
+
+def test_lines_are_spelled_as_one_text_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(line_templates, "BATCH_CHARS", 50)
+    texts = [t or "" for _, t in EDGES] + random_texts(9, 40)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["row", "text"])
+    found = [x for b in line_templates.spell([batch]) for x in b.to_pylist()]
+    words = {" ".join(line_templates.line_words(line)) for t in texts for line in t.split("\n")} - {""}
+    assert {x["words"] for x in found} == words and len({x["line"] for x in found}) == len(words)
+    parts = list(line_templates.parse([batch]))
+    assert len(parts) > 10 and {line for p in parts for line in p.column("line").to_pylist()} == {x["line"] for x in found}
